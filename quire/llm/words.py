@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import os
 
-#: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+import numpy as np
+
+#: Words that a worker remembers at most, in two generations.
+CACHE_WORDS = 400_000
+#: Words that are encoded as one text.
+CHUNK = 4000
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
@@ -21,6 +25,10 @@ class WordEncoder:
     over it), as `word_bpe_49k.json` does; texts are then cut at ASCII white
     space.  ASCII capitals are lowered first only where that can't matter: not
     near special tokens (`<|`) or combining marks (U+0300 to U+036F).
+
+    Words of letters alone are one piece each, whose last token has the
+    vocabulary's end-of-word suffix; many are encoded as one text and cut apart
+    behind those tokens.
     """
 
     def __init__(self, path: str, by_words: bool = True, most: int = CACHE_WORDS):
@@ -30,30 +38,72 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_words, self.most, self.known = by_words, most, {}
+        self.by_words, self.most = by_words, most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def encoded_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters alone."""
+        out: list[bytes] = []
+        for at in range(0, len(words), CHUNK):
+            chunk = words[at : at + CHUNK]
+            ids = np.array(self.tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(chunk):
+                out += self.encoded(chunk)
+                continue
+            raw, ends = ids.tobytes(), cuts.tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes words known; beyond the limit, those not met for longest go."""
+        if len(self.known) + len(words) > self.most // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        letters: dict[bytes, str] = {}
+        marked, others = [], []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            s = w.decode()
+            if s.isalpha():
+                letters[w] = s
+            elif s[-1] in ".," and s[:-1].isalpha() and s[:-1].lower().isalpha():  # letters, then one mark: two pieces
+                marked.append(w)
+                letters[w[:-1]] = s[:-1]
+            else:
+                others.append(w)
+        known.update(zip(letters, self.encoded_letters(list(letters.values())), strict=True))
+        if marked:
+            dot, comma = self.encoded([".", ","])
+            known.update((w, known[w[:-1]] + (dot if w[-1:] == b"." else comma)) for w in marked)
+        if others:
+            known.update(zip(others, self.encoded([w.decode() for w in others]), strict=True))
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return self.encoded([x.decode() for x in texts])
-        split, new = [], set()
+        split, met = [], set()
         for x in texts:
             if b"<|" not in x and b"\xcc" not in x and b"\xcd" not in x:
                 x = x.lower()
             split.append(words := x.split())
-            new.update(words)
-        new.difference_update(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = {w for words in split for w in words}
-            new = list(new)
-            self.known.update(zip(new, self.encoded([w.decode() for w in new]), strict=True))
+            met.update(words)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > self.most // 2:
+            new = met
+        self.learn(new)
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
