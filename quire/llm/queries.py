@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, media, simhash, token_files
-from quire.llm.common import table
+from quire.llm import bpe, media, packing, simhash, token_files, toxicity
+from quire.llm.common import held_out, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,11 +27,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, path)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"), keep=["doc_id"])
@@ -45,7 +56,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
+        "op3_toxicity": op3_toxicity,
         "op4_token_files": op4_token_files,
+        "op5_packing": op5_packing,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_media_columns": op10_media_columns,
     }
