@@ -90,12 +90,14 @@ def map_texts(
     added: T.StructType,
     text: str,
     keep: list[str] | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Adds columns that follow from a text column, in Arrow batches.
 
     `make()` runs once per task and gives a function from the texts' bytes (and
     their batch) to the added columns.  `keep` lists the input columns to return
-    (default: all); an input column named like an added one is replaced.
+    (default: all); an input column named like an added one is replaced.  `most`
+    bytes of text, or one row, are worked on at once.
     """
     names = {f.name for f in added.fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -106,7 +108,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", most):
                 new = work(binary(part.column("__text")), part)
                 columns = [part.column(c) for c in keep] + [pa.array(new[n], t) for n, t in arrow.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow])
