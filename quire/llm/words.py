@@ -11,7 +11,7 @@ import os
 import numpy as np
 
 #: Words that a worker remembers at most, in two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_600_000
 #: Words that are encoded as one text.
 CHUNK = 4000
 
