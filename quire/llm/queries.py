@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, media, packing, simhash, token_files, toxicity
+from quire.llm import ann, bpe, langid, media, packing, simhash, token_files, toxicity
 from quire.llm.common import held_out, table
 
 
@@ -43,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs), keep=["doc_id"])
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_token_files": op4_token_files,
         "op5_packing": op5_packing,
+        "op7_nearest": op7_nearest,
         "op8_language": op8_language,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_media_columns": op10_media_columns,
