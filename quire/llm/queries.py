@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, chat, langid, media, packing, simhash, token_files, toxicity
+from quire.llm import ann, bpe, chat, html_text, langid, media, packing, simhash, token_files, toxicity
 from quire.llm.common import held_out, table
 
 
@@ -83,6 +83,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_token_files": op4_token_files,
         "op5_packing": op5_packing,
+        "op6_main_text": op6_main_text,
         "op7_nearest": op7_nearest,
         "op8_language": op8_language,
         "op9_bpe_round_trip": op9_bpe_round_trip,
