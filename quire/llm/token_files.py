@@ -75,6 +75,8 @@ def selectors(width: np.ndarray) -> np.ndarray:
             window = np.maximum(window[: len(window) - step], window[step:])
             length += step
         fits = window <= bits
+        if not fits.any():  # nor will a longer window with fewer bits
+            break
         np.copyto(best[: len(fits)], np.uint8(sel), where=fits)
     return best
 
@@ -86,9 +88,10 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     width = widths(ids)
     best = selectors(width)
-    steps, at, places = COUNTS[best].tolist(), 0, []
-    while at < len(ids):
-        places.append(at)
+    steps, at, n, places = COUNTS[best].tolist(), 0, len(ids), []
+    add = places.append
+    while at < n:
+        add(at)
         at += steps[at]
     places = np.array(places)
     chosen = best[places]

@@ -7,6 +7,7 @@ one after another, so each distinct word is encoded once per worker and kept.
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 
@@ -15,9 +16,17 @@ CACHE_WORDS = 1_600_000
 #: Words that are encoded as one text.
 CHUNK = 4000
 
+PUNCTUATION = string.punctuation.encode()
+
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
+def alphabetic(word: bytes) -> bool:
+    """Whether a word is letters alone, and stays so when lowered."""
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
 class WordEncoder:
     """ids(texts) gives each text's ids as bytes of little-endian uint32.
 
@@ -70,42 +79,46 @@ class WordEncoder:
         if len(self.known) + len(words) > self.most // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        letters: dict[bytes, str] = {}
-        marked, others = [], []
+        letters: set[bytes] = set()
+        marked, marks, others = [], set(), []
         for w in words:
             if w in older:
                 known[w] = older[w]
                 continue
-            s = w.decode()
-            if s.isalpha():
-                letters[w] = s
-            elif s[-1] in ".," and s[:-1].isalpha() and s[:-1].lower().isalpha():  # letters, then one mark: two pieces
-                marked.append(w)
-                letters[w[:-1]] = s[:-1]
-            else:
+            stem = w.rstrip(PUNCTUATION)
+            if not (stem.isalpha() or alphabetic(stem)):
                 others.append(w)
-        known.update(zip(letters, self.encoded_letters(list(letters.values())), strict=True))
-        if marked:
-            dot, comma = self.encoded([".", ","])
-            known.update((w, known[w[:-1]] + (dot if w[-1:] == b"." else comma)) for w in marked)
+                continue
+            if len(stem) < len(w):  # letters, then marks: two pieces
+                marked.append((w, stem, mark := w[len(stem) :]))
+                marks.add(mark)
+            letters.add(stem)
+        letters = list(letters.difference(known))
+        known.update(zip(letters, self.encoded_letters([w.decode() for w in letters]), strict=True))
+        others += marks.difference(known, others)
         if others:
             known.update(zip(others, self.encoded([w.decode() for w in others]), strict=True))
+        known.update([(w, known[stem] + known[mark]) for w, stem, mark in marked])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return self.encoded([x.decode() for x in texts])
-        split, met = [], set()
+        found, new = [], set()
+        get = self.known.get
         for x in texts:
             if b"<|" not in x and b"\xcc" not in x and b"\xcd" not in x:
                 x = x.lower()
-            split.append(words := x.split())
-            met.update(words)
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > self.most // 2:
-            new = met
-        self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            words = x.split()
+            ids = list(map(get, words))
+            unseen = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            new.update([words[k] for k in unseen])
+            found.append((ids, unseen, [words[k] for k in unseen]))
+        if new:
+            self.learn(new)
+        for ids, unseen, words in found:
+            for k, w in zip(unseen, words, strict=True):
+                ids[k] = self.known[w]
+        return [b"".join(ids) for ids, _, _ in found]
 
 
 def encoder(path: str, by_words: bool = True) -> WordEncoder:
