@@ -42,7 +42,9 @@ SWITCH = 12.0
 WEIGHT = 0.5
 #: Share of a language's words from which a script counts as its own.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Characters whose words are held as objects at once.
+SPLIT_CHARS = 1 << 20
 UNKNOWN = "und"
 
 #: First code points of script ranges (the rest is "other").
@@ -189,17 +191,26 @@ class Labeller:
         self.weights[at + np.array(some)[~can.any(axis=1)]] = 0
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
-        """Places of each text's words."""
+        """Places of each text's words, good until the next call."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        split, new = [], set()
+        out, split, size = [], [], 0
         for x in texts:
-            split.append(ws := x.lower().split())
-            new.update(ws)
+            split.append(x.lower().split())
+            size += len(x)
+            if size >= SPLIT_CHARS:
+                out += self.places(split)
+                split, size = [], 0
+        return out + self.places(split)
+
+    def places(self, split: list[list[str]]) -> list[np.ndarray]:
+        new = set()
+        for words in split:
+            new.update(words)
         new.difference_update(self.known)
         self.learn(list(new))
         get = self.known.__getitem__
-        return [np.fromiter(map(get, ws), np.int32, len(ws)) for ws in split]
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
 
     def viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The language of every word: the best path of each text, all texts in step."""
