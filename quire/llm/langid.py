@@ -36,15 +36,17 @@ from quire.llm.common import binary, held_out, map_texts, slices
 TRAIN_ROWS = 5000
 MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
+#: Tasks that count the sample, each with a table per language.
+FIT_TASKS = 16
 ORDERS = (2, 3, 4, 5)
 #: Cost of a change of language, and weight of an n-gram, in nats.
 SWITCH = 12.0
 WEIGHT = 0.5
 #: Share of a language's words from which a script counts as its own.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters whose words are held as objects at once.
-SPLIT_CHARS = 1 << 20
+SPLIT_CHARS = 1 << 19
 UNKNOWN = "und"
 
 #: First code points of script ranges (the rest is "other").
@@ -143,7 +145,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
                     names=["kind", "k", "bucket", "n"],
                 )
 
-    found = sample.mapInArrow(count, "kind int, k int, bucket int, n long").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.repartition(FIT_TASKS).mapInArrow(count, "kind int, k int, bucket int, n long").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     used = np.zeros((len(languages), len(NAMES)))
     for kind, into in ((0, counts), (1, used)):
@@ -296,4 +298,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         return work
 
     added = T.StructType([*PREDICTED.fields, *([SPANS] if with_spans else [])])
-    return map_texts(df, make, added, text, keep, most=16 << 20)
+    return map_texts(df, make, added, text, keep, most=8 << 20)
