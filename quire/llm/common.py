@@ -107,6 +107,11 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        yield from each(work, batches)
+        del work
+        release()
+
+    def each(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", most):
                 new = work(binary(part.column("__text")), part)
@@ -116,6 +121,18 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives a finished task's memory back to the system; the worker lives on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

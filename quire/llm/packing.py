@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import binary, cut, slices, stored
-from quire.llm.words import encoder
+from quire.llm.words import CACHE_WORDS, encoder
 
 CAPACITY = 2048
 SALTS = 256
@@ -116,13 +116,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return placed, used
 
 
-def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, doc_id: str, text: str, by_words: bool) -> DataFrame:
+def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, doc_id: str, text: str, by_words: bool, cache_words: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     end = struct.pack("<I", end_id)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        work = encoder(tokenizer_path, by_words)
+        work = encoder(tokenizer_path, by_words, cache_words)
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[tuple] = []
@@ -140,10 +140,17 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, do
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", by_words: bool = True
+    df: DataFrame,
+    tokenizer_path: str,
+    end_id: int = 0,
+    capacity: int = CAPACITY,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    by_words: bool = True,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = stored(pieces_of(df, tokenizer_path, end_id, capacity, doc_id, text, by_words), "pieces")
+    found = stored(pieces_of(df, tokenizer_path, end_id, capacity, doc_id, text, by_words, cache_words), "pieces")
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     local = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1 AS local")
     runs = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most capacity x SALTS rows

@@ -121,9 +121,10 @@ class WordEncoder:
         return [b"".join(ids) for ids, _, _ in found]
 
 
-def encoder(path: str, by_words: bool = True) -> WordEncoder:
-    """This worker's encoder of a vocabulary file."""
+def encoder(path: str, by_words: bool = True, most: int = CACHE_WORDS) -> WordEncoder:
+    """This worker's encoder of a vocabulary file, remembering at most `most` words."""
     key = (path, by_words)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, by_words)
+        _ENCODERS[key] = WordEncoder(path, by_words, most)
+    _ENCODERS[key].most = most
     return _ENCODERS[key]
