@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from quire.functions import pixels
 from quire.sources.pages import image_array
+from quire.sources.schema import arrow_schema
 
 _SESSIONS: dict[tuple[str, int], object] = {}
 
@@ -49,10 +50,9 @@ Model = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
 
 def _rows(df: DataFrame, one: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
     """Applies `one` to each row, a row at a time, so that a task holds one page's pixels."""
-    from quire.sources.schema import arrow_schema
+    fields = arrow_schema(schema)  # here, as executors can't parse it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = arrow_schema(schema)
         for batch in batches:
             for k in range(batch.num_rows):
                 found = one(batch.slice(k, 1).to_pylist()[0])
