@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where that is unset, as in tests on one machine, a folder is made.
+    Only where that is unset on a single machine, as in tests, a folder is made.
     """
     to = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if to is None:
         if sc.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
