@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: Bytes of text that one step of an Arrow operator works on at once.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch of texts at most (one row at least).
+BATCH_BYTES = 8 << 20
+
 #: Rows up to which a side with a few fixed-width columns may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -56,6 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session now cuts Arrow batches at `BATCH_BYTES`: what a task holds
+    doesn't depend on how long texts are.  A lower setting stays as it is."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `limit` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit
@@ -121,7 +134,7 @@ def map_texts(
                 columns = [part.column(c) for c in keep] + [pa.array(new[n], t) for n, t in arrow.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow])
 
-    return source.mapInArrow(run, schema)
+    return text_batches(source).mapInArrow(run, schema)
 
 
 def release() -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import binary, held_out, map_texts, slices
+from quire.llm.common import binary, held_out, map_texts, slices, text_batches
 
 TRAIN_ROWS = 5000
 MAX_LANGUAGES = 256
@@ -144,7 +144,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
                     names=["kind", "k", "bucket", "n"],
                 )
 
-    found = sample.repartition(FIT_TASKS).mapInArrow(count, "kind int, k int, bucket int, n long").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = text_batches(sample.repartition(FIT_TASKS)).mapInArrow(count, "kind int, k int, bucket int, n long").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     used = np.zeros((len(languages), len(NAMES)))
     for kind, into in ((0, counts), (1, used)):

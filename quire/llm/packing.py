@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, cut, slices, stored
+from quire.llm.common import binary, cut, slices, stored, text_batches
 from quire.llm.words import CACHE_WORDS, encoder
 
 CAPACITY = 2048
@@ -136,7 +136,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, do
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(

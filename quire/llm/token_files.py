@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, shared_dir, slices
+from quire.llm.common import binary, shared_dir, slices, text_batches
 from quire.llm.words import encoder
 
 BLOCK_IDS = 1 << 16
@@ -248,7 +248,7 @@ def write_token_files(
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(run, "file_no int, block_no long, start long, n_ids long, data binary").write.option("compression", "none").parquet(to)
+    text_batches(rows).mapInArrow(run, "file_no int, block_no long, start long, n_ids long, data binary").write.option("compression", "none").parquet(to)
     return to
 
 
