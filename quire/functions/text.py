@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def is_blank(text: Column) -> Column:
 
 def literal_array(items: list[str]) -> Column:
     """A foldable array of strings: one literal in the plan, however long."""
-    return F.from_json(F.lit(__import__("json").dumps(items)), "array<string>")
+    return F.from_json(F.lit(json.dumps(items)), "array<string>")
 
 
 def byte_level_value(code: Column) -> Column:

@@ -64,11 +64,16 @@ class Models:
 
 @dataclass
 class Engine:
-    """Recognises pages (page_id, image) with a configuration and models."""
+    """Recognises pages (page_id, image) with a configuration and models.
+
+    Nothing runs before an action on a result; branches that no enabled class
+    needs aren't part of the plan.  `last_timing` holds the seconds of the last
+    call of `time_stages`.
+    """
 
     config: PageConfig
     models: Models
-    timing: dict[str, float] = field(default_factory=dict)
+    last_timing: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         classes, m = self.config.classes, self.models
@@ -78,18 +83,21 @@ class Engine:
             if need and getattr(m, name) is None:
                 raise PipelineError(f"missing required model path: {name}")
 
+    def regions(self, pages: DataFrame) -> DataFrame:
+        raw = models.run_layout(pages, self.models.layout)
+        return regions_of(layout.filter_raw(raw, self.config.layout_threshold), self.config)
+
+    def lines(self, pages: DataFrame) -> DataFrame | None:
+        """Lines in reading order, or None where no enabled class needs them."""
+        if not self.config.classes.needs_detection():
+            return None
+        quads = lines.filter_quads(models.run_detection(pages, self.models.detection))
+        return lines.reading_order(lines.quads_to_boxes(quads.withColumn("quad", F.col("grown"))))
+
     def recognise(self, pages: DataFrame) -> DataFrame:
-        """Paragraphs; branches that no enabled class needs aren't built."""
-        config, m, began = self.config, self.models, time.monotonic()
-        raw = models.run_layout(pages, m.layout)
-        regions = regions_of(layout.filter_raw(raw, config.layout_threshold), config)
-        self.timing["layout"] = time.monotonic() - began
-        ordered = None
-        if config.classes.needs_detection():
-            quads = lines.filter_quads(models.run_detection(pages, m.detection))
-            ordered = lines.reading_order(lines.quads_to_boxes(quads.withColumn("quad", F.col("grown"))))
-        self.timing["detect"] = time.monotonic() - began - self.timing["layout"]
-        contents = None
+        """Paragraphs of the pages."""
+        config, m = self.config, self.models
+        regions, contents = self.regions(pages), None
         if config.classes.needs_recognition():
 
             def recognised(crops: DataFrame) -> DataFrame:
@@ -97,16 +105,26 @@ class Engine:
                 tokens = models.run_recognition(pages, windows, m.recognition, config.recognition_batch)
                 return decode.ctc(tokens, m.symbols).join(crops.select("page_id", "crop_idx", "region_idx", "label"), ["page_id", "crop_idx"])
 
-            contents = text_contents(regions, ordered, recognised, config)
+            contents = text_contents(regions, self.lines(pages), recognised, config)
         if config.classes.needs_formulas():
             own = regions.where(F.col("label") == FORMULA).join(page_sizes(pages), "page_id")
             tokens = models.run_formulas(pages, assign.with_windows(own, FORMULA_PADDING), m.formula)
             latex = decode.formula(tokens, m.tokens).select("page_id", "region_idx", markdown.formula_markdown(F.col("latex")).alias("content"))
             contents = latex if contents is None else contents.unionByName(latex)
-        self.timing["recognise"] = time.monotonic() - began - self.timing["layout"] - self.timing["detect"]
         if contents is None:
             contents = regions.select("page_id", "region_idx", F.lit("").alias("content")).limit(0)
         return paragraphs_of(regions, contents)
 
     def documents(self, pages: DataFrame) -> DataFrame:
         return markdown.documents(self.recognise(pages))
+
+    def time_stages(self, pages: DataFrame) -> dict[str, float]:
+        """Seconds of layout, of detection, and of everything, each run for itself."""
+        stages = {"layout": self.regions(pages), "detect": self.lines(pages), "recognise": self.recognise(pages)}
+        self.last_timing = {}
+        for name, df in stages.items():
+            began = time.monotonic()
+            if df is not None:
+                df.write.format("noop").mode("overwrite").save()
+            self.last_timing[name] = time.monotonic() - began
+        return self.last_timing

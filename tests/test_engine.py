@@ -84,6 +84,12 @@ def test_threshold_and_none(pages):
     assert contents(Engine(PageConfig(ClassConfig.none()), Models(layout_model)), pages) == []
 
 
+def test_timing(pages):
+    engine = Engine(PageConfig(), models())
+    assert engine.time_stages(pages).keys() == {"layout", "detect", "recognise"} == engine.last_timing.keys()
+    assert engine.recognise(pages.limit(0)).count() == 0
+
+
 def test_missing_models():
     with pytest.raises(PipelineError, match="missing required model path: detection"):
         Engine(PageConfig(), Models(layout_model))
