@@ -10,28 +10,41 @@ from quire.functions.geometry import area, centre, crop_window, inside
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def assign_lines(lines: DataFrame, regions: DataFrame, line: str = "line_idx", region: str = "region_idx") -> DataFrame:
-    """(page_id, line, region): each line's smallest region that holds its centre.
+def within_page(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """A join on page_id and a numeric key that is dealt by page_id alone.
+
+    The key's equality is written as a difference, which stays a residual of the
+    join: sides that are dealt by page already need no further shuffle, and a
+    page's rows are few.
+    """
+    other = right.select(F.col("page_id").alias("__page"), F.col(key).alias("__key"), *[c for c in right.columns if c not in ("page_id", key)])
+    return left.join(other, (F.col("page_id") == F.col("__page")) & (F.col(key) - F.col("__key") == 0), how).drop("__page", "__key")
+
+
+def assign_lines(lines: DataFrame, regions: DataFrame, line: str = "line_idx", region: str = "region_idx", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, line, region, kept line columns): each line's smallest region that
+    holds its centre.
 
     Ties go to the lower region; a line in no region is dropped.  An equi-join on
-    the page with the range test as its residual; the choice is a min aggregate,
-    combined before any further shuffle.
+    the page with the range test as its residual; the choice is a min aggregate
+    within what the join has dealt.
     """
-    a = lines.select("page_id", line, centre(F.col("x1"), F.col("x2")).alias("cx"), centre(F.col("y1"), F.col("y2")).alias("cy"))
+    a = lines.select("page_id", line, centre(F.col("x1"), F.col("x2")).alias("cx"), centre(F.col("y1"), F.col("y2")).alias("cy"), F.struct(line, *keep).alias("own"))
     b = regions.select(F.col("page_id").alias("__page"), region, *[F.col(c).alias(f"r{c}") for c in BOX])
     box = [F.col(f"r{c}") for c in BOX]
     met = a.join(b, (F.col("page_id") == F.col("__page")) & inside(F.col("cx"), F.col("cy"), *box))
-    best = met.groupBy("page_id", line).agg(F.min(F.struct(area(*box).alias("area"), F.col(region).alias("region"))).alias("best"))
-    return best.select("page_id", line, F.col("best.region").alias(region))
+    best = met.groupBy("page_id", line).agg(F.min(F.struct(area(*box).alias("area"), F.col(region).alias("region"), "own")).alias("best"))
+    return best.select("page_id", line, F.col("best.region").alias(region), *[F.col("best.own").getField(c).alias(c) for c in keep])
 
 
-def crops(regions: DataFrame, lines: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One crop per assigned line, or the whole region where it has none.
+def crops(regions: DataFrame, lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One crop per line in its region, or the whole region where it has none.
 
-    Adds crop_idx in order of region, then line.
+    Adds crop_idx in order of region, then line; `keep` are further line columns.
     """
-    boxes = assigned.join(lines.select("page_id", "line_idx", *[F.col(c).alias(f"l{c}") for c in BOX]), ["page_id", "line_idx"])
-    met = regions.join(boxes, ["page_id", "region_idx"], "left")
+    assigned = assign_lines(lines, regions, keep=(*BOX, *keep))
+    assigned = assigned.select("page_id", "region_idx", "line_idx", *keep, *[F.col(c).alias(f"l{c}") for c in BOX])
+    met = within_page(regions, assigned, "region_idx")
     by = Window.partitionBy("page_id").orderBy("region_idx", "line_idx")
     return met.select(
         "page_id",
@@ -41,6 +54,7 @@ def crops(regions: DataFrame, lines: DataFrame, assigned: DataFrame) -> DataFram
         "line_idx",
         F.col("line_idx").isNull().alias("is_fallback"),
         *[F.coalesce(f"l{c}", c).alias(c) for c in BOX],
+        *keep,
     )
 
 

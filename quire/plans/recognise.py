@@ -23,24 +23,24 @@ def regions_of(boxes: DataFrame, config: PageConfig) -> DataFrame:
     return layout.reading_order(layout.keep_classes(layout.suppress(boxes), config.classes.enabled))
 
 
-def text_contents(regions: DataFrame, ordered: DataFrame | None, recognised: Callable[[DataFrame], DataFrame], config: PageConfig) -> DataFrame:
+def text_contents(regions: DataFrame, ordered: DataFrame | None, recognised: Callable[[DataFrame], DataFrame], config: PageConfig, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, region_idx, content) of text regions.
 
-    recognised turns crops into rows with text and confidence; `ordered` are lines
-    with line_idx, or None where no enabled class needs detection.
+    recognised turns crops (with the line columns `keep`) into rows with text and
+    confidence; `ordered` are lines with line_idx, or None where no enabled class
+    needs detection.
     """
     text_regions = regions.where(is_in(F.col("label"), TEXT))
     if ordered is None:
         empty = regions.sparkSession.createDataFrame([], "page_id long, line_idx int, x1 double, y1 double, x2 double, y2 double")
         ordered = empty
-    assigned = assign.assign_lines(ordered, text_regions)
-    kept = markdown.keep_recognised(recognised(assign.crops(text_regions, ordered, assigned)), config.recognition_threshold)
+    kept = markdown.keep_recognised(recognised(assign.crops(text_regions, ordered, keep)), config.recognition_threshold)
     return markdown.region_markdown(kept, ["page_id", "region_idx"], "crop_idx").select("page_id", "region_idx", "content")
 
 
 def paragraphs_of(regions: DataFrame, contents: DataFrame) -> DataFrame:
     """Every region as a paragraph; one without content has the empty string."""
-    out = regions.join(contents, ["page_id", "region_idx"], "left")
+    out = assign.within_page(regions, contents, "region_idx")
     return out.select(
         "page_id",
         F.col("region_idx").alias("para_idx"),
@@ -103,7 +103,7 @@ class Engine:
             def recognised(crops: DataFrame) -> DataFrame:
                 windows = assign.with_windows(crops.join(page_sizes(pages), "page_id"))
                 tokens = models.run_recognition(pages, windows, m.recognition, config.recognition_batch)
-                return decode.ctc(tokens, m.symbols).join(crops.select("page_id", "crop_idx", "region_idx", "label"), ["page_id", "crop_idx"])
+                return assign.within_page(decode.ctc(tokens, m.symbols), crops.select("page_id", "crop_idx", "region_idx", "label"), "crop_idx", "inner")
 
             contents = text_contents(regions, self.lines(pages), recognised, config)
         if config.classes.needs_formulas():

@@ -276,7 +276,7 @@ crops AS (
 def nested_crops(spark, sf_dir) -> DataFrame:
     regions = fixture(spark, sf_dir, "regions_nested").withColumn("label", label_name(F.col("label_id"))).withColumnRenamed("raw_ord", "region_idx")
     own = fixture(spark, sf_dir, "lines").withColumnRenamed("line_ord", "line_idx")
-    return assign.crops(regions, own, assign.assign_lines(own, regions))
+    return assign.crops(regions, own)
 
 
 @query(f"{CROPS_SQL} SELECT page_id, crop_idx, region_idx, line_idx, is_fallback, x1, y1, x2, y2 FROM crops", "lines", "regions_nested")
@@ -501,11 +501,10 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = fixture(spark, sf_dir, "line_texts")
 
     def recorded(crops: DataFrame) -> DataFrame:
-        named = crops.join(ordered.select("page_id", "line_idx", "line_ord"), ["page_id", "line_idx"], "left")
-        met = named.join(texts, ["page_id", "line_ord"], "left")
+        met = assign.within_page(crops, texts, "line_ord")
         return met.withColumn("text", F.coalesce("text", F.concat(F.lit("region "), F.col("region_idx").cast("string")))).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
 
-    return recognise.paragraphs_of(regions, recognise.text_contents(regions, ordered, recorded, config))
+    return recognise.paragraphs_of(regions, recognise.text_contents(regions, ordered, recorded, config, ("line_ord",)))
 
 
 _PAGES = ("boxes", "lines", "line_texts")
