@@ -17,16 +17,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.common import map_texts
+from quire.llm.common import LONG_TEXT, map_texts
 
 #: The pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 500_000
+#: Ids that are decoded at once.
+RUN = 1 << 18
 
 _CODECS: dict[str, Codec] = {}
 
@@ -136,21 +139,34 @@ class Codec:
         self.known.update(zip(new, self.merge(new), strict=True))
         return [b"".join([self.known[p] for p in ps]) for ps in split]
 
+    def spans(self, text: str) -> Iterator[str]:
+        """A text in parts of about `LONG_TEXT` characters, cut at safe places."""
+        at = 0
+        while len(text) - at > LONG_TEXT:
+            cut = self.safe.search(text, at + LONG_TEXT)
+            if not cut:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
+    def parts(self, text: str) -> Iterator[tuple[int, str]]:
+        """(-1, text) for what is encoded by itself, (id, "") for special tokens."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield from ((-1, x) for x in self.spans(text[at : m.start()]))
+            yield self.special[m[0]], ""
+            at = m.end()
+        yield from ((-1, x) for x in self.spans(text[at:] if at else text))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of ids."""
-        parts: list[tuple[int, str]] = []  # (-1, text) or (id, '')
-        sizes = []
-        for text in texts:
-            if self.cut is None or not self.cut.search(text):
-                own = [(-1, text)]
-            else:
-                own, at = [], 0
-                for m in self.cut.finditer(text):
-                    own += [(-1, text[at : m.start()]), (self.special[m[0]], "")]
-                    at = m.end()
-                own.append((-1, text[at:]))
-            sizes.append(len(own))
-            parts += own
+        if any(len(x) > LONG_TEXT for x in texts):  # one at a time, and that in parts
+            return [np.concatenate([self.encode_parts([[part]])[0] for part in self.parts(x)]) for x in texts]
+        return self.encode_parts([list(self.parts(x)) for x in texts])
+
+    def encode_parts(self, texts: list[list[tuple[int, str]]]) -> list[np.ndarray]:
+        parts, sizes = [p for own in texts for p in own], [len(own) for own in texts]
         split = [(self.safe.split(t) if self.unsafe(t) else t.split(" ")) if t else [] for _, t in parts]
         if len(self.later) > self.most or len(self.first) > self.most:
             self.first, self.later = {}, {}
@@ -179,12 +195,25 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        if not len(ids):
-            return ""
+        return b"".join(map(self.raw, self.runs(ids))).decode("utf-8", "replace")
+
+    @staticmethod
+    def runs(ids: np.ndarray) -> Iterator[np.ndarray]:
+        return (ids[at : at + RUN] for at in range(0, len(ids), RUN))
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids."""
         n = self.lengths[ids]
         ends = np.cumsum(n)
         at = np.repeat(self.places[ids] - (ends - n), n) + np.arange(int(ends[-1]))
-        return self.flat[at].tobytes().decode("utf-8", "replace")
+        return self.flat[at].tobytes()
+
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        out = hashlib.sha256()
+        for k, run in enumerate(self.runs(ids)):
+            out.update((("," if k else "") + ",".join(map(self.decimal.__getitem__, run.tolist()))).encode())
+        return out.hexdigest()
 
 
 def codec(path: str) -> Codec:
@@ -237,7 +266,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
             out = {k: [] for k in ROUND_TRIP.names}
             for ids in codec_.encode([x.decode() for x in raw]):
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(codec_.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                out["ids_sha256"].append(codec_.digest(ids))
                 out["decoded_sha256"].append(hashlib.sha256(codec_.decode(ids).encode()).hexdigest())
             return out
 

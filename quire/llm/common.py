@@ -100,6 +100,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+#: Bytes of one text whose words are objects at once.
+LONG_TEXT = 2 << 20
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+
+
+def cuts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about `LONG_TEXT` bytes, cut at ASCII white space; most
+    texts are one part.  Words of the parts are the words of the text."""
+    at = 0
+    while len(text) - at > LONG_TEXT:
+        space = _SPACE.search(text, at + LONG_TEXT)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes], pa.RecordBatch], dict[str, object]]],

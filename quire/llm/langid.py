@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import binary, held_out, map_texts, slices, text_batches
+from quire.llm.common import LONG_TEXT, binary, cuts, held_out, map_texts, slices, text_batches
 
 TRAIN_ROWS = 5000
 MAX_LANGUAGES = 256
@@ -197,6 +197,13 @@ class Labeller:
             self.clear()
         out, split, size = [], [], 0
         for x in texts:
+            if len(x) > LONG_TEXT:
+                parts = (part.decode() for part in cuts(x.encode()))
+                split.append([])
+                out += self.places(split)
+                split, size = [], 0
+                out[-1] = np.concatenate([self.places([part.lower().split()])[0] for part in parts])
+                continue
             split.append(x.lower().split())
             size += len(x)
             if size >= SPLIT_CHARS:

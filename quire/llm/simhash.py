@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import cut, map_texts, stored
+from quire.llm.common import cut, cuts, map_texts, stored
 from quire.llm.components import components
 
 SEED = 42
@@ -48,23 +48,27 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The unsigned fingerprint of a text's UTF-8 bytes."""
     from xxhash import xxh64_intdigest
 
-    parts = text.lower().split()
-    n = len(parts)
-    if not n:
-        return 0
-    joined = b" ".join(parts)
-    if n <= words:
-        return xxh64_intdigest(joined, SEED)
-    lengths = np.fromiter(map(len, parts), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: n - words + 1].tolist()
-    ends = ends[words - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+    total, count, before = np.zeros(64, np.int64), 0, []
+    for part in cuts(text):
+        parts = before + part.lower().split()
+        n = len(parts)
+        if n < words:  # of a whole text: its only shingle
+            before = parts
+            continue
+        before = parts[n - words + 1 :]
+        joined = b" ".join(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, n)
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: n - words + 1].tolist()
+        ends = ends[words - 1 :].tolist()
+        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+        count += len(hashes)
+        for at in range(0, len(hashes), 1 << 14):
+            own = hashes[at : at + (1 << 14)]
+            total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not count:
+        return xxh64_intdigest(b" ".join(before), SEED) if before else 0
+    return int(np.packbits(2 * total > count, bitorder="little").view(np.uint64)[0])
 
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])

@@ -11,6 +11,8 @@ import string
 
 import numpy as np
 
+from quire.llm.common import LONG_TEXT, cuts
+
 #: Words that a worker remembers at most, in two generations.
 CACHE_WORDS = 1_600_000
 #: Words that are encoded as one text.
@@ -103,6 +105,11 @@ class WordEncoder:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return self.encoded([x.decode() for x in texts])
+        if any(len(x) > LONG_TEXT for x in texts):  # one at a time, and that in parts
+            return [b"".join(self.word_ids([part])[0] for part in cuts(x)) for x in texts]
+        return self.word_ids(texts)
+
+    def word_ids(self, texts: list[bytes]) -> list[bytes]:
         found, new = [], set()
         get = self.known.get
         for x in texts:

@@ -56,6 +56,20 @@ def test_paths_are_the_best(model):
         assert abs(own - plain_viterbi(scores.tolist(), langid.SWITCH)[0]) < 1e-3
 
 
+def test_long_texts_in_parts(model, monkeypatch, odd_texts):
+    from quire.llm import common
+
+    texts = [(t or "")[:300] for t in odd_texts]
+    whole = langid.Labeller(model)
+    want = [whole.scores[p] for p in whole.words(texts)]
+    for module in (common, langid):
+        monkeypatch.setattr(module, "LONG_TEXT", 6)
+    parts = langid.Labeller(model)
+    got = [parts.scores[p] for p in parts.words(texts)]
+    # white space beyond ASCII may end a part's last word, never split one
+    assert all(np.allclose(a, b) for a, b in zip(want, got, strict=True))
+
+
 def test_spans_of_mixed_text(spark, model):
     rng = np.random.default_rng(2)
     text = " ".join([word(rng, "xx") for _ in range(40)] + [word(rng, "yy") for _ in range(25)] + [word(rng, "zz") for _ in range(10)])

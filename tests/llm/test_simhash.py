@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import queries, simhash
+from quire.llm import common, queries, simhash
 from quire.llm.components import components
 
 
@@ -39,6 +39,12 @@ def test_fingerprints(odd_texts):
             assert simhash.fingerprint((t or "").encode()) == plain_fingerprint(t), t[:40]
 
 
+def test_long_texts_in_parts(odd_texts, monkeypatch):
+    monkeypatch.setattr(common, "LONG_TEXT", 5)
+    for t in odd_texts:
+        assert simhash.fingerprint((t or "").encode()[:900]) == plain_fingerprint((t or "").encode()[:900].decode(errors="ignore")), t[:40]
+
+
 def test_hash_is_sparks(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("the quick brown fox"))).first()[0]
     assert got % 2**64 == xxhash.xxh64_intdigest(b"the quick brown fox", 42) == simhash.fingerprint(b"THE quick  brown\tfox")

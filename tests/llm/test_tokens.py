@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import bpe, packing, queries, token_files
+from quire.llm import bpe, common, packing, queries, token_files
 from quire.llm.words import WordEncoder
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +59,21 @@ def test_small_caches_change_nothing(libraries):
     assert whole.ids([b"Hello  world"]) == small.ids([b"Hello  world"])
 
 
+def test_long_texts_in_parts(libraries, monkeypatch, odd_texts):
+    from quire.llm import words
+
+    for module in (common, words, bpe):
+        monkeypatch.setattr(module, "LONG_TEXT", 7)
+    monkeypatch.setattr(bpe, "RUN", 3)
+    own, codec = WordEncoder(WORD), bpe.Codec(BYTE)
+    texts = [(t or "")[:400] for t in odd_texts] + ["one two  three\nfour <|endoftext|> five six.\tseven " * 3]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids([t.encode() for t in texts])] == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts]
+    ids = [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in codec.encode(texts)] == ids
+    assert [codec.decode(np.array(x, np.int64)) for x in ids] == [libraries[1].decode(x, skip_special_tokens=False) for x in ids]
+    assert [codec.digest(np.array(x, np.int64)) for x in ids] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+
+
 def test_broken_bytes_decode_like_the_library(libraries, codecs):
     for ids in ([220, 447], [160, 100], [50256, 50256], []):
         assert codecs[1].decode(np.array(ids, np.int64)) == libraries[1].decode(ids, skip_special_tokens=False)
