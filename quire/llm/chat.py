@@ -21,10 +21,10 @@ Events of one seq are folded in order of kind, then text.
     <s>ROLE\\nTEXT\\n</s>
 
 A control string (`CONTROLS`) inside a text gets a backslash before it.  No mark
-has one there, and taking one away restores the text; in a role, backslash, newline and < are written as \\\\, \\n and \\l.  `loss` lists the
-spans (start and length in code points) of the assistant's escaped texts, and
-`read_back` recovers roles, texts and the text under that mask from the output
-alone.
+has one there, and taking one away restores the text; in a role, backslash,
+newline and < are written as \\\\, \\n and \\l.  `loss` lists the spans (start and
+length in code points) of the assistant's escaped texts, and `read_back` recovers
+roles, texts and the text under that mask from the output alone.
 
 Nulls: a null text is empty, a null role is the empty role; events with a null
 conversation form one conversation, those with null msg or seq come first.  A
