@@ -122,50 +122,49 @@ def binarize(scores: np.ndarray, threshold: float = BINARY) -> np.ndarray:
     return np.pad(scores > np.float32(threshold), 1)
 
 
-#: Neighbours (row, column) in clockwise order on the screen, from the right.
-AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
-
-
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """Outer and hole borders by border following (Suzuki and Abe, 1985), in raster
-    order of their starts; points are (x, y) without the mask's border of zeros."""
-    f = mask.astype(np.int32)
+    order of their starts; points are (x, y) without the mask's border of zeros.
+
+    Marks: 1 for pixels of no border yet, else the border's number, negative where
+    the pixel on the right was looked at and is empty.
+    """
+    width = mask.shape[1]
+    f = mask.astype(np.int32).ravel().tolist()
+    around = (1, width + 1, width, width - 1, -1, -width - 1, -width, 1 - width)  # clockwise from the right
     found, border = [], 1
-    # a border starts only where a row changes between 0 and 1
-    starts = np.argwhere((f[:, 1:] != 0) != (f[:, :-1] != 0))
-    for i, j in starts.tolist():
-        if f[i, j] == 0 and f[i, j + 1] == 1:
-            y, x, back = i, j + 1, 4
-        elif f[i, j] >= 1 and f[i, j + 1] == 0:
-            y, x, back = i, j, 0
+    # a border starts only where a row changes between empty and full
+    for p in np.flatnonzero(np.diff(mask.ravel())).tolist():
+        if f[p] == 0 and f[p + 1] == 1:
+            home, back = p + 1, 4
+        elif f[p] >= 1 and f[p + 1] == 0:
+            home, back = p, 0
         else:
             continue
         border += 1
-        first = next((k % 8 for k in range(back, back + 8) if f[y + AROUND[k % 8][0], x + AROUND[k % 8][1]]), None)
+        first = next((k & 7 for k in range(back, back + 8) if f[home + around[k & 7]]), None)
         if first is None:
-            f[y, x] = -border
-            found.append(np.array([[x - 1, y - 1]], float))
+            f[home] = -border
+            found.append([home])
             continue
-        home, end = (y, x), (y + AROUND[first][0], x + AROUND[first][1])
-        here, toward, points = home, first, []
+        end, here, toward, points = home + around[first], home, first, []
         while True:
-            points.append((here[1] - 1, here[0] - 1))
-            passed_right = False
-            for k in range(toward - 1, toward - 9, -1):
-                step = AROUND[k % 8]
-                if f[here[0] + step[0], here[1] + step[1]]:
-                    break
-                passed_right |= k % 8 == 0
-            ahead = (here[0] + step[0], here[1] + step[1])
-            if passed_right:
+            points.append(here)
+            k, right_is_empty = toward - 1, False
+            while not f[here + around[k & 7]]:
+                right_is_empty |= not k & 7
+                k -= 1
+            if right_is_empty:
                 f[here] = -border
             elif f[here] == 1:
                 f[here] = border
+            ahead = here + around[k & 7]
             if ahead == home and here == end:
                 break
-            toward, here = (k + 4) % 8, ahead
-        found.append(np.array(points, float))
-    return found
+            here, toward = ahead, (k + 4) & 7
+        found.append(points)
+    places = [np.array(p) for p in found]
+    return [np.column_stack([p % width - 1, p // width - 1]).astype(float) for p in places]
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

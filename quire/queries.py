@@ -555,7 +555,8 @@ def vocab_overlay(spark, sf_dir):
 
 def _points(spark, sf_dir) -> DataFrame:
     rows = fixture(spark, sf_dir, "lines")
-    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "x1", "y1"))).alias("points"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "x1", "y1"))).alias("points"))
+    return pages.repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much work
 
 
 def _shape(spark, sf_dir, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
