@@ -57,10 +57,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 def nearest(queries: np.ndarray, base: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Places of each query's k largest inner products, but its own place."""
     found = []
-    for at in range(0, len(queries), 512):
-        s = queries[at : at + 512] @ base.T
+    for at in range(0, len(queries), 128):
+        s = queries[at : at + 128] @ base.T
         if own is not None:
-            s[np.arange(len(s)), own[at : at + 512]] = -np.inf
+            s[np.arange(len(s)), own[at : at + 128]] = -np.inf
         found.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
     return np.concatenate(found)
 
