@@ -61,7 +61,7 @@ def nearest(queries: np.ndarray, base: np.ndarray, k: int, own: np.ndarray | Non
         s = queries[at : at + 128] @ base.T
         if own is not None:
             s[np.arange(len(s)), own[at : at + 128]] = -np.inf
-        found.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
+        found.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k].copy())
     return np.concatenate(found)
 
 
