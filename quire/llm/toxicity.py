@@ -5,7 +5,9 @@ class (toxic, ordinary) its count is the number of distinct training texts that
 hold it; one absolute discount (`DISCOUNT`) is taken off every count, and the
 mass it frees goes to a backoff that both classes share: the expression's
 continuation count, the number of different words that it follows anywhere in
-all documents (linear counting over 64 bits).  So
+all documents (the start of a text counts as one).  These are counted as distinct
+pairs of a word's 64-bit and its predecessor's 32-bit hash; the count is corrected
+for collisions, so it grows with the input like the pairs themselves.  So
 
     P_c(w) = max(n_c(w) - D, 0) / N_c + D V_c / N_c * K(w) / sum K
 
@@ -52,6 +54,9 @@ CALIBRATION_ROWS = 20_000
 VOCABULARY = 200_000
 #: Words with evidence that may be broadcast; more are joined.
 BROADCAST_WORDS = 500_000
+#: Distinct pairs of words that a task gathers before it hands them on, and parts they are dealt in.
+PAIRS = 3_000_000
+PARTS = 4096
 MARKS = b".,;:!?\"'()[]{}<>*#$%&-_/\\|+=~`@^"
 
 
@@ -68,9 +73,10 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in found if w]
 
 
-def class_counts(df: DataFrame) -> DataFrame:
+def class_counts(df: DataFrame, sets: bool = True) -> DataFrame:
     """(word, toxic, ordinary, follows) of rows (text, label): texts of each class
-    that hold a word, and words that it follows as a 64-bit set."""
+    that hold a word, and words that it follows as a 64-bit set (a rough count that
+    stops at 310; `fit` takes `continuations` instead and leaves the sets empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -93,9 +99,10 @@ def class_counts(df: DataFrame) -> DataFrame:
                     while len(known) > len(follows):
                         counts, follows = np.concatenate([counts, np.zeros_like(counts)], axis=1), np.concatenate([follows, np.zeros_like(follows)])
                     ids = np.array([known[w] for w in words], np.int64)
-                    bit = np.uint64(1) << buckets(words[:-1])
-                    np.bitwise_or.at(follows, ids[1:], bit)
-                    follows[ids[0]] |= np.uint64(1)
+                    if sets:
+                        bit = np.uint64(1) << buckets(words[:-1])
+                        np.bitwise_or.at(follows, ids[1:], bit)
+                        follows[ids[0]] |= np.uint64(1)
                     if label is not None:
                         counts[1 - label][np.unique(ids)] += 1
                 if len(known) > VOCABULARY:
@@ -111,16 +118,117 @@ def class_counts(df: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("follows").alias("follows"))
 
 
+def continuations(df: DataFrame) -> DataFrame:
+    """(h, follows): the hash of every word of the texts and how many different words
+    it follows.
+
+    A task sends the distinct pairs it has seen as one row for each part of the
+    words; who gets a part joins its rows as they come, so it holds no more than
+    about twice the distinct pairs of some thousandth of the words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        known: dict[bytes, int] = {b"": 0}  # the start of a text
+        pairs, waiting, size = np.zeros(0, np.uint64), [], 0
+
+        def out() -> pa.RecordBatch:
+            hashes = np.fromiter((xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
+            before = hashes >> np.uint64(32)
+            part = hashes % np.uint64(PARTS)
+            order = np.lexsort([hashes, part])  # words by part
+            rank = np.empty(len(order), np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            found = np.sort(rank[pairs >> np.uint64(32)] << np.uint64(32) | before[pairs & np.uint64(2**32 - 1)])
+            sizes = np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(order))
+            hashes, ends = hashes[order], np.append(0, np.cumsum(sizes))
+            found, sizes, edges = found.astype(np.uint32), sizes.astype(np.uint32), np.searchsorted(part[order], np.arange(PARTS + 1))
+            rows = [
+                (k, hashes[a:b].tobytes(), sizes[a:b].tobytes(), found[ends[a] : ends[b]].tobytes())
+                for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                if ends[a] < ends[b]
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["part", "words", "sizes", "before"])
+
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                for raw in binary(part.column("text")):
+                    words = tokens(raw)
+                    if not words:
+                        continue
+                    for w in set(words).difference(known):
+                        known[w] = len(known)
+                    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    waiting.append(ids << np.uint64(32) | np.r_[np.uint64(0), ids[:-1]])
+                    size += len(ids)
+                    if size > PAIRS // 3:
+                        pairs, waiting, size = np.unique(np.concatenate([pairs, *waiting])), [], 0
+                if len(pairs) > PAIRS:
+                    pairs = np.unique(np.concatenate([pairs, *waiting]))
+                    yield out()
+                    known, pairs, waiting, size = {b"": 0}, np.zeros(0, np.uint64), [], 0
+        pairs = np.unique(np.concatenate([pairs, *waiting]))
+        if len(pairs):
+            yield out()
+        del known, pairs, waiting
+        release()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, most = None, [], 0, PAIRS
+
+        def distinct() -> tuple[np.ndarray, np.ndarray]:
+            """The words, and for each how many of its pairs are in the joined `held`."""
+            words = np.concatenate([np.repeat(w, n) for w, n, _ in held])
+            names, place = np.unique(words, return_inverse=True)
+            pairs = np.unique(place.astype(np.uint64) << np.uint64(32) | np.concatenate([x for *_, x in held]))
+            n = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(names))
+            held[:] = [(names, n, pairs.astype(np.uint32))]
+            return names, n
+
+        def out() -> pa.RecordBatch:
+            names, n = distinct()
+            at = np.flatnonzero(n)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(n[at])], names=["h", "follows"])
+
+        for batch in batches:
+            for part, *row in zip(*[batch.column(c).to_pylist() for c in ("part", "words", "sizes", "before")], strict=True):
+                if part != now and held:
+                    yield out()
+                    size, most = 0, PAIRS
+                now = part
+                held.append(tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint32, np.uint32), strict=True)))
+                size += len(held[-1][2])
+                if size > most:  # at most about twice what is distinct is held
+                    size = int(distinct()[1].sum())
+                    most = max(PAIRS, 2 * size)
+        if held:
+            yield out()
+        del held
+        release()
+
+    each = text_batches(df.select("text")).mapInArrow(run, "part int, words binary, sizes binary, before binary")
+    found = each.repartition("part").sortWithinPartitions("part").mapInArrow(count, "h long, follows long")
+    return found.select("h", (-(2.0**32) * F.log1p(-F.col("follows") / 2.0**32)).alias("follows"))
+
+
 def buckets(words: list[bytes]) -> np.ndarray:
     """0 to 63 for each word, alike in every process."""
     return np.array([(len(w) * 31 + w[0] * 7 + w[-1] * 5 + w[len(w) // 2] * 3) & 63 for w in words], np.uint64)
 
 
-def evidence_table(counts: DataFrame) -> DataFrame:
-    """(word, ratio) of the words whose log ratio passes the least margin."""
-    follows = F.bit_count("follows")
-    spread = F.when(follows >= 64, F.lit(64 * math.log(128.0))).otherwise(-64 * F.log1p(-follows / 64.0))
-    rows = cut(counts.where("toxic > 0 or ordinary > 0 or follows <> 0").withColumn("spread", spread))
+def evidence_table(counts: DataFrame, follows: DataFrame | None = None) -> DataFrame:
+    """(word, ratio) of the words whose log ratio passes the least margin; `follows`
+    are the `continuations` (without them the rough counts of `counts` are used)."""
+    if follows is None:
+        bits = F.bit_count("follows")
+        spread = F.when(bits >= 64, F.lit(64 * math.log(128.0))).otherwise(-64 * F.log1p(-bits / 64.0))
+        rows = cut(counts.where("toxic > 0 or ordinary > 0 or follows <> 0").withColumn("spread", spread))
+    else:
+        follows = follows.withColumnRenamed("follows", "spread")
+        counts = counts.where("toxic > 0 or ordinary > 0").withColumn("h", F.xxhash64("word"))
+        rows = cut(follows.join(counts.select("word", "toxic", "ordinary", "h"), "h", "left").select("word", "toxic", "ordinary", "spread"))
     total = rows.agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "spread")], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"n_{c}") for c in ("toxic", "ordinary")]).first()
     if not total["toxic"] or not total["ordinary"]:
         return rows.selectExpr("word", "cast(0 as double) AS ratio").limit(0)
@@ -200,8 +308,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     rate, n = texts.agg(F.avg("label"), F.count("*")).first()
     rate = 0.5 if rate is None else float(rate)
     train = texts.where("not part").select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))
-    counted = docs.join(small_or_shuffled(train), "doc_id", "left").select("text", "label")
-    words = cut(evidence_table(class_counts(counted)))
+    counted = docs.join(small_or_shuffled(train), "doc_id").select("text", "label")
+    words = cut(evidence_table(class_counts(counted, sets=False), continuations(docs)))
     check = texts.where("part").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = check.count()
     if rows > CALIBRATION_ROWS:  # a sample by hash

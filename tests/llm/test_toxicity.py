@@ -115,3 +115,28 @@ def test_query(spark, sf_dir):
     got = queries.op3_toxicity(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == held(r.doc_id) for r in got)
+
+
+def test_continuation_counts_grow_with_the_input(spark, monkeypatch):
+    texts = [f"p{k} the p{k % 40} of" for k in range(3000)] + ["", None, "of of"]
+    want = {}
+    for t in texts:
+        words = (t or "").split()
+        for v, w in zip(["", *words], words, strict=False):
+            want.setdefault(w, set()).add(v)
+    df = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, label int").repartition(3)
+    for limit in (toxicity.PAIRS, 100):
+        monkeypatch.setattr(toxicity, "PAIRS", limit)
+        got = {r.h: r.follows for r in toxicity.continuations(df).collect()}
+        names = {r.word: r.h for r in toxicity.class_counts(df).select(F.col("word").cast("string").alias("word"), F.xxhash64("word").alias("h")).collect()}
+        assert {w: round(got[h], 2) for w, h in names.items()} == {w: len(v) for w, v in want.items()}
+    assert len(want["the"]) == 3000  # the 64-bit set stops at 310
+
+
+def test_fit_uses_the_grown_counts(spark, monkeypatch):
+    seen = []
+    table = toxicity.evidence_table
+    monkeypatch.setattr(toxicity, "evidence_table", lambda *a: seen.append(a[1].agg(F.max("follows")).first()[0]) or table(*a))
+    df = spark.createDataFrame([(k, f"p{k} the") for k in range(2000)], "doc_id long, text string")
+    toxicity.fit(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    assert round(seen[0], 2) == 2000
