@@ -22,12 +22,14 @@ broadcast if its checked size allows, else joined.
 A logistic curve over the evidence gives the score.  It is fitted on labelled
 rows that no count has used (crc32 of the id mod 5 is 1), at most
 `CALIBRATION_ROWS` of them; all other labelled rows (mod 5 is 2, 3 or 4) are
-counted, each distinct text once.  Rows with mod 5 = 0 are never learned from.
+counted, each distinct text once.  If one of the two sides lacks a class, the fold
+set aside is mod 5 = 2, 3 or 4; if none will do, all rows are counted and the curve
+is fitted on counted rows.  Rows with mod 5 = 0 are never learned from.
 
 Nulls: a null text is empty and scores as a text without evidence; null or
 missing labels and null ids are not learned from.  Repeated label rows of an id
 count as toxic if any is.  Without labels of both classes every score is the
-share of toxic rows (0.5 without any).  Input columns are kept, but for those
+share of toxic rows (0.5 without any), and the model is not `informed`.  Input columns are kept, but for those
 named like an output column.
 """
 
@@ -66,6 +68,7 @@ class Model:
     margin: float
     bias: float
     slope: float
+    informed: bool = True  # whether rows of both classes were learned from
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -297,6 +300,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
+def _fold(sizes: dict[int, tuple[int, int]]) -> int | None:
+    """The first fold (1 to 4) to set aside so that it and the others have rows of
+    both classes; sizes are (rows, toxic rows) of folds."""
+
+    def both(folds: list[int]) -> bool:
+        n, toxic = (sum(sizes.get(k, (0, 0))[j] for k in folds) for j in (0, 1))
+        return 0 < toxic < n
+
+    return next((k for k in (1, 2, 3, 4) if both([k]) and both([j for j in (1, 2, 3, 4) if j != k])), None)
+
+
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the labelled rows of `df`; continuation counts cover all its rows."""
     labels = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
@@ -304,21 +318,28 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     seen = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("h")).join(small_or_shuffled(labels), "doc_id")
-    texts = cut(seen.withColumn("part", part == 1).groupBy("h", "part").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
-    rate, n = texts.agg(F.avg("label"), F.count("*")).first()
+    seen = cut(seen.withColumn("fold", part.cast("int")))
+    sizes = {r["fold"]: (r["n"], r["toxic"]) for r in seen.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()}
+    aside = _fold(sizes)
+    texts = cut(seen.withColumn("part", F.col("fold") == (1 if aside is None else aside)).groupBy("h", "part").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
+    rate = texts.agg(F.avg("label")).first()[0]
     rate = 0.5 if rate is None else float(rate)
-    train = texts.where("not part").select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))
+    train = (texts if aside is None else texts.where("not part")).select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))
     counted = docs.join(small_or_shuffled(train), "doc_id").select("text", "label")
     words = cut(evidence_table(class_counts(counted, sets=False), continuations(docs)))
-    check = texts.where("part").groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = check.count()
+    check = (texts if aside is None else texts.where("part")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows, toxic = check.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if rows > CALIBRATION_ROWS:  # a sample by hash
-        check = check.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CALIBRATION_ROWS / rows))
+        taken = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CALIBRATION_ROWS / rows)
+        rare = int(toxic < rows - toxic)
+        if min(toxic, rows - toxic) <= CALIBRATION_ROWS // 10:  # too few to be left to a sample
+            taken = taken | (F.col("label") == rare)
+        check = check.where(taken)
     sample = docs.join(small_or_shuffled(check), "doc_id").select("text", "label")
     found = evidences(sample, words, "text", ["label"], MARGINS).limit(2 * CALIBRATION_ROWS).toPandas()
     y = found["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(words, max(MARGINS), math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0)
+        return Model(words, max(MARGINS), math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0, False)
     tried = []
     for k, margin in enumerate(MARGINS):
         x = features(found[f"__evidence_{k}"].to_numpy())

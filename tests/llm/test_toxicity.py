@@ -140,3 +140,23 @@ def test_fit_uses_the_grown_counts(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"p{k} the") for k in range(2000)], "doc_id long, text string")
     toxicity.fit(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
     assert round(seen[0], 2) == 2000
+
+
+def test_few_toxic_labels_outside_the_calibration_fold(corpus):
+    docs, _, texts, truth = corpus
+    folds = {d: zlib.crc32(str(d).encode()) % 5 for d in truth}
+    for allowed in ((2, 3), (3,)):  # toxic labels in two folds, or in one alone
+        labels = [(d, t) for d, t in truth.items() if not t or folds[d] in allowed]
+        model = toxicity.fit(docs, docs.sparkSession.createDataFrame(labels, "doc_id long, toxic int"))
+        got = {r.doc_id: r.predicted for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+        assert model.informed
+        assert np.mean([got[d] for d, t in truth.items() if t]) > 0.8 and np.mean([got[d] for d, t in truth.items() if not t]) < 0.05
+
+
+def test_stage_keeps_documents_without_evidence(corpus, tmp_path):
+    import corpus_pipeline
+
+    docs, _, _, truth = corpus
+    for name, labels in (("none", []), ("toxic", [(d, 1) for d, t in truth.items() if t]), ("clean", [(d, 0) for d, t in truth.items() if not t])):
+        docs.sparkSession.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(docs.sparkSession, docs, f"{tmp_path}/{name}").count() == docs.count()
