@@ -1,73 +1,88 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-An expression is a lower-cased word without the ASCII marks around it.  For each
-class (toxic, ordinary) its count is the number of distinct training texts that
-hold it; one absolute discount (`DISCOUNT`) is taken off every count, and the
-mass it frees goes to a backoff that both classes share: the expression's
-continuation count, the number of different words that it follows anywhere in
-all documents (the start of a text counts as one).  These are counted as distinct
-pairs of a word's 64-bit and its predecessor's 32-bit hash; the count is corrected
-for collisions, so it grows with the input like the pairs themselves.  So
-
-    P_c(w) = max(n_c(w) - D, 0) / N_c + D V_c / N_c * K(w) / sum K
-
-with N_c the sum and V_c the number of n_c(w).  A text's evidence is the sum
-over its words of log P_toxic - log P_ordinary above `MARGIN`, divided by its
-length to the power `LENGTH_POWER`.  Below the margin the two models count as
-equal, as a language's or topic's share in the classes moves all its words by
-about that much.  As the discount leaves words of one text to the backoff, only
-words well known in toxic texts can pass the margin; they form a small table,
-broadcast if its checked size allows, else joined.
-
-A logistic curve over the evidence gives the score.  It is fitted on labelled
-rows that no count has used (crc32 of the id mod 5 is 1), at most
-`CALIBRATION_ROWS` of them; all other labelled rows (mod 5 is 2, 3 or 4) are
-counted, each distinct text once.  If one of the two sides lacks a class, the fold
-set aside is mod 5 = 2, 3 or 4; if none will do, all rows are counted and the curve
-is fitted on counted rows.  Rows with mod 5 = 0 are never learned from.
-
-Nulls: a null text is empty and scores as a text without evidence; null or
-missing labels and null ids are not learned from.  Repeated label rows of an id
-count as toxic if any is.  Without labels of both classes every score is the
-share of toxic rows (0.5 without any), and the model is not `informed`.  Input columns are kept, but for those
-named like an output column.
+An expression is a lower-cased word without the ASCII marks around it, after the
+word before it (or the start of the text).  Texts repeat lines and words, so the
+models count in how many texts of a class (toxic, ordinary) a pair or a word
+occurs, and a text has each of its different pairs once.  Per class c
+
+    P_c(w | v) = (n_c(v, w) - d) / n_c(v) + l_c(v) P_c(w)
+    P_c(w)     = (n_c(w) - D) / N_c + l_c K(w) / sum K
+
+with n_c(v) the sum of n_c(v, w), N_c that of n_c(w), and l the mass that the
+discounts free.  Discounts depend on the count, as in the modified form (`WORDS`,
+`PAIRS`).  K(w), which both classes share, is the continuation count: how many
+different words w follows anywhere in all documents (the start of a text counts as
+one), counted as distinct pairs of a word's 64-bit and its predecessor's 32-bit
+hash and corrected for collisions; it grows with the input.
+
+Toxic texts consist of ordinary language for the most part, so the toxic model of
+a text takes every expression from the toxic class with a probability of a and
+from the ordinary one else.  A text's evidence is the difference of the two
+log-likelihoods divided by the text's length (its different pairs):
+
+    mean of log((1 - a) P_ordinary(w | v) + a P_toxic(w | v)) - log P_ordinary(w | v)
+
+A logistic curve over the logarithms of evidence and length gives the score.  It is
+fitted, and a chosen from `SHARES`, on at most `CALIBRATION_ROWS` labelled texts
+(by a hash, at most a quarter) that no count has used; all other labelled texts are
+counted, those that two ids share once.  If one of the two sides lacks a class,
+other hashes are tried; if none will do, all rows are counted and the curve is
+fitted on counted rows.  Rows whose crc32 of the id mod 5 is 0 are never learned
+from.
+
+What words, leading words and pairs add is broadcast as arrays while each has at
+most `BROADCAST_WORDS` rows, else joined.
+
+Nulls: a null text is empty and has no evidence; null or missing labels and null
+ids are not learned from.  Repeated label rows of an id count as toxic if any is;
+rows that repeat id and text count as often as they occur.  Without labels of both
+classes every score is the share of toxic rows (0.5 without any), and the model is
+not `informed`.  Texts of any length are split in parts.  An empty table gives no
+rows.  Input columns are kept, but for those named like an output column.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import binary, cut, cuts, few, held_out, map_texts, release, slices, small_or_shuffled, text_batches
 
-DISCOUNT = 2.0
-MARGINS = (1.0, 1.5, 2.0, 2.5, 3.0)
-LENGTH_POWER = 0.7
+#: Discounts of words and of pairs that one, two, three or more texts hold.
+WORDS = (1.0, 0.75, 0.5)
+PAIRS = (1.0, 2.0, 3.0)
+#: Texts from which a pair's count is above its discount.
+FREQUENT = 4
+#: Shares of expressions that a toxic text may owe to its class.
+SHARES = (0.01, 0.03, 0.1)
+FLOOR = 1e-3
 CALIBRATION_ROWS = 20_000
-#: Distinct words that a task gathers before it hands on what it has counted.
-VOCABULARY = 200_000
-#: Words with evidence that may be broadcast; more are joined.
-BROADCAST_WORDS = 500_000
+#: Rows of words, leading words or pairs that may be broadcast; more are joined.
+BROADCAST_WORDS = 2_000_000
+#: Words that a scoring worker remembers.
+CACHE_WORDS = 100_000
 #: Distinct pairs of words that a task gathers before it hands them on, and parts they are dealt in.
-PAIRS = 3_000_000
+GATHERED = 1_000_000
 PARTS = 4096
+SEED = 42
 MARKS = b".,;:!?\"'()[]{}<>*#$%&-_/\\|+=~`@^"
 
 
 @dataclass
 class Model:
-    words: DataFrame  # word binary, ratio double
-    margin: float
-    bias: float
-    slope: float
+    words: DataFrame  # h, r: ratio of P_toxic(w) and P_ordinary(w) where it isn't `base`
+    leads: DataFrame  # h, r: ratio of the masses that backoff after h has, where it isn't 1
+    pairs: DataFrame  # h (the word before), other, r: ratio of the pair's probabilities
+    base: float
+    share: float
+    curve: tuple[float, float, float]  # bias, slopes of the logarithms of evidence and length
     informed: bool = True  # whether rows of both classes were learned from
 
 
@@ -76,282 +91,420 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in found if w]
 
 
-def class_counts(df: DataFrame, sets: bool = True) -> DataFrame:
-    """(word, toxic, ordinary, follows) of rows (text, label): texts of each class
-    that hold a word, and words that it follows as a 64-bit set (a rough count that
-    stops at 310; `fit` takes `continuations` instead and leaves the sets empty)."""
+def mixed(lead: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two hashes."""
+    key = lead * np.uint64(0x9E3779B97F4A7C15) ^ (other + np.uint64(0x7F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ key >> np.uint64(31)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        counts = np.zeros((2, 1 << 16), np.int64)
-        follows = np.zeros(1 << 16, np.uint64)
 
-        def out(known: dict, counts: np.ndarray, follows: np.ndarray) -> pa.RecordBatch:
-            n = len(known)
-            columns = [pa.array(list(known), pa.binary()), *[pa.array(c[:n]) for c in counts], pa.array(follows[:n].view(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "ordinary", "follows"])
+def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return [keys[starts], *[np.add.reduceat(c[order], starts, dtype=c.dtype) if len(keys) else c for c in counts]]
 
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                for raw, label in zip(binary(part.column("text")), part.column("label").to_pylist(), strict=True):
-                    words = tokens(raw)
-                    if not words:
-                        continue
-                    for w in set(words).difference(known):
-                        known[w] = len(known)
-                    while len(known) > len(follows):
-                        counts, follows = np.concatenate([counts, np.zeros_like(counts)], axis=1), np.concatenate([follows, np.zeros_like(follows)])
-                    ids = np.array([known[w] for w in words], np.int64)
-                    if sets:
-                        bit = np.uint64(1) << buckets(words[:-1])
-                        np.bitwise_or.at(follows, ids[1:], bit)
-                        follows[ids[0]] |= np.uint64(1)
-                    if label is not None:
-                        counts[1 - label][np.unique(ids)] += 1
-                if len(known) > VOCABULARY:
-                    yield out(known, counts, follows)
-                    known = {}
-                    counts[:], follows[:] = 0, 0
-        if known:
-            yield out(known, counts, follows)
-        del known, counts, follows
-        release()
 
-    each = text_batches(df).mapInArrow(run, "word binary, toxic long, ordinary long, follows long")
-    return each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("follows").alias("follows"))
+_BLOBS = ("words", "sizes", "others", "a", "b", "c", "d")
+_KINDS = [(np.uint64, np.uint32, others, *[np.uint32] * 4) for others in (np.uint32, np.uint64)]
 
 
-def continuations(df: DataFrame) -> DataFrame:
-    """(h, follows): the hash of every word of the texts and how many different words
-    it follows.
+class Gathered:
+    """What a task has counted.
 
-    A task sends the distinct pairs it has seen as one row for each part of the
-    words; who gets a part joins its rows as they come, so it holds no more than
-    about twice the distinct pairs of some thousandth of the words.
+    Words have numbers in order of arrival.  `seen` are distinct pairs (word, word
+    before) of all texts, `held` pairs (word before, word) of labelled texts with the
+    number of texts of either class.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self):
+        self.known: dict[bytes, int] = {b"": 0}  # the start of a text
+        self.seen, self.waiting, self.size = np.zeros(0, np.uint64), [], 0
+        self.held = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        self.more: tuple[list, list] = ([], [])  # by label
+        self.texts: tuple[list, list] = ([], [])  # words of texts, by label
+        self.more_size = 0
+
+    def add(self, words: list[bytes], label: int | None) -> None:
+        known = self.known
+        for w in set(words).difference(known):
+            known[w] = len(known)
+        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        before = np.r_[np.uint64(0), ids[:-1]]
+        self.waiting.append(ids << np.uint64(32) | before)
+        self.size += len(ids)
+        if label is not None:
+            own = np.unique(before << np.uint64(32) | ids)
+            self.more[label].append(own)
+            self.texts[label].append(np.unique(ids).astype(np.uint32))
+            self.more_size += len(own)
+        if self.size > GATHERED // 3:
+            self.settle_seen()
+        if self.more_size > GATHERED // 3:
+            self.settle_held()
+
+    def settle_seen(self) -> None:
+        self.seen, self.waiting, self.size = np.unique(np.concatenate([self.seen, *self.waiting])), [], 0
+
+    def settle_held(self) -> None:
+        keys, a, b = self.held
+        toxic, ordinary = (np.concatenate([np.zeros(0, np.uint64), *self.more[k]]) for k in (1, 0))
+        new = np.concatenate([np.ones(len(toxic), np.uint32), np.zeros(len(ordinary), np.uint32)])
+        self.held = summed(np.concatenate([keys, toxic, ordinary]), np.concatenate([a, new]), np.concatenate([b, 1 - new]))
+        self.more, self.more_size = ([], []), 0
+
+    def full(self) -> bool:
+        return len(self.seen) + len(self.held[0]) > GATHERED
+
+    def rows(self) -> pa.RecordBatch | None:
+        """A row for each part of the words before (kind 1) and of the words (kind 0)."""
         from xxhash import xxh64_intdigest
 
-        known: dict[bytes, int] = {b"": 0}  # the start of a text
-        pairs, waiting, size = np.zeros(0, np.uint64), [], 0
-
-        def out() -> pa.RecordBatch:
-            hashes = np.fromiter((xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
-            before = hashes >> np.uint64(32)
-            part = hashes % np.uint64(PARTS)
-            order = np.lexsort([hashes, part])  # words by part
-            rank = np.empty(len(order), np.uint64)
-            rank[order] = np.arange(len(order), dtype=np.uint64)
-            found = np.sort(rank[pairs >> np.uint64(32)] << np.uint64(32) | before[pairs & np.uint64(2**32 - 1)])
-            sizes = np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(order))
-            hashes, ends = hashes[order], np.append(0, np.cumsum(sizes))
-            found, sizes, edges = found.astype(np.uint32), sizes.astype(np.uint32), np.searchsorted(part[order], np.arange(PARTS + 1))
-            rows = [
-                (k, hashes[a:b].tobytes(), sizes[a:b].tobytes(), found[ends[a] : ends[b]].tobytes())
-                for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                if ends[a] < ends[b]
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["part", "words", "sizes", "before"])
+        self.settle_seen()
+        self.settle_held()
+        n = len(self.known)
+        if n == 1:
+            return None
+        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in self.known), np.uint64, n)
+        part = (hashes % np.uint64(PARTS)).astype(np.int64)
+        order = np.lexsort([hashes, part])  # words by part
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.arange(n, dtype=np.uint64)
+        edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+        low, half = np.uint64(2**32 - 1), np.uint64(32)
+        lead = (self.held[0] >> half).astype(np.int64)
+        counts = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *self.texts[k]]), minlength=n) for k in (1, 0)]
+        counts += [np.bincount(lead, weights=c, minlength=n) for c in self.held[1:]]
+        counts = [c[order].astype(np.uint32) for c in counts]
+        sorted_hashes = hashes[order]
+        out: list[tuple] = []
+
+        def deal(kind: int, first: np.ndarray, others: np.ndarray, per_word: list[np.ndarray], per_pair: list[np.ndarray]) -> None:
+            sizes = np.bincount(first.astype(np.int64), minlength=n).astype(np.uint32)
+            ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+            for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                x, y = edges[k], edges[k + 1]
+                if kind and ends[x] == ends[y]:
+                    continue
+                arrays = [c[x:y] for c in per_word] + [c[ends[x] : ends[y]] for c in per_pair]
+                arrays += [np.zeros(0, np.uint32)] * (4 - len(arrays))
+                out.append((k, kind, *[v.tobytes() for v in (sorted_hashes[x:y], sizes[x:y], others[ends[x] : ends[y]], *arrays)]))
+
+        pairs = np.sort(rank[self.seen >> half] << half | hashes[self.seen & low] >> half)
+        deal(0, pairs >> half, pairs.astype(np.uint32), counts, [])
+        by = np.argsort(rank[lead], kind="stable")
+        deal(1, rank[lead][by], hashes[self.held[0] & low][by], [], [c[by] for c in self.held[1:]])
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * len(_BLOBS)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "kind", *_BLOBS])
+
+
+class Joined:
+    """The joined rows of one part and kind."""
+
+    def __init__(self, kind: int):
+        self.kind, self.held, self.size, self.most = kind, [], 0, GATHERED
+
+    def add(self, blobs: list[bytes]) -> None:
+        self.held.append([np.frombuffer(x, t) for x, t in zip(blobs, _KINDS[self.kind], strict=True)])
+        self.size += len(self.held[-1][2])
+        if self.size > self.most:  # at most about twice what is distinct is held
+            self.join()
+            self.size = len(self.held[0][2])
+            self.most = max(GATHERED, 2 * self.size)
+
+    def join(self) -> None:
+        if len(self.held) == 1:
+            return
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        names, place = np.unique(columns[0], return_inverse=True)
+        first, others = np.repeat(place, columns[1]), columns[2]
+        by = np.lexsort([others, first])
+        first, others = first[by], others[by]
+        new = np.r_[True, (first[1:] != first[:-1]) | (others[1:] != others[:-1])] if len(by) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        sums = [np.add.reduceat(c[by], starts, dtype=c.dtype) if self.kind and len(by) else c for c in columns[3:5]]
+        if not self.kind:
+            sums = [np.bincount(place, weights=c, minlength=len(names)).astype(np.uint32) for c in columns[3:]]
+        sums += columns[5:] if self.kind else []
+        self.held = [[names, np.bincount(first[starts], minlength=len(names)).astype(np.uint32), others[starts], *sums]]
+
+    def rows(self) -> list[np.ndarray]:
+        """kind, h, other, follows, toxic, ordinary, lead_toxic, lead_ordinary."""
+        self.join()
+        names, sizes, others, a, b, c, d = self.held[0]
+        if self.kind:
+            at = np.flatnonzero((a >= FREQUENT) | (b >= FREQUENT))
+            none = np.zeros(len(at), np.uint32)
+            return [np.ones(len(at), np.int32), np.repeat(names, sizes)[at], others[at], none.astype(float), a[at], b[at], none, none]
+        follows = -(2.0**32) * np.log1p(-sizes.astype(float) / 2.0**32)
+        at = np.flatnonzero((a > 0) | (b > 0) | (c > 0) | (d > 0))
+        columns = [np.zeros(len(at), np.int32), names[at], np.zeros(len(at), np.uint64), follows[at], a[at], b[at], c[at], d[at]]
+        total = [[2], [0], [0], [follows.sum()], [0], [0], [0], [0]]  # of all words of the part
+        return [np.append(x, np.array(y, x.dtype)) for x, y in zip(columns, total, strict=True)]
+
+
+COUNTED = "kind int, h long, other long, follows double, toxic long, ordinary long, lead_toxic long, lead_ordinary long"
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """Counts over rows (text, label), where label is 1, 0 or null.
+
+    kind 0: words of labelled texts, with the texts that hold them, the number of
+    their pairs as the word before, and their continuation count over all texts;
+    kind 1: pairs that `FREQUENT` or more texts of a class hold; kind 2: sums of all
+    words' continuation counts.
 
+    A task sends the distinct pairs it has seen as one row for each part of the
+    words; who gets a part joins its rows as they come, so it holds no more than
+    about twice the distinct pairs of some thousandth of the words.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Gathered()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for raw in binary(part.column("text")):
-                    words = tokens(raw)
-                    if not words:
-                        continue
-                    for w in set(words).difference(known):
-                        known[w] = len(known)
-                    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    waiting.append(ids << np.uint64(32) | np.r_[np.uint64(0), ids[:-1]])
-                    size += len(ids)
-                    if size > PAIRS // 3:
-                        pairs, waiting, size = np.unique(np.concatenate([pairs, *waiting])), [], 0
-                if len(pairs) > PAIRS:
-                    pairs = np.unique(np.concatenate([pairs, *waiting]))
-                    yield out()
-                    known, pairs, waiting, size = {b"": 0}, np.zeros(0, np.uint64), [], 0
-        pairs = np.unique(np.concatenate([pairs, *waiting]))
-        if len(pairs):
-            yield out()
-        del known, pairs, waiting
+                for raw, label in zip(binary(part.column("text")), part.column("label").to_pylist(), strict=True):
+                    if words := tokens(raw):
+                        now.add(words, label)
+                if now.full():
+                    yield now.rows()
+                    now = Gathered()
+        if (rows := now.rows()) is not None:
+            yield rows
+        del now, rows
         release()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size, most = None, [], 0, PAIRS
-
-        def distinct() -> tuple[np.ndarray, np.ndarray]:
-            """The words, and for each how many of its pairs are in the joined `held`."""
-            words = np.concatenate([np.repeat(w, n) for w, n, _ in held])
-            names, place = np.unique(words, return_inverse=True)
-            pairs = np.unique(place.astype(np.uint64) << np.uint64(32) | np.concatenate([x for *_, x in held]))
-            n = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(names))
-            held[:] = [(names, n, pairs.astype(np.uint32))]
-            return names, n
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
 
-        def out() -> pa.RecordBatch:
-            names, n = distinct()
-            at = np.flatnonzero(n)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(n[at])], names=["h", "follows"])
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
+            signed = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(signed, types, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
 
         for batch in batches:
-            for part, *row in zip(*[batch.column(c).to_pylist() for c in ("part", "words", "sizes", "before")], strict=True):
-                if part != now and held:
-                    yield out()
-                    size, most = 0, PAIRS
-                now = part
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint32, np.uint32), strict=True)))
-                size += len(held[-1][2])
-                if size > most:  # at most about twice what is distinct is held
-                    size = int(distinct()[1].sum())
-                    most = max(PAIRS, 2 * size)
-        if held:
-            yield out()
-        del held
+            for part, kind, *blobs in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", *_BLOBS)], strict=True):
+                if (part, kind) != at:
+                    if now is not None:
+                        yield out(now.rows())
+                    at, now = (part, kind), Joined(kind)
+                now.add(blobs)
+        if now is not None:
+            yield out(now.rows())
+        del now
         release()
 
-    each = text_batches(df.select("text")).mapInArrow(run, "part int, words binary, sizes binary, before binary")
-    found = each.repartition("part").sortWithinPartitions("part").mapInArrow(count, "h long, follows long")
-    return found.select("h", (-(2.0**32) * F.log1p(-F.col("follows") / 2.0**32)).alias("follows"))
+    each = text_batches(df.select("text", "label")).mapInArrow(gather, "part int, kind int, " + ", ".join(f"{c} binary" for c in _BLOBS))
+    return each.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(join, COUNTED)
 
 
-def buckets(words: list[bytes]) -> np.ndarray:
-    """0 to 63 for each word, alike in every process."""
-    return np.array([(len(w) * 31 + w[0] * 7 + w[-1] * 5 + w[len(w) // 2] * 3) & 63 for w in words], np.uint64)
+def _above(count: Column, discounts: tuple[float, ...]) -> Column:
+    """What of a count its discount leaves."""
+    less = F.when(count >= 3, discounts[2]).when(count >= 2, discounts[1]).otherwise(discounts[0])
+    return F.when(count > 0, count - less).otherwise(0.0)
 
 
-def evidence_table(counts: DataFrame, follows: DataFrame | None = None) -> DataFrame:
-    """(word, ratio) of the words whose log ratio passes the least margin; `follows`
-    are the `continuations` (without them the rough counts of `counts` are used)."""
-    if follows is None:
-        bits = F.bit_count("follows")
-        spread = F.when(bits >= 64, F.lit(64 * math.log(128.0))).otherwise(-64 * F.log1p(-bits / 64.0))
-        rows = cut(counts.where("toxic > 0 or ordinary > 0 or follows <> 0").withColumn("spread", spread))
-    else:
-        follows = follows.withColumnRenamed("follows", "spread")
-        counts = counts.where("toxic > 0 or ordinary > 0").withColumn("h", F.xxhash64("word"))
-        rows = cut(follows.join(counts.select("word", "toxic", "ordinary", "h"), "h", "left").select("word", "toxic", "ordinary", "spread"))
-    total = rows.agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "spread")], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"n_{c}") for c in ("toxic", "ordinary")]).first()
+def tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float] | None:
+    """words, leads, pairs and the base ratio from the `counts`; None without both classes."""
+    names = ("toxic", "ordinary")
+    sums = [F.sum(F.when(F.col("kind") == 2, F.col("follows"))).alias("follows")]
+    for c in names:
+        sums += [F.sum(F.when(F.col("kind") == 0, F.col(c))).alias(c), F.sum(F.when(F.col("kind") == 0, _above(F.col(c), WORDS))).alias(f"{c}_above")]
+    total = found.agg(*sums).first()
     if not total["toxic"] or not total["ordinary"]:
-        return rows.selectExpr("word", "cast(0 as double) AS ratio").limit(0)
-
-    def share(c: str):
-        n = float(total[c])
-        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / n + DISCOUNT * total[f"n_{c}"] / n * F.col("spread") / total["spread"]
-
-    ratio = F.log(share("toxic")) - F.log(share("ordinary"))
-    return rows.where(F.col("toxic") > DISCOUNT).select("word", ratio.alias("ratio")).where(F.col("ratio") > min(MARGINS))
-
+        return None
+    free = {c: 1 - total[f"{c}_above"] / total[c] for c in names}
+    words = found.where("kind = 0")
+    for c in names:
+        words = words.withColumn(f"p_{c}", _above(F.col(c), WORDS) / total[c] + free[c] * F.col("follows") / total["follows"])
+    base = free["toxic"] / free["ordinary"]
+    ratios = words.where("toxic > 1 or ordinary > 1").select("h", (F.col("p_toxic") / F.col("p_ordinary")).alias("r"))
+    pairs = found.where("kind = 1").select("h", "other", *[F.greatest(F.col(c) - PAIRS[2], F.lit(0.0)).alias(c) for c in names])
+    leads = pairs.groupBy("h").agg(*[F.sum(c).alias(c) for c in names]).join(words.select("h", *[f"lead_{c}" for c in names]), "h")
+    for c in names:
+        leads = leads.withColumn(f"free_{c}", F.when(F.col(f"lead_{c}") > 0, 1 - F.col(c) / F.col(f"lead_{c}")).otherwise(1.0))
+    leads = cut(leads.select("h", *[f"free_{c}" for c in names], *[f"lead_{c}" for c in names]))
+    pairs = pairs.join(leads, "h").join(words.select(F.col("h").alias("other"), *[f"p_{c}" for c in names]), "other")
+    for c in names:
+        own = F.when(F.col(f"lead_{c}") > 0, F.col(c) / F.col(f"lead_{c}")).otherwise(0.0)
+        pairs = pairs.withColumn(f"q_{c}", own + F.col(f"free_{c}") * F.col(f"p_{c}"))
+    return (
+        cut(ratios),
+        cut(leads.select("h", (F.col("free_toxic") / F.col("free_ordinary")).alias("r"))),
+        cut(pairs.select("h", "other", (F.col("q_toxic") / F.col("q_ordinary")).alias("r"))),
+        base,
+    )
+
+
+class Scorer:
+    """Evidence of texts; remembers the words it has looked up."""
+
+    def __init__(self, words, leads, pairs, base: float, shares: tuple[float, ...]):
+        self.words, self.leads, self.pairs, self.base, self.shares = words, leads, pairs, base, shares
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.hashes, self.ratio, self.lead = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        self.learn([b""])
+
+    @staticmethod
+    def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default) -> np.ndarray:
+        names, values = table
+        if not len(names):
+            return np.full(len(keys), default) if np.isscalar(default) else default
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        return np.where(names[at] == keys, values[at], default)
+
+    def learn(self, words: list[bytes]) -> None:
+        from xxhash import xxh64_intdigest
 
-def evidences(df: DataFrame, words: DataFrame, text: str, keep: list[str], margins: tuple[float, ...]) -> DataFrame:
-    """Adds each text's length-normalised evidence above each margin: __evidence_0, ..."""
-    names = [f"__evidence_{k}" for k in range(len(margins))]
-    words = words.where(F.col("ratio") > min(margins))
-    if few(words, BROADCAST_WORDS):
-        shared = df.sparkSession.sparkContext.broadcast({bytes(w): r for w, r in words.select("word", "ratio").collect()})
+        new = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+        at = len(self.known)
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.hashes = np.concatenate([self.hashes, new])
+        self.ratio = np.concatenate([self.ratio, self.look_up(self.words, new, self.base)])
+        self.lead = np.concatenate([self.lead, self.look_up(self.leads, new, np.nan)])
+
+    def evidence(self, texts: list[bytes]) -> tuple[list[list[float]], list[int]]:
+        """For each text the evidence at each share, and its length."""
+        if len(self.known) > CACHE_WORDS:
+            self.clear()
+        found, sizes = [], []
+        for raw in texts:
+            words = tokens(raw)
+            if not words:
+                found.append([0.0] * len(self.shares))
+                sizes.append(0)
+                continue
+            new = set(words).difference(self.known)
+            if new:
+                self.learn(list(new))
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            own = np.unique(np.r_[0, ids[:-1]] << 32 | ids)
+            lead, other = own >> 32, own & (2**32 - 1)
+            r, free = self.ratio[other], self.lead[lead]
+            some = np.flatnonzero(~np.isnan(free))
+            if len(some):
+                r[some] = self.look_up(self.pairs, mixed(self.hashes[lead[some]], self.hashes[other[some]]), r[some] * free[some])
+            found.append([float(np.log1p(a * (r - 1)).sum() / len(own)) for a in self.shares])
+            sizes.append(len(own))
+        return found, sizes
+
+
+def _array(df: DataFrame, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    got = df.select(*key, "r").toArrow()
+    keys = [got.column(c).to_numpy().view(np.uint64) for c in key]
+    one = keys[0] if len(keys) == 1 else mixed(*keys)
+    order = np.argsort(one)
+    return one[order], got.column("r").to_numpy()[order]
+
+
+def evidences(df: DataFrame, model: Model, text: str, keep: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """Adds each text's evidence at each share, __evidence_0, ..., and its length, __length."""
+    names = [f"__evidence_{k}" for k in range(len(shares))]
+    if all(few(t, BROADCAST_WORDS) for t in (model.words, model.leads, model.pairs)):
+        base = model.base
+        shared = df.sparkSession.sparkContext.broadcast((_array(model.words, ["h"]), _array(model.leads, ["h"]), _array(model.pairs, ["h", "other"])))
 
         def make():
-            get = shared.value.get
-
-            def one(raw: bytes) -> list[float]:
-                ws = tokens(raw)
-                ratios = [r for r in map(get, ws) if r is not None]
-                return [sum(r - m for r in ratios if r > m) / max(1, len(ws)) ** LENGTH_POWER for m in margins]
+            scorer = Scorer(*shared.value, base, shares)
 
             def work(raw, _):
-                found = [one(x) for x in raw]
-                return {name: [x[k] for x in found] for k, name in enumerate(names)}
+                found, sizes = scorer.evidence(raw)
+                return {name: [x[k] for x in found] for k, name in enumerate(names)} | {"__length": sizes}
 
             return work
 
-        return map_texts(df, make, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), text, keep)
+        return map_texts(df, make, T.StructType([*[T.StructField(n, T.DoubleType()) for n in names], T.StructField("__length", T.LongType())]), text, keep, most=1 << 20)
     kept = [c for c in keep if c not in names]
     rows = cut(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"), F.expr("uuid()").alias("__row")))
 
     def split(batches):
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 20):
-                ids, ws, ns = [], [], []
+            for part in slices(batch, "__text", 1 << 18):
                 for row, raw in zip(part.column("__row").to_pylist(), binary(part.column("__text")), strict=True):
-                    own = tokens(raw)
-                    for w, n in Counter(own).items():
-                        ids.append(row), ws.append(w), ns.append(n / len(own) ** LENGTH_POWER)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ws, pa.binary()), pa.array(ns, pa.float64())], names=["__row", "word", "n"])
-
-    sums = text_batches(rows.select("__row", "__text")).mapInArrow(split, "__row string, word binary, n double").join(words, "word")
-    sums = sums.groupBy("__row").agg(*[F.sum(F.col("n") * F.greatest(F.col("ratio") - m, F.lit(0.0))).alias(n) for m, n in zip(margins, names, strict=True)])
-    return rows.join(sums, "__row", "left").select(*kept, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-
-
-def features(evidence: np.ndarray) -> np.ndarray:
-    return np.log(evidence + 1e-2)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Bias and slope of a logistic curve, by Newton steps with a small ridge."""
-    design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+                    words = tokens(raw)
+                    pairs = sorted(set(zip([b"", *words], words, strict=False)))
+                    hashes = [np.fromiter((xxh64_intdigest(p[k], SEED) for p in pairs), np.uint64, len(pairs)).view(np.int64) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(pairs), pa.string()), *map(pa.array, hashes)], names=["__row", "h", "other"])
+
+    each = text_batches(rows.select("__row", "__text")).mapInArrow(split, "__row string, h long, other long")
+    each = each.join(model.pairs.withColumnRenamed("r", "pair"), ["h", "other"], "left").join(model.leads.withColumnRenamed("r", "lead"), "h", "left")
+    each = each.join(model.words.select(F.col("h").alias("other"), F.col("r").alias("word")), "other", "left")
+    r = F.coalesce("pair", F.coalesce("lead", F.lit(1.0)) * F.coalesce("word", F.lit(model.base)))
+    sums = each.groupBy("__row").agg(*[F.avg(F.log1p(a * (r - 1))).alias(n) for a, n in zip(shares, names, strict=True)], F.count("*").alias("__length"))
+    return rows.join(sums, "__row", "left").select(*kept, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names], F.coalesce("__length", F.lit(0)).alias("__length"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Bias and slopes of a logistic curve, by Newton steps with a small ridge."""
+    design = np.column_stack([np.ones(len(x)), x])
+    beta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2), design.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(len(beta)), design.T @ (y - p) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
-
-
-def _fold(sizes: dict[int, tuple[int, int]]) -> int | None:
-    """The first fold (1 to 4) to set aside so that it and the others have rows of
-    both classes; sizes are (rows, toxic rows) of folds."""
+    return tuple(float(b) for b in beta)
 
-    def both(folds: list[int]) -> bool:
-        n, toxic = (sum(sizes.get(k, (0, 0))[j] for k in folds) for j in (0, 1))
-        return 0 < toxic < n
 
-    return next((k for k in (1, 2, 3, 4) if both([k]) and both([j for j in (1, 2, 3, 4) if j != k])), None)
+def _sides(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counted, calibrated) rows (doc_id, h, label) of distinct texts, both with both classes if that can be."""
+    n = texts.count()
+    below = int((1 << 20) * min(0.25, CALIBRATION_ROWS / max(1, n)))
+    aside = [F.pmod(F.xxhash64(F.lit(k), F.col("h")), F.lit(1 << 20)) < below for k in range(4)]
+    sums = [F.sum((c & (F.col("label") == y)).cast("long")) for c in aside for y in (0, 1)]
+    *inside, ordinary, toxic = texts.agg(*sums, *[F.sum((F.col("label") == y).cast("long")) for y in (0, 1)]).first()
+    for k, c in enumerate(aside):
+        a, b = inside[2 * k], inside[2 * k + 1]
+        if n and a and b and a < ordinary and b < toxic:
+            return texts.where(~c), texts.where(c)
+    return texts, texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CALIBRATION_ROWS / max(1, n))))
 
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the labelled rows of `df`; continuation counts cover all its rows."""
+    spark = df.sparkSession
     labels = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    seen = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("h")).join(small_or_shuffled(labels), "doc_id")
-    seen = cut(seen.withColumn("fold", part.cast("int")))
-    sizes = {r["fold"]: (r["n"], r["toxic"]) for r in seen.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()}
-    aside = _fold(sizes)
-    texts = cut(seen.withColumn("part", F.col("fold") == (1 if aside is None else aside)).groupBy("h", "part").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
+    seen = docs.select("doc_id", F.xxhash64("text").alias("h")).join(small_or_shuffled(labels), "doc_id")
+    texts = cut(seen.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
     rate = texts.agg(F.avg("label")).first()[0]
     rate = 0.5 if rate is None else float(rate)
-    train = (texts if aside is None else texts.where("not part")).select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))
-    counted = docs.join(small_or_shuffled(train), "doc_id").select("text", "label")
-    words = cut(evidence_table(class_counts(counted, sets=False), continuations(docs)))
-    check = (texts if aside is None else texts.where("part")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows, toxic = check.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if rows > CALIBRATION_ROWS:  # a sample by hash
-        taken = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CALIBRATION_ROWS / rows)
-        rare = int(toxic < rows - toxic)
-        if min(toxic, rows - toxic) <= CALIBRATION_ROWS // 10:  # too few to be left to a sample
-            taken = taken | (F.col("label") == rare)
-        check = check.where(taken)
-    sample = docs.join(small_or_shuffled(check), "doc_id").select("text", "label")
-    found = evidences(sample, words, "text", ["label"], MARGINS).limit(2 * CALIBRATION_ROWS).toPandas()
-    y = found["label"].to_numpy(float)
+    counted, checked = _sides(texts)
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    found = None
+    if 0 < rate < 1:
+        found = tables(cut(counts(hashed.join(small_or_shuffled(counted), ["doc_id", "h"], "left"))))
+    if found is None:
+        none = spark.createDataFrame([], "h long, other long, r double")
+        return Model(none, none, none, 1.0, SHARES[0], (math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0, 0.0), False)
+    model = Model(*found, SHARES[0], (0.0, 0.0, 0.0))
+    sample = hashed.join(small_or_shuffled(checked), ["doc_id", "h"]).select("text", "label")
+    got = evidences(sample, model, "text", ["label"], SHARES).toPandas()
+    y = got["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(words, max(MARGINS), math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0, False)
+        raise RuntimeError("the labelled texts changed while they were read")
     tried = []
-    for k, margin in enumerate(MARGINS):
-        x = features(found[f"__evidence_{k}"].to_numpy())
-        bias, slope = logistic(x, y)
-        tried.append((np.logaddexp(0, np.where(y > 0, -1, 1) * (bias + slope * x)).sum(), margin, bias, slope))
-    return Model(words, *min(tried)[1:])
+    for k, share in enumerate(SHARES):
+        x = np.column_stack([np.log(np.maximum(got[f"__evidence_{k}"], 0) + FLOOR), np.log1p(got["__length"])])
+        curve = logistic(x, y)
+        z = curve[0] + x @ np.array(curve[1:])
+        tried.append((np.logaddexp(0, np.where(y > 0, -z, z)).sum(), share, curve))
+    model.share, model.curve = min(tried)[1:]
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.5)."""
-    names = {"score", "predicted", "__evidence_0"}
+    names = {"score", "predicted", "__evidence_0", "__length"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    found = evidences(df, model.words, text, keep, (model.margin,))
-    value = 1 / (1 + F.exp(-(model.bias + model.slope * F.log(F.col("__evidence_0") + 1e-2))))
-    return found.withColumn("score", value).select(*[F.col(f"`{c}`") for c in keep], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = evidences(df, model, text, keep, (model.share,))
+    bias, evidence, length = model.curve
+    z = bias + evidence * F.log(F.greatest("__evidence_0", F.lit(0.0)) + FLOOR) + length * F.log1p("__length")
+    return found.withColumn("score", 1 / (1 + F.exp(-z))).select(*[F.col(f"`{c}`") for c in keep], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -50,37 +50,71 @@ def test_held_out_labels_change_nothing(corpus):
     assert a == b
 
 
-def test_counts_and_ratios_are_those_of_the_formula(spark):
-    texts = [("a b rotten", 1), ("rotten b c", 1), ("rotten d", 1), ("a b c", 0), ("b, c D", 0), ("rotten!", None), ("x y", None)]
-    df = spark.createDataFrame(texts, "text string, label int")
-    counts = {bytes(r.word).decode(): r for r in toxicity.class_counts(df).collect()}
-    toxic, ordinary, contexts = Counter(), Counter(), {}
-    for text, label in texts:
-        words = [w.strip(",!").lower() for w in text.split()]
-        if label is not None:
-            (toxic if label else ordinary).update(set(words))
-        for v, w in zip([None, *words], words, strict=False):
-            contexts.setdefault(w, set()).add(0 if v is None else int(toxicity.buckets([v.encode()])[0]))
-    assert {w: (r.toxic, r.ordinary) for w, r in counts.items()} == {w: (toxic[w], ordinary[w]) for w in contexts}
-    assert {w: (r.follows % 2**64).bit_count() for w, r in counts.items()} == {w: len(c) for w, c in contexts.items()}
-    spread = {w: -64 * math.log1p(-len(c) / 64) for w, c in contexts.items()}
-
-    def share(c, w):
-        n = sum(c.values())
-        return max(c[w] - toxicity.DISCOUNT, 0) / n + toxicity.DISCOUNT * len(c) / n * spread[w] / sum(spread.values())
-
-    want = {w: math.log(share(toxic, w) / share(ordinary, w)) for w in contexts if toxic[w] > toxicity.DISCOUNT}
-    got = {bytes(r.word).decode(): r.ratio for r in toxicity.evidence_table(toxicity.class_counts(df)).collect()}
-    assert got.keys() == {w for w, v in want.items() if v > min(toxicity.MARGINS)}
-    assert all(abs(got[w] - want[w]) < 1e-9 for w in got)
-
-
-def test_small_vocabulary_limit_changes_nothing(corpus, monkeypatch):
-    docs, labels, _, _ = corpus
-    rows = docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id", "left").select("text", "label").repartition(3)
-    whole = {tuple(r) for r in toxicity.class_counts(rows).collect()}
-    monkeypatch.setattr(toxicity, "VOCABULARY", 50)
-    assert {tuple(r) for r in toxicity.class_counts(rows).collect()} == whole
+def plain_tokens(text):
+    return [w for w in (x.strip(toxicity.MARKS.decode()) for x in (text or "").lower().split()) if w]
+
+
+def plain_evidence(texts, labels, asked, share):
+    """The model of the docstring, in plain Python: evidence of each asked text."""
+    follows, pairs, words = {}, ({}, {}), ({}, {})
+    for k, text in enumerate(texts):
+        own = plain_tokens(text)
+        for v, w in zip(["", *own], own, strict=False):
+            follows.setdefault(w, set()).add(v)
+        if labels[k] is not None:
+            for p in set(zip(["", *own], own, strict=False)):
+                pairs[labels[k]][p] = pairs[labels[k]].get(p, 0) + 1
+            for w in set(own):
+                words[labels[k]][w] = words[labels[k]].get(w, 0) + 1
+    spread = sum(map(len, follows.values()))
+
+    def less(n, discounts):
+        return discounts[min(n, 3) - 1] if n else 0.0
+
+    def word(c, w):
+        total = sum(words[c].values())
+        free = sum(less(n, toxicity.WORDS) for n in words[c].values()) / total
+        n = words[c].get(w, 0)
+        return (n - less(n, toxicity.WORDS)) / total + free * len(follows[w]) / spread
+
+    def pair(c, v, w):
+        own = {p: n for p, n in pairs[c].items() if p[0] == v}
+        total = sum(own.values())
+        if not total:
+            return word(c, w)
+        n = own.get((v, w), 0)
+        return (n - less(n, toxicity.PAIRS)) / total + sum(less(n, toxicity.PAIRS) for n in own.values()) / total * word(c, w)
+
+    found = []
+    for text in asked:
+        own = plain_tokens(text)
+        events = set(zip(["", *own], own, strict=False))
+        found.append(sum(math.log((1 - share) + share * pair(1, v, w) / pair(0, v, w)) for v, w in events) / max(1, len(events)))
+    return found
+
+
+@pytest.mark.parametrize("most", [toxicity.GATHERED, 40])
+def test_evidence_is_that_of_the_plain_model(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "GATHERED", most)
+    rng = np.random.default_rng(5)
+    names = ["the", "of", "a", "vile", "Rotten!", "w1", "w2", "w3", "w4", "w5", "-", "x,"]
+    share = np.r_[[0.25, 0.15, 0.1], np.full(9, 0.5 / 9)]
+    texts, labels = [], []
+    for k in range(90):
+        texts.append(" ".join(rng.choice(names, rng.integers(0, 25), p=share)) + (" the vile rotten" if k % 3 == 0 else ""))
+        labels.append([1, 0, 0, None][k % 4])
+    texts += ["", None, "  ", "new words of the kind"]
+    labels += [1, 0, None, None]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True))], "k long, text string, label int").repartition(3)
+    words, leads, pairs, base = toxicity.tables(toxicity.counts(df))
+    assert pairs.count() and leads.count()
+    model = toxicity.Model(words, leads, pairs, base, 0.1, (0.0, 0.0, 0.0))
+    want = plain_evidence(texts, labels, texts, 0.1)
+    for limit in (10**6, 0):  # broadcast, joined
+        monkeypatch.setattr(toxicity, "BROADCAST_WORDS", limit)
+        got = {r.k: (r["__evidence_0"], r["__length"]) for r in toxicity.evidences(df, model, "text", ["k"], (0.1,)).collect()}
+        assert max(abs(got[k][0] - e) for k, e in enumerate(want)) < 1e-9
+        assert got[len(texts) - 3] == (0.0, 0) and got[len(texts) - 4] == (0.0, 0)
 
 
 def test_join_equals_broadcast(corpus, monkeypatch):
@@ -95,10 +129,9 @@ def test_join_equals_broadcast(corpus, monkeypatch):
 
 def test_logistic():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=4000)
-    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x)))).astype(float)
-    bias, slope = toxicity.logistic(x, y)
-    assert abs(bias - 0.5) < 0.2 and abs(slope - 2) < 0.2
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))).astype(float)
+    assert np.abs(np.array(toxicity.logistic(x, y)) - [0.5, 2, -1]).max() < 0.2
 
 
 def test_odd_documents(spark, odd_docs, odd_texts, no_docs):
@@ -117,32 +150,13 @@ def test_query(spark, sf_dir):
     assert all(r.held_out == held(r.doc_id) for r in got)
 
 
-def test_continuation_counts_grow_with_the_input(spark, monkeypatch):
-    texts = [f"p{k} the p{k % 40} of" for k in range(3000)] + ["", None, "of of"]
-    want = {}
-    for t in texts:
-        words = (t or "").split()
-        for v, w in zip(["", *words], words, strict=False):
-            want.setdefault(w, set()).add(v)
-    df = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, label int").repartition(3)
-    for limit in (toxicity.PAIRS, 100):
-        monkeypatch.setattr(toxicity, "PAIRS", limit)
-        got = {r.h: r.follows for r in toxicity.continuations(df).collect()}
-        names = {r.word: r.h for r in toxicity.class_counts(df).select(F.col("word").cast("string").alias("word"), F.xxhash64("word").alias("h")).collect()}
-        assert {w: round(got[h], 2) for w, h in names.items()} == {w: len(v) for w, v in want.items()}
-    assert len(want["the"]) == 3000  # the 64-bit set stops at 310
-
-
-def test_fit_uses_the_grown_counts(spark, monkeypatch):
-    seen = []
-    table = toxicity.evidence_table
-    monkeypatch.setattr(toxicity, "evidence_table", lambda *a: seen.append(a[1].agg(F.max("follows")).first()[0]) or table(*a))
-    df = spark.createDataFrame([(k, f"p{k} the") for k in range(2000)], "doc_id long, text string")
-    toxicity.fit(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
-    assert round(seen[0], 2) == 2000
-
-
-def test_few_toxic_labels_outside_the_calibration_fold(corpus):
+def test_continuation_counts_grow_with_the_input(spark):
+    df = spark.createDataFrame([(f"p{k} the p{k % 40} of", k % 2) for k in range(3000)], "text string, label int").repartition(3)
+    follows = [round(r.follows) for r in toxicity.counts(df).where("kind = 0").orderBy(F.desc("follows")).limit(2).collect()]
+    assert follows == [3000, 40]  # the, of
+
+
+def test_few_toxic_labels(corpus):
     docs, _, texts, truth = corpus
     folds = {d: zlib.crc32(str(d).encode()) % 5 for d in truth}
     for allowed in ((2, 3), (3,)):  # toxic labels in two folds, or in one alone
