@@ -46,12 +46,35 @@ def shared_dir(spark: SparkSession) -> str:
     return to
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints `df`: later reads survive lost executors and repeat nothing."""
+#: Rows of narrow columns that one part of a checkpoint may well have.
+PART_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Checkpoints `df`: later reads survive lost executors and repeat nothing.
+
+    Where the number of `rows` is known, at least roughly, no more files are written
+    than they deserve, two for each core at least.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
     return df.checkpoint()
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a store that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -79,6 +102,22 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, limit) else df
 
 
+#: Rows of hot keys that `spread_join` broadcasts at most.
+HOT_KEYS = 250_000
+#: Rows of a key that are no reason to treat it apart.
+HOT_ROWS = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `side`, which has one row per key and in `n` how many of the
+    `total` rows have it.  Keys of very many rows are broadcast, so that their rows
+    stay where they are; there can be no more than `HOT_KEYS` of these."""
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(side.where(F.col("n") > most).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col("n") <= most).drop("n"), key, how)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     column = column.cast(pa.large_binary())

@@ -1,30 +1,36 @@
 """Connected components by alternating large-star and small-star steps.
 
-Links stay distributed; every round cuts its lineage in the shared folder.
+Links stay distributed; every round cuts its lineage in the shared folder and
+removes the files of the round before.  A node with very many links (the centre
+of a star) meets them by `spread_join`, where they are.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, discard, spread_join
 
-MAX_ROUNDS = 60
+#: Rounds after which every further one is logged; the least node of a component
+#: comes nearer in each, so the rounds end.
+EXPECTED_ROUNDS = 30
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the node's least neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(both, least, "u", 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; here u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = spread_join(links, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,21 +39,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links with a null end or equal ends are ignored.
     """
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
-    now = cut(ends.where("x is not null and y is not null and u <> v").select("u", "v").distinct())
+    ends = ends.where("x is not null and y is not null and u <> v").select("u", "v")
+    now = cut(ends.distinct(), ends.count())
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    before = state(now)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
-        now = cut(_small_star(_large_star(now)))
-        after = state(now)
-        if after == before:
+    before, rounds = state(now), 0
+    while before[0]:
+        large = cut(_large_star(now, before[0]), before[0])
+        after = cut(_small_star(large, before[0]), before[0])
+        discard(now)
+        discard(large)
+        now, last, before = after, before, state(after)
+        if before == last:
             break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        rounds += 1
+        if rounds > EXPECTED_ROUNDS:
+            logging.getLogger(__name__).warning("components: round %d, %d links", rounds, before[0])
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

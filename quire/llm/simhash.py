@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import cut, cuts, map_texts, stored
+from quire.llm.common import cut, cuts, discard, map_texts, release, spread_join, stored
 from quire.llm.components import components
 
 SEED = 42
@@ -231,6 +231,8 @@ def _meet(rows: DataFrame, by: list[str], ring: Ring, most: int | None) -> DataF
                 held_by, held_fp = held_by[:0], held_fp[:0]
         if (found := groups(held_by, held_fp)) is not None:
             yield found
+        del held_by, held_fp
+        release()
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, LINKS)
 
@@ -258,9 +260,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fps = stored(fingerprints(rows, "text", words, keep=["doc_id"]), "fingerprints")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    total = fps.count()
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), total)
     roots = components(links(classes, distance))
-    rooted = cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted.withColumnRenamed("n", "copies"), total)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    names = cut(spread_join(rooted, named, "root", total).select("fp", "component_id", F.col("copies").alias("n")), total)
+    discard(rooted)
+    return spread_join(fps, names, "fp", total).select("doc_id", "fp", "component_id")
