@@ -11,7 +11,11 @@ chunk.  A payload is the input padded with zero bytes to a multiple of 64 that
 is at least 64.
 
 Null input is empty; so is the result of nothing: a 64-byte payload of zeros.
-Equal inputs give equal results; no other column is used.
+Texts of any length are one item; ends of items are looked up among marks of the
+same pass, so that many signatures without an end cost no more than their bytes.
+Equal inputs, and so repeated rows, give equal results; of other columns only the
+declared type is used, to say whether it is right.  Columns that are kept and named
+like an output column are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import map_texts
@@ -44,8 +50,32 @@ SIGNATURES = {
     "ogg": (b"OggS\x00", 0),
 }
 
+#: What ends an item, or has to stand in it.
+ENDS = {"pdf end": b"%%EOF", "pdf table": b"startxref", "zip end": b"PK\x05\x06", "jpeg end": b"\xff\xd9"}
 
-def wav_length(data: bytes, at: int) -> int:
+
+class Marks:
+    """Places of the marks of `ENDS`, found in the same pass as the signatures."""
+
+    def __init__(self, places: dict[str, list[int]]):
+        self.places = places
+
+        self.asked, self.found = 0, -2  # the last question for a zero byte, and its answer
+
+    def zero(self, data: bytes, at: int) -> int:
+        """The first zero byte at or behind a place, or -1."""
+        if self.found == -2 or at < self.asked or 0 <= self.found < at:
+            self.asked, self.found = at, data.find(b"\0", at)
+        return self.found
+
+    def next(self, name: str, at: int) -> int:
+        """The first mark at or behind a place, or -1."""
+        found = self.places.get(name, ())
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+
+def wav_length(data: bytes, at: int, marks: Marks) -> int:
     """A whole RIFF/WAVE item's length at `at`, or 0."""
     if data[at : at + 4] != b"RIFF" or len(data) < at + 44:
         return 0
@@ -62,7 +92,7 @@ def wav_length(data: bytes, at: int) -> int:
     return size if {b"fmt ", b"data"} <= found and here >= at + size else 0
 
 
-def png_length(data: bytes, at: int) -> int:
+def png_length(data: bytes, at: int, marks: Marks) -> int:
     here, first = at + 8, True
     while here + 12 <= len(data):
         n, name = struct.unpack_from(">I", data, here)[0], data[here + 4 : here + 8]
@@ -76,7 +106,7 @@ def png_length(data: bytes, at: int) -> int:
     return 0
 
 
-def gif_length(data: bytes, at: int) -> int:
+def gif_length(data: bytes, at: int, marks: Marks) -> int:
     def blocks(here: int) -> int:
         while here < len(data) and data[here]:
             here += 1 + data[here]
@@ -101,7 +131,7 @@ def gif_length(data: bytes, at: int) -> int:
     return 0
 
 
-def jpeg_length(data: bytes, at: int) -> int:
+def jpeg_length(data: bytes, at: int, marks: Marks) -> int:
     here = at + 2
     while here + 4 <= len(data) and data[here] == 0xFF:
         kind = data[here + 1]
@@ -112,12 +142,12 @@ def jpeg_length(data: bytes, at: int) -> int:
             return 0
         here += 2 + n
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", here)
+            end = marks.next("jpeg end", here)
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def bmp_length(data: bytes, at: int) -> int:
+def bmp_length(data: bytes, at: int, marks: Marks) -> int:
     if at < 0 or data[at : at + 2] != b"BM" or len(data) < at + 54:
         return 0
     size, _, first, _, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -125,13 +155,13 @@ def bmp_length(data: bytes, at: int) -> int:
     return size if planes == 1 and bits in (1, 4, 8, 16, 24, 32) and at + size <= len(data) and first + row * abs(height) <= size else 0
 
 
-def pdf_length(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+def pdf_length(data: bytes, at: int, marks: Marks) -> int:
+    end = marks.next("pdf end", at)
+    return end + 5 - at if end >= 0 and 0 <= marks.next("pdf table", at) < end else 0
 
 
-def zip_length(data: bytes, at: int) -> int:
-    here = data.find(b"PK\x05\x06", at)
+def zip_length(data: bytes, at: int, marks: Marks) -> int:
+    here = marks.next("zip end", at)
     if here < 0 or len(data) < here + 22:
         return 0
     size, first, note = struct.unpack_from("<IIH", data, here + 12)
@@ -139,19 +169,33 @@ def zip_length(data: bytes, at: int) -> int:
     return end - at if at + first + size == here and end <= len(data) else 0
 
 
-def gzip_length(data: bytes, at: int) -> int:
-    work = zlib.decompressobj(31)
+def gzip_length(data: bytes, at: int, marks: Marks) -> int:
+    if len(data) < at + 18 or data[at + 3] & 0xE0:
+        return 0
+    flags, here = data[at + 3], at + 10
+    if flags & 4:
+        here += 2 + struct.unpack_from("<H", data, here)[0]
+    for flag in (8, 16):  # name and comment end with a zero byte
+        if flags & flag and not (here := marks.zero(data, here) + 1):
+            return 0
+    here += flags & 2
+    if here >= len(data) or data[here] & 6 == 6:
+        return 0
+    work, view, crc, size = zlib.decompressobj(-15), memoryview(data), 0, 0
     try:
-        rest = data[at:]
-        while rest and not work.eof:
-            work.decompress(rest, 1 << 20)
-            rest = work.unconsumed_tail
+        while here < len(data) and not work.eof:  # in small steps, as most signatures fail early
+            rest = view[here : here + 4096]
+            here += len(rest)
+            while rest and not work.eof:
+                out = work.decompress(rest, 1 << 20)
+                crc, size, rest = zlib.crc32(out, crc), size + len(out), work.unconsumed_tail
     except zlib.error:
         return 0
-    return len(data) - at - len(work.unused_data) if work.eof else 0
+    end = here - len(work.unused_data) + 8
+    return end - at if work.eof and end <= len(data) and struct.unpack_from("<II", data, end - 8) == (crc, size % 2**32) else 0
 
 
-def flac_length(data: bytes, at: int) -> int:
+def flac_length(data: bytes, at: int, marks: Marks) -> int:
     here, first = at + 4, True
     while here + 4 <= len(data):
         head, n = data[here], int.from_bytes(data[here + 1 : here + 4], "big")
@@ -163,7 +207,7 @@ def flac_length(data: bytes, at: int) -> int:
     return 0
 
 
-def ogg_length(data: bytes, at: int) -> int:
+def ogg_length(data: bytes, at: int, marks: Marks) -> int:
     here = at
     while data[here : here + 5] == b"OggS\x00" and here + 27 <= len(data):
         n = data[here + 26]
@@ -200,20 +244,29 @@ def automaton():
         _AUTOMATON = ahocorasick.Automaton()
         for name, (magic, back) in SIGNATURES.items():
             _AUTOMATON.add_word(magic.decode("latin-1"), (name.strip(), len(magic) - 1 + back))
+        for name, mark in ENDS.items():
+            _AUTOMATON.add_word(mark.decode("latin-1"), (name, len(mark) - 1))
         _AUTOMATON.make_automaton()
     return _AUTOMATON
 
 
-def hits(data: bytes) -> list[tuple[int, str]]:
-    """Offsets at which an item of a type would begin, by its signature; one pass."""
-    return sorted({(at - back, name) for at, (name, back) in automaton().iter(data.decode("latin-1")) if at >= back})
+def hits(data: bytes) -> tuple[list[tuple[int, str]], Marks]:
+    """Offsets at which an item of a type would begin, by its signature, and the
+    marks that validators ask for; one pass."""
+    found, marks = set(), {name: [] for name in ENDS}
+    for at, (name, back) in automaton().iter(data.decode("latin-1")):
+        if name in marks:
+            marks[name].append(at - back)
+        elif at >= back:
+            found.add((at - back, name))
+    return sorted(found), Marks(marks)
 
 
-def valid(data: bytes, found: list[tuple[int, str]], end: int = 0) -> list[tuple[int, str, int]]:
+def valid(data: bytes, found: list[tuple[int, str]], marks: Marks, end: int = 0) -> list[tuple[int, str, int]]:
     """(offset, type, length) of the valid items from `end` on that no other one holds."""
     items = []
     for at, name in found:
-        if at >= end and (n := VALIDATORS[name](data, at)):
+        if at >= end and (n := VALIDATORS[name](data, at, marks)):
             items.append((at, name, n))
             end = at + n
     return items
@@ -222,14 +275,15 @@ def valid(data: bytes, found: list[tuple[int, str]], end: int = 0) -> list[tuple
 def sniff(data: bytes) -> tuple[str, list[tuple[int, str, bytes]]]:
     """The real type of some bytes (`unknown` if no item begins them) and the media
     embedded in them: items behind the first, and those among a WAV's samples."""
-    found = hits(data)
-    items = valid(data, found)
+    found, marks = hits(data)
+    items = valid(data, found, marks)
     if not items or items[0][0]:
         kind, inner = "unknown", items
     else:
         kind, inner = items[0][1], items[1:]
         if kind == "wav":
-            inner = valid(data[: items[0][2]], found, 1) + inner
+            size = items[0][2]
+            inner = [x for x in valid(data, found, marks, 1) if x[0] + x[2] <= size] + [x for x in inner if x[0] >= size]
     return kind, [(at, name, data[at : at + n]) for at, name, n in inner]
 
 
@@ -242,7 +296,7 @@ def store(raw: bytes) -> bytes:
 
 def load(media: bytes) -> bytes:
     """The samples of a stored form, from the data chunk that its header locates."""
-    if not wav_length(media, 0):
+    if not wav_length(media, 0, Marks({})):
         raise ValueError("not a whole WAV item")
     here = 12
     while True:
@@ -260,6 +314,10 @@ def feature(kind: str, payload: bytes, inside: list[tuple[int, str, bytes]]) ->
     return f"{kind} n={len(payload)} sum={int(counts @ values)} peak={int(values[counts > 0].max())} bins={','.join(map(str, bins.tolist()))} inside={','.join(f'{k}@{a}+{len(b)}' for a, k, b in inside)}"
 
 
+#: Media types.
+TYPES = {"wav": "audio/wav", "flac": "audio/flac", "ogg": "application/ogg", "pdf": "application/pdf", "zip": "application/zip", "gzip": "application/gzip"}
+IMAGES = frozenset("png gif jpeg bmp".split())
+
 STORED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("declared_type", T.StringType())])
 READ = T.StructType(
     [
@@ -269,6 +327,7 @@ READ = T.StructType(
         T.StructField("media_bytes", T.LongType()),
         T.StructField("media_sha256", T.StringType()),
         T.StructField("media_type", T.StringType()),
+        T.StructField("type_corrected", T.BooleanType()),
         T.StructField("embedded", T.IntegerType()),
         T.StructField("feature", T.StringType()),
     ]
@@ -287,14 +346,20 @@ def store_media(df: DataFrame, text: str = "text", keep: list[str] | None = None
     return map_texts(df, make, STORED, text, keep)
 
 
-def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+def mime(kind: str) -> str:
+    return TYPES.get(kind, f"image/{kind}" if kind in IMAGES else "application/octet-stream")
+
+
+def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None, declared: str | None = "declared_type") -> DataFrame:
     """Reads stored media back and adds their digests, real type and features.
 
     What isn't a whole WAV item is taken as its own payload; media_type is then
-    what the signatures say, or `unknown`.
+    what the signatures say, or `unknown`.  `type_corrected` says that the type in
+    the column `declared` (if the input has it) is not that of the bytes.
     """
+    declared = declared if declared in df.columns else None
 
-    def one(x: bytes) -> tuple:
+    def one(x: bytes, said: str | None) -> tuple:
         kind, inside = sniff(x)
         payload = load(x) if kind == "wav" else x
         return (
@@ -304,14 +369,20 @@ def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = Non
             len(x),
             hashlib.sha256(x).hexdigest(),
             kind,
+            declared is not None and said != mime(kind),
             len(inside),
             feature(kind, payload or b"\0", inside),
         )
 
     def make():
-        def work(raw, _):
-            return dict(zip(READ.names, zip(*map(one, raw), strict=True), strict=True)) if raw else {k: [] for k in READ.names}
+        def work(raw, batch):
+            said = batch.column("__declared").to_pylist() if declared else [None] * len(raw)
+            return dict(zip(READ.names, zip(*map(one, raw, said), strict=True), strict=True)) if raw else {k: [] for k in READ.names}
 
         return work
 
-    return map_texts(df, make, READ, media, keep)
+    if not declared:
+        return map_texts(df, make, READ, media, keep)
+    keep = df.columns if keep is None else keep
+    found = map_texts(df.withColumn("__declared", F.col(f"`{declared}`")), make, READ, media, [*keep, "__declared"])
+    return found.drop("__declared")

@@ -104,7 +104,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return media.read_media(stored, keep=["doc_id", "n_bytes"])
+    return media.read_media(stored, keep=["doc_id", "n_bytes", "declared_type"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -80,3 +81,30 @@ def test_odd_documents(odd_docs, odd_texts, no_docs):
 def test_wrong_declared_type(spark):
     df = spark.createDataFrame([(1, bytearray(PNG)), (2, bytearray(b"junk")), (3, None)], "id int, media binary")
     assert [r.media_type for r in media.read_media(df).collect()] == ["png", "unknown", "unknown"]
+
+
+def test_declared_types_are_checked(spark):
+    rows = [(1, bytearray(PNG), "image/png"), (2, bytearray(PNG), "audio/wav"), (3, bytearray(media.store(b"x")), "audio/wav"), (4, bytearray(b"junk"), None)]
+    got = media.read_media(spark.createDataFrame(rows, "id int, media binary, declared_type string")).collect()
+    assert [(r.media_type, r.type_corrected) for r in got] == [("png", False), ("png", True), ("wav", False), ("unknown", True)]
+
+
+@pytest.mark.parametrize("mark", [b"%PDF-", b"%PDF-startxref", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03"])
+def test_many_signatures_without_an_end_take_no_longer(mark):
+    data = mark * (4_000_000 // len(mark))
+    began = time.perf_counter()
+    assert media.sniff(data)[1] == []
+    assert time.perf_counter() - began < 20
+
+
+def plain_feature(raw):
+    """The feature of a stored text that holds no media, without numpy."""
+    payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    bins = [sum(1 for b in payload if b // 32 == k) for k in range(8)]
+    return f"wav n={len(payload)} sum={sum(payload)} peak={max(payload)} bins={','.join(map(str, bins))} inside="
+
+
+def test_features_are_those_of_a_plain_version(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op10_media_columns(spark, sf_dir).collect():
+        assert r.feature == plain_feature(texts[r.doc_id]) and not r.type_corrected
