@@ -2,7 +2,10 @@
 
 A page becomes its text blocks (runs of text between block-level tags) in order.
 A classifier over a block's ancestors, classes, links and length gives the odds
-that it is main text; the negative log odds become terminal capacities.  Blocks
+that it is main text; the negative log odds become terminal capacities.  Names
+count by what an element holds: the classes, roles and form tag of one that holds
+most of the page's prose, with its article or heading, are the page's own and are
+no evidence (`<body class="no-sidebar">`, a form around the whole page).  Blocks
 that follow each other, and blocks of one parent, are joined by smoothness edges
 that weaken with their distance in the DOM.  The minimum cut separates content
 from boilerplate.
@@ -15,8 +18,11 @@ Text: character references are decoded, white space in a block becomes one space
 ends are trimmed, blocks are joined by a newline.  Scripts, styles, titles,
 comments and markup never become blocks.  A null page is empty; a page without
 content has the empty text.  Broken markup (unclosed or stray tags, a lone <) is
-read as browsers do, as far as blocks need.  Repeated pages are rows of their
-own; input columns are kept, but for those named like an output column.
+read as browsers do, as far as blocks need; pages of any length and depth are
+parsed in linear time.  Of several least cuts the one with fewest blocks of content
+is taken (what the flow can't reach is boilerplate).  Repeated pages are rows of
+their own; input columns are kept, but for those named like an output column.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +38,11 @@ from quire.llm.common import map_texts
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea svg math template object canvas audio video iframe noembed noframes xmp".split())
+#: Elements whose content is no text of the page; markup in those of the first line is text to a browser.
+RAW_TEXT = frozenset("script style title textarea iframe noembed noframes xmp".split())
+RAW = RAW_TEXT | frozenset("svg template annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics object video audio canvas picture a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 #: An opening tag closes an open element of these.
 CLOSES = {
@@ -63,7 +71,7 @@ WORDS = dict.fromkeys(
     -6.5,
 ) | dict.fromkeys("article content post entry story maincontent articlebody".split(), 1.2)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -71,11 +79,18 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Odds that don't come from ancestors, smoothness, and the scale of capacities.
 BIAS, LINKS, LONG, SENTENCE, ADJACENT, SIBLING = -0.8, -5.0, 1.2, 0.8, 2.0, 0.8
 SCALE = 1000
-
-
-def element_odds(tag: str, attributes: str) -> tuple[float, float]:
-    """(evidence against, evidence for) main text that an element gives its blocks."""
-    found = [TAGS.get(tag, 0.0)]
+#: Steps between blocks at which their edge has no weight left.
+MOST_STEPS = 2000
+#: Characters from which a block that ends as a sentence and is no list of links is prose.
+PROSE = 60
+#: Tags that can hold a whole page, and so say nothing if they hold its article.
+WRAPPERS = frozenset(["form", "fieldset", "header"])
+
+
+def element_odds(tag: str, attributes: str) -> tuple[float, float, float]:
+    """What an element says of its blocks: evidence against them by its tag or by being
+    hidden, evidence against by names that a whole page may bear, evidence for them."""
+    firm, found = [0.0 if tag in WRAPPERS else TAGS.get(tag, 0.0)], [TAGS.get(tag, 0.0)]
     if "=" in attributes or "hidden" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
@@ -84,25 +99,83 @@ def element_odds(tag: str, attributes: str) -> tuple[float, float]:
             elif name == "role":
                 found.append(ROLES.get(value.strip().lower(), 0.0))
             elif name == "style" and HIDDEN.search(value) or name == "aria-hidden" and value == "true":
-                found.append(-7.0)
+                firm.append(-7.0)
         if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
-            found.append(-7.0)
-    return min(0.0, *found), max(0.0, *found)
+            firm.append(-7.0)
+    return min(0.0, *firm), min(0.0, *found), max(0.0, *found)
 
 
 class Block:
-    __slots__ = ("text", "path", "odds", "tag", "links")
-
-    def __init__(self, text: str, path: tuple[int, ...], odds: float, tag: str, links: int):
-        self.text, self.path, self.odds, self.tag, self.links = text, path, odds, tag, links
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page."""
+    __slots__ = ("text", "element", "inner", "odds", "tag", "links")
+
+    def __init__(self, text: str, element: int, inner: int, tag: str, links: int):
+        self.text, self.element, self.inner, self.odds, self.tag, self.links = text, element, inner, 0.0, tag, links
+
+    def prose(self) -> int:
+        """Its characters if it reads as prose, else 0."""
+        n = len(self.text)
+        return n if n >= PROSE and self.text[-1] in ".!?\u2026\u3002\"'\u201d)" and 3 * self.links < n else 0
+
+
+class Tree:
+    """Elements in page order: tag, parent (0 is the page itself), depth, and evidence."""
+
+    def __init__(self):
+        self.tags, self.parents, self.depths = [""], [0], [0]
+        self.firm, self.named, self.good = [0.0], [0.0], [0.0]
+
+    def add(self, tag: str, parent: int, evidence: tuple[float, float, float]) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.depths.append(self.depths[parent] + 1)
+        for into, value in zip((self.firm, self.named, self.good), evidence, strict=True):
+            into.append(value)
+        return len(self.tags) - 1
+
+    def distance(self, a: int, b: int, most: int) -> int:
+        """Steps between two elements, or `most` if there are more."""
+        steps = 0
+        while a != b and steps < most:
+            if self.depths[a] >= self.depths[b]:
+                a = self.parents[a]
+            else:
+                b = self.parents[b]
+            steps += 1
+        return steps if a == b else most
+
+    def judge(self, found: list[Block]) -> None:
+        """Sets the blocks' odds.  Names of an element that holds most of the page's
+        prose, with its heading or article, are those of the page and say nothing."""
+        n = len(self.tags)
+        prose, heads = [0] * n, [0] * n
+        for b in found:
+            prose[b.inner] += b.prose()
+        for e in range(n - 1, 0, -1):
+            prose[self.parents[e]] += prose[e]
+        articles = [e for e in range(n) if self.tags[e] in ("article", "main")]
+        anchor = max(articles, key=lambda e: (prose[e], -e), default=0) or next((e for e in range(n) if self.tags[e] == "h1"), 0)
+        if anchor:
+            heads[anchor] = 1
+            for e in range(n - 1, 0, -1):
+                heads[self.parents[e]] += heads[e]
+        against, good = [0.0] * n, [0.0] * n
+        for e in range(1, n):
+            whole = self.tags[e] in ("html", "body") or prose[0] and 2 * prose[e] >= prose[0] and (heads[e] or not anchor)
+            against[e] = min(against[self.parents[e]], self.firm[e], 0.0 if whole else self.named[e])
+            good[e] = max(good[self.parents[e]], self.good[e])
+        for b in found:
+            b.odds = against[b.inner] + good[b.inner]
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """The text blocks of a page, with odds, and its elements."""
     found: list[Block] = []
-    # open elements: tag, number, evidence against and for, whether it is inline, its blocks' path
-    stack: list[tuple[str, int, float, float, bool, tuple[int, ...]]] = [("", 0, 0.0, 0.0, False, (0,))]
-    number = at = links = linked = 0
+    tree = Tree()
+    # open elements: tag, element, place in the stack of the nearest block element and of the nearest scope
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+    unclosed: set[str] = set()  # raw elements that no closing tag follows any more
+    at = links = linked = 0
     buffer: list[str] = []
 
     def flush() -> None:
@@ -110,8 +183,8 @@ def blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                top = next(e for e in reversed(stack) if not e[4])
-                found.append(Block(text, top[5], stack[-1][2] + stack[-1][3], top[0], linked))
+                tag, element, *_ = stack[stack[-1][2]]
+                found.append(Block(text, element, stack[-1][1], tag, linked))
             buffer.clear()
         linked = 0
 
@@ -125,14 +198,21 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(k: int) -> None:
         nonlocal links
-        links -= sum(e[0] == "a" for e in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            links -= tag == "a"
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     n = len(page)
+    end_of_tags = page.rfind(">")
     while at < n:
         lt = page.find("<", at)
-        if lt < 0:
-            put(page[at:])
+        if lt < 0 or lt > end_of_tags:  # no tag can end any more
+            comment = page.find("<!--", at)
+            put(page[at:] if comment < 0 else page[at:comment])
             break
         put(page[at:lt])
         if page.startswith("<!--", lt):
@@ -153,41 +233,40 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             buffer.append(" ")
             continue
-        if not inline:
+        if not inline and tag not in RAW:
             flush()
         if close:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
+            if k := last(tag):
                 pop_to(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            if end and not m[3].endswith("/"):
+            if tag not in ("annotation", "annotation-xml"):
+                flush()
+            if m[3].endswith("/") and tag not in RAW_TEXT:
+                continue
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if end:
                 at = page.find(">", end.end()) + 1 or n
-            elif not m[3].endswith("/"):
+            elif tag in RAW_TEXT:
                 at = n
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID or m[3].endswith("/") and inline:
             continue
         if not inline:
-            closes = CLOSES.get(tag)
-            for k in range(len(stack) - 1, 0, -1):
-                e = stack[k]
-                if e[0] == "p" or closes and e[0] in closes:
-                    pop_to(k)
-                    break
-                if e[0] in SCOPES:
-                    break
-        number += 1
-        _, _, against, good, _, path = stack[-1]
-        if tag == "header" and any(e[0] in ("article", "main") for e in stack):
-            low, high = element_odds("", m[3])
-        else:
-            low, high = element_odds(tag, m[3])
-        stack.append((tag, number, min(against, low), max(good, high), inline, path if inline else (*path, number)))
+            k = max(map(last, ("p", *CLOSES.get(tag, ()))))
+            if k > stack[-1][3]:
+                pop_to(k)
+        header = tag == "header" and (places.get("article") or places.get("main"))
+        element = tree.add(tag, stack[-1][1], element_odds("" if header else tag, m[3]))
+        k = len(stack)
+        stack.append((tag, element, stack[-1][2] if inline else k, k if tag in SCOPES else stack[-1][3]))
+        places.setdefault(tag, []).append(k)
         links += tag == "a"
     flush()
-    return found
+    tree.judge(found)
+    return found, tree
 
 
 def block_odds(block: Block) -> float:
@@ -196,19 +275,14 @@ def block_odds(block: Block) -> float:
     return odds + LINKS * min(1.0, block.links / n)
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, int]]:
+def edges(found: list[Block], tree: Tree) -> list[tuple[int, int, int]]:
     """Smoothness edges: neighbours in the page, and the next block of the same parent."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a, shared = found[i - 1], 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            distance = len(a.path) + len(b.path) - 2 * shared
-            out.append((i - 1, i, int(SCALE * ADJACENT / (1 + distance))))
-        parent = b.path[:-1]
+            weight = int(SCALE * ADJACENT / (1 + tree.distance(found[i - 1].element, b.element, MOST_STEPS)))
+            out.append((i - 1, i, weight))
+        parent = tree.parents[b.element]
         if (j := last.get(parent)) is not None and j != i - 1:
             out.append((j, i, int(SCALE * SIBLING)))
         last[parent] = i
@@ -275,8 +349,8 @@ def min_cut(excess: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The main text of a page."""
-    found = blocks(page)
-    kept = min_cut([int(SCALE * block_odds(b)) for b in found], edges(found))
+    found, tree = blocks(page)
+    kept = min_cut([int(SCALE * block_odds(b)) for b in found], edges(found, tree))
     return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 

@@ -57,7 +57,7 @@ def test_cuts_are_least():
 
 
 def test_smoothness_keeps_a_doubtful_block():
-    found = html_text.blocks("<div><p>" + "Long text of the page goes here and on. " * 6 + "</p><p>short</p><p>" + "More of that text is found here as well. " * 6 + "</p></div>")
+    found, _ = html_text.blocks("<div><p>" + "Long text of the page goes here and on. " * 6 + "</p><p>short</p><p>" + "More of that text is found here as well. " * 6 + "</p></div>")
     odds = [html_text.block_odds(b) for b in found]
     assert odds[1] < odds[0] and html_text.main_text("<div>" + "".join(f"<p>{b.text}</p>" for b in found) + "</div>").count("\n") == 2
 
@@ -84,3 +84,44 @@ def test_many_blocks_are_quick():
     began = time.time()
     text = html_text.main_text("<div>" + "".join(f"<p>{'word ' * (k % 9)}{k}</p>" for k in range(4000)) + "</div>")
     assert time.time() - began < 30 and text.count("\n") > 100
+
+
+STORY = "The council met on Tuesday and agreed on a plan for the old harbour. " * 5
+BAR = "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="no-sidebar">{BAR}<h1>Plan agreed</h1><p>{STORY}</p></body>',
+        f'<body><form id="aspnetForm">{BAR}<h1>Plan agreed</h1><p>{STORY}</p></form></body>',
+        f'<body><div class="page menu-closed">{BAR}<h1>Plan agreed</h1><p>{STORY}</p></div></body>',
+        f'<body>{BAR}<article class="post has-comments"><h1>Plan agreed</h1><p>{STORY}</p></article></body>',
+        f'<body class="comments-open">{BAR}<div id=wrap class=sidebar-left><div><h1>Plan agreed</h1><p>{STORY}</p></div><div class="sidebar"><p>Read this too, it is a long line about something else.</p></div></div></body>',
+        f'<body>{BAR}<article><h1>Plan agreed</h1><p>{STORY}</p><section class="comments"><p>I am against it, as it costs too much for all of us here.</p></section></article></body>',
+        f'<body>{BAR}<form><h1>Plan agreed</h1><p>{STORY}</p><object>{BAR}</object></form><form><label>Name</label><p>Write to us.</p></form></body>',
+    ],
+)
+def test_names_of_the_whole_page_are_no_evidence(page):
+    assert html_text.main_text(page) == "Plan agreed\n" + STORY.strip()
+
+
+def test_formulas_stay_in_their_sentence():
+    page = f"<article><p>{STORY}</p><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> be the number of all boats.</p></article>"
+    assert html_text.main_text(page).split("\n")[1] == "Let x+1 be the number of all boats."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a b" * 250_000, "<a b" * 250_000 + ">", "<svg>" * 100_000, "<x-y>" * 50_000 + "<p>text</p>" * 1000, "<b>" * 50_000 + "x<p>y" * 1000, "</i>" * 200_000, "<p " + "a" * 500_000 + ">", "<p>x</p><div>" * 50_000, "&" * 500_000, "<!--" * 100_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    html_text.main_text(page)
+    took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 20 and most < 500_000_000
