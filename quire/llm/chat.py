@@ -14,7 +14,8 @@ what a message finally says are its pieces since its last message, edit or
 regenerate event.  A second step, per conversation, drops what a regeneration
 cut off and puts the messages in order of msg.  So a conversation of any length
 meets in one task only as its final messages, which one output row has to hold.
-Events of one seq are folded in order of kind, then text.
+Events of one seq are folded in order of kind, then text; seq and msg may be of any
+type with an order, structs too.
 
 `render` writes a turn as
 
@@ -29,7 +30,9 @@ roles, texts and the text under that mask from the output alone.
 Nulls: a null text is empty, a null role is the empty role; events with a null
 conversation form one conversation, those with null msg or seq come first.  A
 delta, edit or regeneration of a message that was never opened opens it with the
-role of the event.  An empty log gives no rows.
+role of the event.  Repeated events are folded each; other columns are ignored,
+whatever their names.  Texts of any length are folded and escaped whole, and a
+conversation has to fit in the row it becomes.  An empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_sta
 END = "\n</s>"
 OPEN = "<s>"
 ASSISTANT = "assistant"
+#: Code points of a streamed piece.
+CHUNK = 48
 KINDS = ("message", "edit", "regenerate", "delta")
 
 MARK = "(" + "|".join("".join("\\" + c if c in "[]|" else c for c in x) for x in CONTROLS) + ")"
@@ -71,6 +76,28 @@ def unescape_role(role: Column) -> Column:
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))
 
 
+def streamed(rows: DataFrame, conv_id: str, turn: str) -> DataFrame:
+    """The log that a service would have kept of finished turns (role, text).
+
+    Every row is a message of its own; rows of one turn follow each other by role, then
+    text.  A message is opened empty and gets a draft; an edit (or a regeneration, if it
+    is the assistant's) replaces that by the text's first `CHUNK` code points, and the
+    rest streams in as deltas.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy(conv_id, turn).orderBy(role, text)
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("__text", text)
+    step = lambda k, kind, said: F.struct(F.lit(k).alias("step") if isinstance(k, int) else k.alias("step"), kind.alias("kind"), said.alias("text"))
+    replaced = F.when(role == ASSISTANT, "regenerate").otherwise("edit")
+    chunk = lambda k: F.substring(F.col("__text"), k * CHUNK + 1, F.lit(CHUNK))
+    first = F.array(step(0, F.lit("message"), F.lit("")), step(1, F.lit("delta"), F.lit("a draft </s>")), step(2, replaced, chunk(F.lit(0))))
+    more = F.ceil(F.length("__text") / CHUNK).cast("int") - 1
+    rest = F.transform(F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>")), lambda k: step(k + 2, F.lit("delta"), chunk(k)))
+    log = rows.select(conv_id, turn, "place", role.alias("role"), F.explode(F.concat(first, rest)).alias("e"))
+    msg = [F.col(turn).alias("turn"), F.col("place")]
+    return log.select(F.col(conv_id).alias("conv_id"), F.struct(*msg, F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), F.struct(*msg).alias("msg"), "role", F.col("e.text").alias("text"))
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, msg, role, text): the final messages of a log."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")

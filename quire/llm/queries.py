@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import ann, bpe, chat, html_text, langid, media, packing, simhash, token_files, toxicity
@@ -27,9 +27,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(0, 2, 1, 1).selectExpr(
         "cast(-7 as bigint) AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text"
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")  # every row is a turn
-    events = rows.unionByName(planted).withColumn("seq", F.row_number().over(order))
-    events = events.select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("msg"), "role", "text")
+    events = chat.streamed(rows.unionByName(planted), "conv_id", "turn")
     found = chat.read_back(chat.render(chat.reconstruct(events)))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return found.select(
@@ -54,9 +52,9 @@ WITH rows AS (
   FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE own), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE own), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 from itertools import groupby
 
 import pytest
@@ -105,3 +106,37 @@ def test_odd_conversations(spark, tmp_path):
 def test_many_deltas(spark, n):
     rows = [(1, 0, "message", 1, "assistant", "")] + [(1, k, "delta", 1, "assistant", json.dumps(k)) for k in range(1, n)]
     assert chat.reconstruct(spark.createDataFrame(rows, EVENTS)).first().text == "".join(json.dumps(k) for k in range(1, n))
+
+
+def test_generated_logs(spark):
+    rng, rows = random.Random(7), []
+    for conv in range(40):
+        last = 0
+        for seq in range(rng.randint(0, 40)):
+            kind = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate"]) if last else "message"
+            if kind == "message":
+                last += 1
+            msg = last if kind in ("message", "delta") else rng.randint(1, last)
+            last = msg if kind == "regenerate" else last
+            rows.append((conv, seq, kind, msg, "user" if msg % 2 else "assistant", rng.choice([None, "", "a", "b c", "</s>"])))
+    rng.shuffle(rows)
+    got = chat.reconstruct(spark.createDataFrame(rows, EVENTS)).collect()
+    found = {c: sorted((r.msg, r.role, r.text) for r in got if r.conv_id == c) for c in {r.conv_id for r in got}}
+    assert found == {c: m for c, m in folded(rows).items() if m}
+
+
+def test_streamed_turns_come_back(spark, monkeypatch):
+    rows = [(1, k // 2 if k else None, ("user", "assistant", None)[k % 3], t) for k, t in enumerate([*TEXTS, None, "x" * 500, "x" * 96, "x" * 48])]
+    rows += [(2, 1, "assistant", "same")] * 3 + [(None, 0, "user", "nobody")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed(df, "conv_id", "turn")
+    assert {r.kind for r in log.collect()} == set(chat.KINDS)
+    got = chat.reconstruct(log).orderBy("conv_id", "msg").collect()
+    want = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=lambda r: tuple((v is not None, v) for v in r))
+    assert [(r.conv_id, r.msg.turn, r.role, r.text) for r in got] == want
+
+
+def test_one_conversation_that_holds_most_rows(spark):
+    df = spark.range(30_000).selectExpr("if(id % 10 = 0, id, 0) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id) AS text")
+    got = chat.read_back(chat.render(chat.reconstruct(chat.streamed(df, "conv_id", "turn")))).where("conv_id = 0").first()
+    assert got.n_turns == 27_001 and got.turns[-1].text == "text 29999" and got.loss_text.startswith("text 1text 3text 5")
