@@ -9,14 +9,18 @@ predicted language is that of most letters, the score its share of them.
 
 The n-gram tables are fitted on about `TRAIN_ROWS` texts of each language at
 most, taken by a hash of the id (a documented bound of the classifier); rows with
-crc32(id) mod 5 = 0 are never among them.  The tables' size is bounded by
-languages x `BUCKETS`, with at most `MAX_LANGUAGES`.
+crc32(id) mod 5 = 0 are never among them.  Every language is learned: the more
+there are, the fewer buckets each has (`CELLS` in all, 256 each at least), and over
+`MOST_LANGUAGES` values are refused as no languages.  Texts of any length are labelled in
+bounded memory: the forward pass keeps its state every `STEP` words, and the way back
+computes one such piece at a time again.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; so is every
 text if nothing was learned.  A text with letters of unknown scripts alone gets
 the most frequent language with score 0.  Null languages and null ids are not
-learned from.  Repeated rows count as often as they occur.  Input columns are
-kept, but for those named like an output column.
+learned from.  Repeated rows count as often as they occur.  Ties go to the language
+first in order of names.  Input columns are kept, but for those named like an output
+column.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +38,11 @@ from pyspark.sql import types as T
 from quire.llm.common import LONG_TEXT, binary, cuts, held_out, map_texts, slices, text_batches
 
 TRAIN_ROWS = 5000
-MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
+CELLS = 1 << 22
+MOST_LANGUAGES = 32_767
+#: Words between two states that the forward pass keeps.
+STEP = 4096
 #: Tasks that count the sample, each with a table per language.
 FIT_TASKS = 16
 ORDERS = (2, 3, 4, 5)
@@ -45,7 +52,7 @@ WEIGHT = 0.5
 #: Share of a language's words from which a script counts as its own.
 SCRIPT_SHARE = 0.01
 CACHE_WORDS = 200_000
-#: Characters whose words are held as objects at once.
+#: Characters whose words are held as objects at once; as the words remembered, fewer from 128 languages on.
 SPLIT_CHARS = 1 << 19
 UNKNOWN = "und"
 
@@ -77,7 +84,14 @@ def script(word: str) -> int:
     return NAMES.index(next((name for a, b, name in SCRIPTS if a <= code <= b), "other"))
 
 
-def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_of(languages: int) -> int:
+    """Buckets of each of so many languages: a power of two."""
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} different languages")
+    return max(256, min(BUCKETS, 1 << (CELLS // max(1, languages)).bit_length() - 1))
+
+
+def ngrams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(place of the word, bucket) of all n-grams; a word end counts as a space."""
     raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     space = raw == 32
@@ -96,7 +110,7 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = before[k - 2 : k - 2 + n] - before[:n] if k > 2 else np.zeros(n, np.int64)
         at = np.flatnonzero(inside == 0)
         owners.append(before[at] - 1)
-        found.append((h[at] & np.uint64(BUCKETS - 1)).astype(np.int64))
+        found.append((h[at] & np.uint64(buckets - 1)).astype(np.int64))
     return np.concatenate(owners), np.concatenate(found)
 
 
@@ -107,7 +121,7 @@ def letters_of(word: str) -> str:
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # languages x BUCKETS
+    logs: np.ndarray  # languages x buckets
     scripts: np.ndarray  # languages x scripts, whether a language uses one
     first: int  # the most frequent language
 
@@ -115,10 +129,11 @@ class Model:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}  # one more is refused
     languages = sorted(sizes)
+    buckets = buckets_of(len(languages))
     if not languages:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(NAMES)), bool), 0)
+        return Model([], np.zeros((0, buckets), np.float32), np.zeros((0, len(NAMES)), bool), 0)
     place = {name: k for k, name in enumerate(languages)}
     taken = df.sparkSession.createDataFrame([(n, place[n], int((1 << 20) * min(1.0, TRAIN_ROWS / c)) + 1) for n, c in sizes.items()], "lang string, k int, below long")
     sample = rows.join(F.broadcast(taken), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below")).select("k", "text")
@@ -132,9 +147,9 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
                     words = [w for w in map(letters_of, raw.decode().lower().split()) if w]
                     if not words:
                         continue
-                    grams.setdefault(k, np.zeros(BUCKETS, np.int64))
+                    grams.setdefault(k, np.zeros(buckets, np.int64))
                     scripts.setdefault(k, np.zeros(len(NAMES), np.int64))
-                    grams[k] += np.bincount(ngrams([w.encode() for w in words])[1], minlength=BUCKETS)
+                    grams[k] += np.bincount(ngrams([w.encode() for w in words], buckets)[1], minlength=buckets)
                     scripts[k] += np.bincount([script(w) for w in words], minlength=len(NAMES))
         for kind, table in ((0, grams), (1, scripts)):
             for k, counts in table.items():
@@ -145,12 +160,12 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
                 )
 
     found = text_batches(sample.repartition(FIT_TASKS)).mapInArrow(count, "kind int, k int, bucket int, n long").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), buckets))
     used = np.zeros((len(languages), len(NAMES)))
     for kind, into in ((0, counts), (1, used)):
         own = found[found["kind"] == kind]
         into[own["k"].to_numpy(int), own["bucket"].to_numpy(int)] = own["n"].to_numpy(float)
-    logs = np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+    logs = np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * buckets)
     share = used / np.maximum(1, used.sum(axis=1, keepdims=True))
     return Model(languages, logs.astype(np.float32), share >= SCRIPT_SHARE, place[max(sizes, key=lambda n: (sizes[n], n))])
 
@@ -160,6 +175,8 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
+        share = max(1, len(model.languages) // 64)
+        self.most, self.chars = max(1000, CACHE_WORDS // share), max(1000, SPLIT_CHARS // share)
         self.clear()
 
     def clear(self) -> None:
@@ -180,7 +197,7 @@ class Labeller:
         some = [k for k, x in enumerate(letters) if x]
         if not some:
             return
-        owner, bucket = ngrams([letters[k].encode() for k in some])
+        owner, bucket = ngrams([letters[k].encode() for k in some], model.logs.shape[1])
         scores = np.empty((len(some), len(model.languages)), np.float32)
         for k, logs in enumerate(model.logs):
             scores[:, k] = WEIGHT * np.bincount(owner, weights=logs[bucket], minlength=len(some))
@@ -193,20 +210,19 @@ class Labeller:
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """Places of each text's words, good until the next call."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.clear()
         out, split, size = [], [], 0
         for x in texts:
             if len(x) > LONG_TEXT:
                 parts = (part.decode() for part in cuts(x.encode()))
-                split.append([])
                 out += self.places(split)
                 split, size = [], 0
-                out[-1] = np.concatenate([self.places([part.lower().split()])[0] for part in parts])
+                out.append(np.concatenate([self.places([part.lower().split()])[0] for part in parts]))
                 continue
             split.append(x.lower().split())
             size += len(x)
-            if size >= SPLIT_CHARS:
+            if size >= self.chars:
                 out += self.places(split)
                 split, size = [], 0
         return out + self.places(split)
@@ -231,29 +247,40 @@ class Labeller:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # texts longer than t
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate([docs[k] for k in order])
-        back = np.empty((len(flat), n_langs), np.int16)
         out = np.empty(len(flat), np.int16)
         own = np.arange(n_langs, dtype=np.int16)
-        v = self.scores[flat[starts[: active[0]]]]
+
+        def step(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+            """The scores after word t of the texts that have one, and whence they come."""
+            v = v[: active[t]]
+            best, switch = v.argmax(axis=1).astype(np.int16), v.max(axis=1, keepdims=True) - np.float32(SWITCH)
+            back = np.where(switch > v, best[:, None], own)
+            return np.maximum(v, switch) + self.scores[flat[starts[: active[t]] + t]], back
+
         finals = np.zeros(len(docs), np.int16)
+        states = []  # before words 1, 1 + STEP, ...
+        v = self.scores[flat[starts[: active[0]]]]
         for t in range(1, lengths[0]):
+            if (t - 1) % STEP == 0:
+                states.append(v)
             m = active[t]
             if m < len(v):
                 finals[m : len(v)] = v[m:].argmax(axis=1)
-                v = v[:m]
-            at = starts[:m] + t
-            best = v.argmax(axis=1).astype(np.int16)
-            switch = v.max(axis=1) - np.float32(SWITCH)
-            back[at] = np.where(switch[:, None] > v, best[:, None], own)
-            v = np.maximum(v, switch[:, None]) + self.scores[flat[at]]
+            v, _ = step(v, t)
         finals[: len(v)] = v.argmax(axis=1)
         state = finals
-        for t in range(lengths[0] - 1, -1, -1):
-            m = active[t]
-            at = starts[:m] + t
-            out[at] = state[:m]
-            if t:
-                state[:m] = back[at, state[:m]]
+        for first in range(1 + (len(states) - 1) * STEP, 0, -STEP):
+            v, backs = states.pop(), []
+            last = min(first + STEP, lengths[0])
+            for t in range(first, last):
+                v, back = step(v, t)
+                backs.append(back)
+            for t in range(last - 1, first - 1, -1):
+                m = active[t]
+                out[starts[:m] + t] = state[:m]
+                state[:m] = backs.pop()[np.arange(m), state[:m]]
+        m = active[0]
+        out[starts[:m]] = state[:m]
         for k, a, n in zip(order.tolist(), starts.tolist(), lengths.tolist(), strict=True):
             labels[k] = out[a : a + n]
         return labels
@@ -304,4 +331,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         return work
 
     added = T.StructType([*PREDICTED.fields, *([SPANS] if with_spans else [])])
-    return map_texts(df, make, added, text, keep, most=8 << 20)
+    return map_texts(df, make, added, text, keep, most=(8 << 20) // max(1, len(model.languages) // 8))

@@ -108,3 +108,74 @@ def test_query(spark, sf_dir):
     assert len(got) == len(docs)
     rows = [r for r in got if r.held_out and docs[r.doc_id]]
     assert np.mean([r.lang_pred == docs[r.doc_id] for r in rows]) > 0.95
+
+
+def plain_buckets(word):
+    """The n-gram buckets of a word's bytes between two spaces, in plain Python."""
+    raw, found = b" " + word.encode() + b" ", []
+    for k in langid.ORDERS:
+        for at in range(len(raw) - k + 1):
+            h = k
+            for b in raw[at : at + k]:
+                h = (h * 0x100000001B3 + b + 1) % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            found.append((h ^ h >> 32) % langid.BUCKETS)
+    return found
+
+
+def test_tables_scores_and_predictions_are_those_of_a_plain_version(corpus, model):
+    rows = [(d, t, lang) for d, t, lang in corpus.collect() if lang and zlib.crc32(str(d).encode()) % 5]
+    counts = {lang: np.zeros(langid.BUCKETS) for lang in SYLLABLES}
+    for _, text, lang in rows:
+        for w in text.lower().split():
+            np.add.at(counts[lang], plain_buckets(w), 1)
+    logs = {lang: np.log(c + 0.5) - np.log(c.sum() + 0.5 * langid.BUCKETS) for lang, c in counts.items()}
+    for k, lang in enumerate(model.languages):
+        assert np.allclose(model.logs[k], logs[lang], atol=1e-4)
+        used = {langid.NAMES[j] for j in np.flatnonzero(model.scripts[k])}
+        assert used == ({"cyrillic"} if lang == "zz" else {"latin"})
+    texts = {d: t for d, t, _ in corpus.collect()}
+    for r in langid.predict(corpus, model, keep=["doc_id"]).limit(60).collect():
+        words, scores = texts[r.doc_id].lower().split(), []
+        for w in words:
+            can = ["zz"] if w[0] > "z" else ["xx", "yy"]
+            own = {lang: langid.WEIGHT * logs[lang][plain_buckets(w)].sum() for lang in can}
+            scores.append([own[lang] - max(own.values()) if lang in own else -50.0 for lang in model.languages])
+        value, paths = plain_viterbi(scores, langid.SWITCH)
+        path = next(p for v, p in paths.values() if v == value)
+        share = [sum(len(w) for w, k in zip(words, path, strict=True) if k == j) for j in range(3)]
+        assert r.lang_pred == model.languages[int(np.argmax(share))] and abs(r.score - max(share) / sum(share)) < 1e-9
+
+
+def test_no_language_is_dropped(spark):
+    rows = [(d, " ".join(f"{chr(97 + d % 26)}{chr(97 + d // 26 % 26)}{c}q" for c in "abcdefgh"), f"l{d % 300:03}") for d in range(1500)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and model.logs.shape == (300, 8192)
+    with pytest.raises(ValueError):
+        langid.buckets_of(langid.MOST_LANGUAGES + 1)
+
+
+def test_paths_do_not_depend_on_the_pieces(model, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(word(rng, str(rng.choice(["xx", "yy", "zz"]))) for _ in range(n)) for n in (0, 1, 2, 3, 40, 8, 9, 23)]
+    labeller = langid.Labeller(model)
+    docs = labeller.words(texts)
+    whole = labeller.viterbi(docs)
+    for step in (1, 2, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert all((a == b).all() for a, b in zip(whole, labeller.viterbi(docs), strict=True))
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    model = langid.Model([f"l{k:03}" for k in range(100)], rng.normal(size=(100, 1024)).astype(np.float32), np.ones((100, len(langid.NAMES)), bool), 0)
+    labeller = langid.Labeller(model)
+    text = " ".join(f"w{k % 2000}" for k in range(50_000))
+    tracemalloc.start()
+    docs = labeller.words([text])
+    labels = labeller.viterbi(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels[0]) == 50_000 and most < 20_000_000  # scores and back pointers of all words would take 30 MB
