@@ -7,15 +7,17 @@ share), and a softmax classifier learns in which parts a vector's neighbours
 lie.  The classifier then deals every vector of the table to its likeliest part
 and every query to several; how many is the least number that finds `RECALL` of
 the sample's true neighbours.  Within a part, queries and vectors meet in blocks
-of bounded size, so a part that a third of all vectors fall into is dealt over
+of bounded size (a grid of blocks, in which both sides are copied), so a part that a third of all vectors fall into is dealt over
 many tasks; each block gives its best per query, and a last step ranks them.
 
 Nearness is the inner product in double precision of the original vectors; ties
-go to the smaller id.  Null ids and vectors that are null, zero, not of the most
-common length, or hold null or non-finite components take no part.  Of repeated
+go to the smaller id.  Null ids and vectors that are null, zero, or hold null or
+non-finite components take no part; vectors of different lengths, which have no inner
+product, are searched apart.  Of repeated
 query ids one row (the least vector) asks; repeated candidates are candidates
-each, but never a query's own id.  An empty table gives no rows.  Other columns
-are ignored.
+each, but never a query's own id.  The parts grow with the square root of the
+rows, as far as the sample carries (48 of its vectors a part).  An empty table gives
+no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,12 +195,17 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     """The k nearest of each query (ids divisible by `every`): query_id, rank, vec_id, score."""
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null").where(usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    dim, total = sizes["dim"], sizes["count"]
-    rows = rows.where(F.size("v") == dim)
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().collect()}
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, total in sorted(sizes.items()):
+        empty = empty.unionByName(_search(rows.where(F.size("v") == dim), dim, total, k, every, parts, recall))
+    return empty
+
+
+def _search(rows: DataFrame, dim: int, total: int, k: int, every: int, parts: int, recall: float) -> DataFrame:
+    """`search` among `total` vectors (id, v) of one length."""
+    spark = rows.sparkSession
+    parts = max(parts, int(total**0.5 / 8))
     below = int((1 << 20) * min(1.0, SAMPLE_ROWS / total)) + 1
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < below).select("v").limit(2 * SAMPLE_ROWS).toArrow()
     router = fit(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), k, parts, recall)
@@ -227,7 +234,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     asks = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     grid = [(p, -(-c // BLOCK), -(-asks[p] // QUERIES)) for p, c in counts.items() if p in asks]
     if not grid:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = F.broadcast(spark.createDataFrame(grid, "part int, base_blocks long, query_blocks long"))
     base = base.join(blocks, "part").select(
         "part", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("base_blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("q")
