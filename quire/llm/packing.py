@@ -10,16 +10,19 @@ begins.  When no piece finds a gap, the largest ones open new sequences, as many
 as the tokens left need at least.
 
 The range-sorted pieces and gaps are held run-length encoded: sizes are 1 to
-`capacity`, so the driver has at most `capacity` runs of each, whatever the
-number of documents; a sweep over runs matches all their members at once.  What
-it decides is a table of intervals: of the pieces of length L, ranks a to b go to
-sequences s to s + b - a at offset o.  The pieces' ranks within a length come
-from salted counts on the executors, so a length that a third of all pieces
-share is still dealt over many tasks.
+`capacity`, so each round has at most `capacity` different sizes of each, whatever
+the number of documents, and a sweep over runs matches all their members at once.
+Since that is a few thousand numbers, the sweeps run on the driver over counts of
+lengths; no piece, id or token gets there.  What they decide is a table of intervals
+(some 6000 for 4 million pieces): of the pieces of length L, ranks a to b go to
+sequences s to s + b - a at offset o.  The pieces' ranks within a length come from
+salted counts on the executors, so a length that a third of all pieces share is still
+dealt over many tasks, and every piece looks up its own interval.
 
 Nulls: a null text is a document of the end id alone; a null id is kept.
-Repeated rows are packed each; ties go by id, piece, then digest.  An empty
-table gives no rows.
+Repeated rows are packed each; ties go by id, piece, then digest.  A very long text
+is many pieces, encoded part by part.  Other columns are ignored, whatever their
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, cut, slices, stored, text_batches
+from quire.llm.common import binary, cut, release, slices, stored, text_batches
 from quire.llm.words import CACHE_WORDS, encoder
 
 CAPACITY = 2048
+#: Parts that pieces of one length are dealt in at least, and pieces of a part.
 SALTS = 256
+SALT_ROWS = 1 << 18
 
 Run = tuple[int, int]  # first, count
 
@@ -116,7 +121,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return placed, used
 
 
-def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, doc_id: str, text: str, by_words: bool, cache_words: int) -> DataFrame:
+def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, doc_id: str, text: str, by_words: bool, cache_words: int, forget: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     end = struct.pack("<I", end_id)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -134,6 +139,9 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, do
                 columns = zip(*out, strict=True)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        if forget:
+            work.forget()
+            release()
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return text_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -148,13 +156,18 @@ def pack(
     text: str = "text",
     by_words: bool = True,
     cache_words: int = CACHE_WORDS,
+    forget: bool = False,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = stored(pieces_of(df, tokenizer_path, end_id, capacity, doc_id, text, by_words, cache_words), "pieces")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    With `forget` a worker keeps no words between tasks, for what else it has to do.
+    """
+    found = stored(pieces_of(df, tokenizer_path, end_id, capacity, doc_id, text, by_words, cache_words, forget), "pieces")
+    counts = {n: c for n, c in found.groupBy("length").count().collect()}  # at most `capacity` rows
+    salts = max(SALTS, -(-max(counts.values(), default=0) // SALT_ROWS))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     local = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1 AS local")
-    runs = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most capacity x SALTS rows
-    counts = {n: c for n, c in runs.groupBy("length").agg(F.sum("n")).collect()}
+    runs = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), sum(counts.values()))
     placed, _ = plan(counts, capacity)
     placed.sort()
     keys = np.array([n << 44 | first for n, first, *_ in placed], np.int64)

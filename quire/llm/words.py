@@ -102,6 +102,9 @@ class WordEncoder:
             known.update(zip(others, self.encoded([w.decode() for w in others]), strict=True))
         known.update([(w, known[stem] + known[mark]) for w, stem, mark in marked])
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return self.encoded([x.decode() for x in texts])
