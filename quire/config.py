@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from quire.functions.pixels import FORMULA_MEAN, FORMULA_STD
 from quire.labels import FORMULA, LABELS, MULTI_LINE, TEXT
 
 
@@ -61,12 +62,26 @@ def unit(x: float) -> float:
 
 @dataclass(frozen=True)
 class PageConfig:
-    """Thresholds and batch size, with the classes that are kept."""
+    """Thresholds, sizes and batches, with the classes that are kept."""
 
     classes: ClassConfig = field(default_factory=ClassConfig.basic)
     layout_threshold: float = 0.4
     recognition_threshold: float = 0.0
     recognition_batch: int = 8
+    detection_longest: int = 1280
+    formula_mean: float = FORMULA_MEAN
+    formula_std: float = FORMULA_STD
+    formula_batch: int = 1
+
+    def with_detection_longest(self, n: int) -> PageConfig:
+        """Pages are scaled down until their longer side has n pixels at most."""
+        return replace(self, detection_longest=max(32, n))
+
+    def with_formula_normalisation(self, mean: float, std: float) -> PageConfig:
+        return replace(self, formula_mean=mean, formula_std=std)
+
+    def with_formula_batch(self, n: int) -> PageConfig:
+        return replace(self, formula_batch=max(1, n))
 
     def with_layout_threshold(self, x: float) -> PageConfig:
         return replace(self, layout_threshold=unit(x))

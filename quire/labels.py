@@ -28,6 +28,7 @@ LABELS = (
     "aside_text",
     "reference_content",
 )
+#: Labels of one line, and of several.
 SINGLE_LINE = frozenset({"paragraph_title", "number", "doc_title", "footnote", "header", "algorithm", "footer", "formula_number"})
 MULTI_LINE = frozenset({"text", "abstract", "content", "figure_title", "reference", "aside_text", "reference_content"})
 TEXT = SINGLE_LINE | MULTI_LINE

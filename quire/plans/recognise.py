@@ -91,7 +91,7 @@ class Engine:
         """Lines in reading order, or None where no enabled class needs them."""
         if not self.config.classes.needs_detection():
             return None
-        quads = lines.filter_quads(models.run_detection(pages, self.models.detection))
+        quads = lines.filter_quads(models.run_detection(pages, self.models.detection, self.config.detection_longest))
         return lines.reading_order(lines.quads_to_boxes(quads.withColumn("quad", F.col("grown"))))
 
     def recognise(self, pages: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ class Engine:
             contents = text_contents(regions, self.lines(pages), recognised, config)
         if config.classes.needs_formulas():
             own = regions.where(F.col("label") == FORMULA).join(page_sizes(pages), "page_id")
-            tokens = models.run_formulas(pages, assign.with_windows(own, FORMULA_PADDING), m.formula)
+            tokens = models.run_formulas(pages, assign.with_windows(own, FORMULA_PADDING), m.formula, config.formula_mean, config.formula_std, config.formula_batch)
             latex = decode.formula(tokens, m.tokens).select("page_id", "region_idx", markdown.formula_markdown(F.col("latex")).alias("content"))
             contents = latex if contents is None else contents.unionByName(latex)
         if contents is None:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.functions import pixels
 from quire.sources.pages import image_array
@@ -98,14 +99,34 @@ def run_detection(pages: DataFrame, model: Model, longest: int = 1280) -> DataFr
     return _rows(pages.select("page_id", "image"), one, QUAD_RAW)
 
 
+def recognised(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids and probabilities of a batch; a model without compact outputs is reduced to them."""
+    found = model({"x": x})
+    if "token_ids" in found:
+        return found["token_ids"], found["token_probs"]
+    return found["fetch_name_0"].argmax(axis=2), found["fetch_name_0"].max(axis=2)
+
+
+def recognise_image(image: np.ndarray, model: Model, symbols: list[str]) -> tuple[str, float]:
+    """Text and confidence of one line's image (BGR); an empty image has neither."""
+    text, probs = [], []
+    for _, x in pixels.rec_batches([image], 1):
+        ids, found = recognised(model, x)
+        before = 0
+        for i, p in zip(ids[0].tolist(), found[0].tolist(), strict=True):
+            if i not in (0, before) and 0 < i <= len(symbols):
+                text.append(symbols[i - 1])
+                probs.append(p)
+            before = i
+    return "".join(text), sum(probs) / len(probs) if probs else 0.0
+
+
 def run_recognition(pages: DataFrame, windows: DataFrame, model: Model, batch: int = 8) -> DataFrame:
     """Token ids and probabilities of the crops (page_id, crop_idx, x, y, w, h).
 
     Crops are batched page by page, so results don't depend on other pages.  A
     model without compact outputs is reduced to ids and probabilities here.
     """
-    from pyspark.sql import functions as F
-
     crops = windows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("crop_idx", "x", "y", "w", "h"))).alias("crops"))
 
     def one(row: dict) -> list[tuple]:
@@ -113,12 +134,7 @@ def run_recognition(pages: DataFrame, windows: DataFrame, model: Model, batch: i
         cut = [page[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] for c in row["crops"]]
         empty = set(range(len(cut)))
         for places, x in pixels.rec_batches(cut, batch):
-            found = model({"x": x})
-            if "token_ids" in found:
-                ids, probs = found["token_ids"], found["token_probs"]
-            else:
-                ids, probs = found["fetch_name_0"].argmax(axis=2), found["fetch_name_0"].max(axis=2)
-            for place, a, b in zip(places, ids, probs, strict=True):
+            for place, a, b in zip(places, *recognised(model, x), strict=True):
                 empty.discard(place)
                 out.append((row["page_id"], row["crops"][place]["crop_idx"], a.tolist(), b.tolist()))
         return out + [(row["page_id"], row["crops"][k]["crop_idx"], [], []) for k in sorted(empty)]
@@ -126,18 +142,29 @@ def run_recognition(pages: DataFrame, windows: DataFrame, model: Model, batch: i
     return _rows(pages.join(crops, "page_id").select("page_id", "image", "crops"), one, TOKENS)
 
 
-def run_formulas(pages: DataFrame, windows: DataFrame, model: Model, mean: float = pixels.FORMULA_MEAN, std: float = pixels.FORMULA_STD) -> DataFrame:
-    """Formula token ids of the windows (page_id, region_idx, x, y, w, h), one at a time."""
+def run_formulas(
+    pages: DataFrame, windows: DataFrame, model: Model, mean: float = pixels.FORMULA_MEAN, std: float = pixels.FORMULA_STD, batch: int = 1
+) -> DataFrame:
+    """Formula token ids of the windows (page_id, region_idx, x, y, w, h), `batch` at a time.
+
+    A page meets all its formulas at once, so its image is sent once at most.
+    """
+    formulas = windows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("region_idx", "x", "y", "w", "h"))).alias("formulas"))
 
     def one(row: dict) -> list[tuple]:
-        page = image_array(row["image"])
-        own = page[row["y"] : row["y"] + row["h"], row["x"] : row["x"] + row["w"]]
-        if not own.size:
-            return [(row["page_id"], row["region_idx"], [])]
-        ids = model({"x": pixels.formula_input(own, mean, std)})["fetch_name_0"]
-        if ids.ndim != 2 or len(ids) != 1:
-            raise ValueError(f"formula model gave shape {ids.shape}")
-        return [(row["page_id"], row["region_idx"], ids[0].tolist())]
-
-    rows = windows.join(pages, "page_id").select("page_id", "region_idx", "x", "y", "w", "h", "image")
-    return _rows(rows, one, "page_id long, region_idx int, token_ids array<bigint>")
+        page, out, some = image_array(row["image"]), [], []
+        for f in row["formulas"]:
+            own = page[f["y"] : f["y"] + f["h"], f["x"] : f["x"] + f["w"]]
+            if own.size:
+                some.append((f["region_idx"], own))
+            else:
+                out.append((row["page_id"], f["region_idx"], []))
+        for at in range(0, len(some), max(1, batch)):
+            part = some[at : at + max(1, batch)]
+            ids = model({"x": np.concatenate([pixels.formula_input(own, mean, std) for _, own in part])})["fetch_name_0"]
+            if ids.ndim != 2 or len(ids) != len(part):
+                raise ValueError(f"formula model gave shape {ids.shape}")
+            out += [(row["page_id"], region, x.tolist()) for (region, _), x in zip(part, ids, strict=True)]
+        return out
+
+    return _rows(pages.join(formulas, "page_id").select("page_id", "image", "formulas"), one, "page_id long, region_idx int, token_ids array<bigint>")

@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-#: BGR colours of paragraph kinds.
-COLOURS = {"title": (60, 20, 220), "text": (255, 0, 0), "formula": (0, 128, 0), "other": (180, 130, 70)}
+#: BGR colours of paragraph kinds, and of all others.
+COLOURS = {"paragraph_title": (60, 20, 220), "text": (200, 30, 30), "formula": (0, 150, 0)}
+OTHER = (180, 130, 70)
+#: Rows of three bits of the letters that names of kinds have.
+GLYPHS = {
+    "a": "25755", "b": "65656", "c": "34443", "d": "65556", "e": "74647", "f": "74644", "g": "34553", "h": "55755", "i": "72227",
+    "j": "11152", "k": "55655", "l": "44447", "m": "57755", "n": "65555", "o": "25552", "p": "65644", "q": "25563", "r": "65655",
+    "s": "34216", "t": "72222", "u": "55557", "v": "55552", "w": "55775", "x": "55255", "y": "55222", "z": "71247", "_": "00007",
+}
 
 
 def read_pages(spark: SparkSession, path: str, page_id: str | None = None) -> DataFrame:
@@ -41,9 +48,22 @@ def page_sizes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("image.width").alias("page_w"), F.col("image.height").alias("page_h"))
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """One text file per partition, a page's Markdown per row, split by blank pages' marks."""
-    documents.select("markdown").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+def write_markdown(documents: DataFrame, path: str, per_page: bool = False) -> None:
+    """The Markdown of every page with its page_id: a line of JSON each, or with
+    `per_page` a text file each, in a folder page_id=... of its own."""
+    rows = documents.select("page_id", "markdown")
+    if per_page:
+        rows.write.mode("overwrite").partitionBy("page_id").text(path)
+    else:
+        rows.write.mode("overwrite").json(path)
+
+
+def read_markdown(spark: SparkSession, path: str, per_page: bool = False) -> DataFrame:
+    """(page_id, markdown) of what `write_markdown` wrote."""
+    if not per_page:
+        return spark.read.schema("page_id long, markdown string").json(path)
+    found = spark.read.schema("value string, page_id long").text(path, wholetext=True)
+    return found.select("page_id", F.regexp_replace("value", "\n$", "").alias("markdown"))
 
 
 def png(image: np.ndarray) -> bytes:
@@ -58,20 +78,33 @@ def png(image: np.ndarray) -> bytes:
 
 
 def colour_of(kind: str) -> tuple[int, int, int]:
-    return COLOURS["title" if kind.endswith("title") else kind if kind in ("text", "formula") else "other"]
+    return COLOURS.get(kind, OTHER)
+
+
+def tag(kind: str) -> np.ndarray:
+    """The name of a kind as a mask of pixels; a character without a glyph is blank."""
+    rows = np.zeros((5, max(1, 4 * len(kind) - 1)), bool)
+    for k, c in enumerate(kind):
+        for y, bits in enumerate(GLYPHS.get(c, "00000")):
+            rows[y, 4 * k : 4 * k + 3] = [int(bits) >> j & 1 for j in (2, 1, 0)]
+    return rows.repeat(2, axis=0).repeat(2, axis=1)
 
 
 def annotate(image: np.ndarray, paragraphs: list[tuple[str, list[float]]], thickness: int = 2) -> np.ndarray:
-    """The page with a hollow box around each paragraph and a filled tag above it."""
+    """The page with a hollow box around each paragraph, and above it a filled tag
+    with the name of its kind in black."""
     out = image.copy()
     h, w = out.shape[:2]
     for kind, (x1, y1, x2, y2) in paragraphs:
         a, b, c, d = (int(np.clip(v, 0, m)) for v, m in ((x1, w - 1), (y1, h - 1), (x2, w - 1), (y2, h - 1)))
-        colour = colour_of(kind)
+        colour, name = colour_of(kind), tag(kind)
         for t in range(thickness):
             out[min(b + t, d), a : c + 1] = out[max(d - t, b), a : c + 1] = colour
             out[b : d + 1, min(a + t, c)] = out[b : d + 1, max(c - t, a)] = colour
-        out[max(0, b - 12) : b, a : min(w, a + 8 * len(kind))] = colour
+        x, y = min(a, max(0, w - name.shape[1] - 8)), max(0, b - name.shape[0] - 6)
+        out[y : y + name.shape[0] + 4, x : x + name.shape[1] + 8] = colour
+        room = out[y + 2 : y + 2 + name.shape[0], x + 4 : x + 4 + name.shape[1]]
+        room[name[: room.shape[0], : room.shape[1]]] = 0
     return out
 
 

@@ -18,6 +18,19 @@ def symbol_table(spark: SparkSession, symbols: list[str], first_id: int = 1) ->
     return spark.createDataFrame([(i, s) for i, s in enumerate(symbols, first_id)], "class_id int, symbol string")
 
 
+def read_yaml_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token_id, token) of a formula model's YAML file: its tokenizer's vocabulary, with
+    the added tokens in place of equal ids.  Fails if ids aren't contiguous from 0."""
+    import yaml  # only this reader needs it
+
+    with open(path, encoding="utf-8") as file:
+        tokenizer = yaml.safe_load(file)["PostProcess"]["character_dict"]["fast_tokenizer_file"]
+    schema = "token_id int, token string"
+    vocab = spark.createDataFrame([(i, t) for t, i in tokenizer["model"]["vocab"].items()], schema)
+    added = spark.createDataFrame([(t["id"], t["content"]) for t in tokenizer["added_tokens"]], schema)
+    return overlay_vocabulary(vocab, added)
+
+
 def overlay_vocabulary(vocab: DataFrame, added: DataFrame) -> DataFrame:
     """(token_id, token): a vocabulary with added tokens in place of equal ids.
 

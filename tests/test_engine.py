@@ -5,7 +5,7 @@ import pytest
 
 from quire.config import ClassConfig, PageConfig, PipelineError
 from quire.plans.recognise import Engine, Models
-from quire.sources.pages import annotated_pages, pages_from_arrays, read_pages, write_markdown
+from quire.sources.pages import annotated_pages, pages_from_arrays, read_markdown, read_pages, write_markdown
 
 SYMBOLS = ["h", "i", "!"]
 TOKENS = [f"<{k}>" for k in range(23)] + ["x", "Ġ", "^"]
@@ -63,7 +63,11 @@ def test_documents_and_sinks(spark, pages, tmp_path):
     engine = Engine(PageConfig(ClassConfig.all()), models())
     docs = engine.documents(pages)
     assert {r.page_id: r.markdown for r in docs.collect()}[8] == "# hi!\n\nhi!\nhi!\n\n$$\nx^ x\n$$"
-    write_markdown(docs, str(tmp_path / "md"))
+    for per_page in (False, True):
+        write_markdown(docs, str(tmp_path / f"md{per_page}"), per_page)
+        again = read_markdown(spark, str(tmp_path / f"md{per_page}"), per_page).collect()
+        assert {r.page_id: r.markdown for r in again} == {r.page_id: r.markdown for r in docs.collect()}
+    assert sorted(x.name for x in (tmp_path / "mdTrue").iterdir() if x.is_dir()) == ["page_id=7", "page_id=8"]
     drawn = annotated_pages(pages, engine.recognise(pages)).collect()
     assert len(drawn) == 2
     (tmp_path / "images").mkdir()
@@ -90,6 +94,61 @@ def test_timing(pages):
     assert engine.recognise(pages.limit(0)).count() == 0
 
 
+def test_settings_reach_the_models(spark, pages):
+    def detection(inputs):
+        assert inputs["x"].shape[2:] == (480, 960)
+        return detection_model(inputs)
+
+    def formula(inputs):
+        x = inputs["x"]
+        assert 100 <= x.min() <= x.max() <= 101 and len(x) == 1  # (v - mean) / std with mean -100 and std 1
+        return formula_model(inputs)
+
+    wide = pages_from_arrays(spark, {1: np.zeros((1000, 2000, 3), np.uint8)})
+    config = PageConfig(ClassConfig.all()).with_detection_longest(960).with_formula_normalisation(-100.0, 1.0).with_formula_batch(4)
+    assert (config.formula_batch, config.with_formula_batch(0).formula_batch) == (4, 1)
+    assert Engine(config, models(detection=detection)).lines(wide).count()
+    only = PageConfig(ClassConfig.none().with_enabled("formula", True)).with_formula_normalisation(-100.0, 1.0)
+    assert contents(Engine(only, models(formula=formula)), pages) == [("formula", "$$\nx^ x\n$$")]
+
+
+def test_formulas_in_batches_send_an_image_once(spark, pages):
+    from quire.sources.models import run_formulas
+
+    def model(inputs):
+        return {"fetch_name_0": np.array([[len(inputs["x"]), 23]] * len(inputs["x"]))}
+
+    windows = spark.createDataFrame([(7, k, 0, 0, 20 if k != 2 else 0, 20) for k in range(6)], "page_id long, region_idx int, x int, y int, w int, h int")
+    found = run_formulas(pages, windows, model, batch=3)
+    assert {r.region_idx: r.token_ids for r in found.collect()} == {0: [3, 23], 1: [3, 23], 2: [], 3: [3, 23], 4: [2, 23], 5: [2, 23]}
+
+
+def test_one_image():
+    from quire.sources.models import recognise_image
+
+    image = np.zeros((48, 100, 3), np.uint8)
+    for model in (recognition_model, plain_recognition_model):
+        assert recognise_image(image, model, SYMBOLS) == ("hi!", 0.5)
+    assert recognise_image(image[:0], recognition_model, SYMBOLS) == ("", 0.0)
+
+
+def test_yaml_vocabulary(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from quire.sources.vocabulary import read_yaml_vocabulary
+
+    path = tmp_path / "model.yml"
+    path.write_text('PostProcess: {character_dict: {fast_tokenizer_file: {model: {vocab: {"a": 0, "b": 1, "c": 2}}, added_tokens: [{content: "<s>", id: 0}, {content: "<new>", id: 3}]}}}')
+    assert sorted((r.token_id, r.token) for r in read_yaml_vocabulary(spark, str(path)).collect()) == [(0, "<s>"), (1, "b"), (2, "c"), (3, "<new>")]
+
+
+def test_public_names():
+    import quire
+
+    assert quire.Engine is Engine and all(getattr(quire, name) for name in quire.__all__)
+    with pytest.raises(AttributeError):
+        quire.nothing
+
+
 def test_missing_models():
     with pytest.raises(PipelineError, match="missing required model path: detection"):
         Engine(PageConfig(), Models(layout_model))

@@ -108,10 +108,17 @@ def test_crop_margin():
     assert pixels.crop_margin(page).shape == (4, 5)
 
 
-@pytest.mark.parametrize("kind", ["doc_title", "text", "formula", "table"])
-def test_annotate(kind):
-    from quire.sources.pages import annotate, colour_of, png
-
-    out = annotate(np.zeros((40, 60, 3), np.uint8), [(kind, [10, 15, 50, 30])])
-    assert tuple(out[15, 20]) == colour_of(kind) and tuple(out[20, 20]) == (0, 0, 0)
+@pytest.mark.parametrize(
+    ("kind", "rgb"),
+    [("paragraph_title", (220, 20, 60)), ("text", (30, 30, 200)), ("formula", (0, 150, 0)), ("doc_title", (70, 130, 180)), ("figure_title", (70, 130, 180)), ("image", (70, 130, 180))],
+)
+def test_annotate(kind, rgb):
+    from quire.sources.pages import annotate, png, tag
+
+    out = annotate(np.full((80, 160, 3), 255, np.uint8), [(kind, [10, 40, 150, 70])])[:, :, ::-1]
+    assert tuple(out[40, 20]) == tuple(out[41, 20]) == rgb and tuple(out[55, 20]) == (255, 255, 255)
+    name = tag(kind)
+    assert name.any() and name.shape == (10, 8 * len(kind) - 2)
+    room = out[26:36, 14 : 14 + name.shape[1]]
+    assert (room[name] == 0).all() and (room[~name] == rgb).all()  # black letters on the colour
     assert png(out).startswith(b"\x89PNG")
