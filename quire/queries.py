@@ -550,7 +550,7 @@ def vocab_overlay(spark, sf_dir):
     return vocabulary.overlay_vocabulary(vocab, added)
 
 
-# pixels: no SQL says these; tests hold them against plain versions
+# pixels: shapes by SQL over pairs of points; no SQL says what contours are
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -571,22 +571,54 @@ def _shape(spark, sf_dir, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame
     return _points(spark, sf_dir).mapInArrow(run, "page_id long, corners array<struct<x:double,y:double>>")
 
 
-@query()
+HULL_SQL = """, p AS (SELECT DISTINCT page_id, x1 AS x, y1 AS y FROM lines),
+edges AS (
+  SELECT a.page_id, a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy
+  FROM p a JOIN p b ON a.page_id = b.page_id AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM p c WHERE c.page_id = a.page_id AND (
+      (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+      OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+        AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))
+), rectangles AS (
+  SELECT e.page_id, ax, ay, qx, qy,
+    max(((qx - ax) * x + (qy - ay) * y)) - min(((qx - ax) * x + (qy - ay) * y)) AS u,
+    max(((qx - ax) * y - (qy - ay) * x)) - min(((qx - ax) * y - (qy - ay) * x)) AS v,
+    (qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) AS n
+  FROM edges e JOIN p ON e.page_id = p.page_id GROUP BY ALL
+), least_area AS (
+  SELECT page_id, min(u * v / n) AS area, arg_min(u / sqrt(n), u * v / n) AS w, arg_min(v / sqrt(n), u * v / n) AS h FROM rectangles GROUP BY page_id
+), pages AS (SELECT DISTINCT page_id FROM p)
+"""
+
+
+@query(
+    HULL_SQL + " SELECT DISTINCT page_id, ax AS x, ay AS y FROM edges UNION SELECT page_id, min(x), min(y) FROM p GROUP BY page_id HAVING count(*) = 1",
+    "lines",
+)
 def convex_hull(spark, sf_dir):
     """Hull corners of a page's points."""
-    return _shape(spark, sf_dir, pixels.convex_hull)
+    corners = _shape(spark, sf_dir, pixels.convex_hull).select("page_id", F.explode("corners").alias("c"))
+    return corners.select("page_id", "c.x", "c.y")
 
 
-@query()
+@query(HULL_SQL + " SELECT page_id, round(coalesce(area, 0), 3) AS area FROM pages LEFT JOIN least_area USING (page_id)", "lines")
 def min_area_quad(spark, sf_dir):
-    """The smallest rectangle around a page's points."""
-    return _shape(spark, sf_dir, pixels.min_area_quad)
+    """The area of the smallest rectangle around a page's points."""
+    found = _shape(spark, sf_dir, pixels.min_area_quad)
+    return found.select("page_id", F.round(F.abs(geometry.signed_area(F.col("corners"))), 3).alias("area"))
 
 
-@query()
+@query(
+    HULL_SQL
+    + f" SELECT page_id, round(CASE WHEN coalesce(area, 0) < 1e-9 THEN 0 ELSE (w + area * {pixels.UNCLIP} / (w + h)) * (h + area * {pixels.UNCLIP} / (w + h)) END, 3) AS area "
+    "FROM pages LEFT JOIN least_area USING (page_id)",
+    "lines",
+)
 def quad_unclip(spark, sf_dir):
-    """That rectangle, grown."""
-    return _shape(spark, sf_dir, lambda p: pixels.unclip(pixels.min_area_quad(p)))
+    """The area of that rectangle, turned as it is, when it is grown."""
+    found = _shape(spark, sf_dir, lambda p: pixels.unclip(pixels.min_area_quad(p)))
+    return found.select("page_id", F.round(F.abs(geometry.signed_area(F.col("corners"))), 3).alias("area"))
 
 
 @query()
