@@ -10,7 +10,10 @@ have been cut out (these become their ids).  A text is first cut before single
 spaces that have no other white space next to them, where the pattern always ends
 a piece, so that words can be kept with all their pieces.
 
-A null text is empty: no ids.  Equal texts have equal results.
+A null text is empty: no ids.  Equal texts, and so repeated rows, have equal results.
+A very long text is encoded part by part, cut where a piece ends anyway.  Of pairs of
+equal rank in a piece all are merged, from the left where they overlap.  Columns that
+are kept and named like an output column are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

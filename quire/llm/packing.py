@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, cut, release, slices, stored, text_batches
+from quire.llm.common import SLICE_BYTES, binary, cut, release, slices, stored, text_batches
 from quire.llm.words import CACHE_WORDS, encoder
 
 CAPACITY = 2048
@@ -129,7 +129,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, do
     def run(batches):
         work = encoder(tokenizer_path, by_words, cache_words)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20 if forget else SLICE_BYTES):
                 out: list[tuple] = []
                 for d, ids in zip(part.column("doc_id").to_pylist(), work.ids(binary(part.column("text"))), strict=True):
                     ids += end
@@ -160,7 +160,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    With `forget` a worker keeps no words between tasks, for what else it has to do.
+    With `forget` a worker keeps no words between tasks and splits fewer at once, for
+    what else it has to do.
     """
     found = stored(pieces_of(df, tokenizer_path, end_id, capacity, doc_id, text, by_words, cache_words, forget), "pieces")
     counts = {n: c for n, c in found.groupBy("length").count().collect()}  # at most `capacity` rows

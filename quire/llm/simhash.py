@@ -21,7 +21,9 @@ more than `BUCKET` classes leaves its task as it came and is dealt out anew in
 pairs of blocks, so none has to fit in a task.
 
 Nulls: a null id never names a component (one of null ids alone is null).
-Repeated rows are rows of one class.  An empty table gives no rows.
+Repeated rows are rows of one class, each with a row of its own.  Very long texts are
+hashed in parts of two megabytes.  Other columns are ignored, whatever their names.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ ascending order of document id over files and blocks; a file is a partition.
 
 Nulls: a null text has no ids but the end id; a null document id sorts first and
 comes back as null.  Repeated rows are documents of their own, ordered by the
-hash of their text.  An empty table gives no blocks.  Other columns are ignored.
+hash of their text.  A very long text is encoded part by part and stays in one block.
+An empty table gives no blocks.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

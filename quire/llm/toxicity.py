@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import binary, cut, cuts, few, held_out, map_texts, release, slices, small_or_shuffled, text_batches
+from quire.llm.common import binary, cut, cuts, distinct, few, held_out, map_texts, release, slices, small_or_shuffled, text_batches
 
 #: Discounts of words and of pairs that one, two, three or more texts hold.
 WORDS = (1.0, 0.75, 0.5)
@@ -68,9 +68,8 @@ CALIBRATION_ROWS = 20_000
 BROADCAST_WORDS = 2_000_000
 #: Words that a scoring worker remembers.
 CACHE_WORDS = 100_000
-#: Distinct pairs of words that a task gathers before it hands them on, and parts they are dealt in.
-GATHERED = 1_000_000
-PARTS = 4096
+#: Distinct pairs of words that a task gathers before it hands them on.
+GATHERED = 1_500_000
 SEED = 42
 MARKS = b".,;:!?\"'()[]{}<>*#$%&-_/\\|+=~`@^"
 
@@ -91,6 +90,12 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in found if w]
 
 
+def parts_of(size: int) -> int:
+    """Parts that the words of so many bytes of texts are dealt in: one for a megabyte
+    up to 4096, as every task has a row for each; then as many as memory asks for."""
+    return max(64, min(4096, size >> 20), size >> 34)
+
+
 def mixed(lead: np.ndarray, other: np.ndarray) -> np.ndarray:
     """One 64-bit key of two hashes."""
     key = lead * np.uint64(0x9E3779B97F4A7C15) ^ (other + np.uint64(0x7F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -117,7 +122,8 @@ class Gathered:
     number of texts of either class.
     """
 
-    def __init__(self):
+    def __init__(self, parts: int):
+        self.parts = parts
         self.known: dict[bytes, int] = {b"": 0}  # the start of a text
         self.seen, self.waiting, self.size = np.zeros(0, np.uint64), [], 0
         self.held = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
@@ -134,9 +140,9 @@ class Gathered:
         self.waiting.append(ids << np.uint64(32) | before)
         self.size += len(ids)
         if label is not None:
-            own = np.unique(before << np.uint64(32) | ids)
+            own = distinct(before << np.uint64(32) | ids)
             self.more[label].append(own)
-            self.texts[label].append(np.unique(ids).astype(np.uint32))
+            self.texts[label].append(distinct(ids.astype(np.uint32)))
             self.more_size += len(own)
         if self.size > GATHERED // 3:
             self.settle_seen()
@@ -144,7 +150,7 @@ class Gathered:
             self.settle_held()
 
     def settle_seen(self) -> None:
-        self.seen, self.waiting, self.size = np.unique(np.concatenate([self.seen, *self.waiting])), [], 0
+        self.seen, self.waiting, self.size = distinct(np.concatenate([self.seen, *self.waiting])), [], 0
 
     def settle_held(self) -> None:
         keys, a, b = self.held
@@ -166,11 +172,11 @@ class Gathered:
         if n == 1:
             return None
         hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in self.known), np.uint64, n)
-        part = (hashes % np.uint64(PARTS)).astype(np.int64)
+        part = (hashes % np.uint64(self.parts)).astype(np.int64)
         order = np.lexsort([hashes, part])  # words by part
         rank = np.empty(n, np.uint64)
         rank[order] = np.arange(n, dtype=np.uint64)
-        edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
         low, half = np.uint64(2**32 - 1), np.uint64(32)
         lead = (self.held[0] >> half).astype(np.int64)
         counts = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *self.texts[k]]), minlength=n) for k in (1, 0)]
@@ -217,16 +223,21 @@ class Joined:
             return
         columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
         names, place = np.unique(columns[0], return_inverse=True)
-        first, others = np.repeat(place, columns[1]), columns[2]
-        by = np.lexsort([others, first])
-        first, others = first[by], others[by]
-        new = np.r_[True, (first[1:] != first[:-1]) | (others[1:] != others[:-1])] if len(by) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        sums = [np.add.reduceat(c[by], starts, dtype=c.dtype) if self.kind and len(by) else c for c in columns[3:5]]
-        if not self.kind:
+        first, others = np.repeat(place.astype(np.uint64), columns[1]), columns[2]
+        if self.kind:
+            key = mixed(first, others)
+            by = np.argsort(key)
+            key = key[by]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            first = first[by[starts]]
+            order = np.argsort(first, kind="stable")
+            sums = [np.add.reduceat(c[by], starts, dtype=c.dtype)[order] for c in columns[3:5]] + columns[5:]
+            first, others = first[order], others[by[starts]][order]
+        else:
+            pairs = distinct(first << np.uint64(32) | others)
+            first, others = pairs >> np.uint64(32), pairs.astype(np.uint32)
             sums = [np.bincount(place, weights=c, minlength=len(names)).astype(np.uint32) for c in columns[3:]]
-        sums += columns[5:] if self.kind else []
-        self.held = [[names, np.bincount(first[starts], minlength=len(names)).astype(np.uint32), others[starts], *sums]]
+        self.held = [[names, np.bincount(first.astype(np.int64), minlength=len(names)).astype(np.uint32), others, *sums]]
 
     def rows(self) -> list[np.ndarray]:
         """kind, h, other, follows, toxic, ordinary, lead_toxic, lead_ordinary."""
@@ -246,7 +257,7 @@ class Joined:
 COUNTED = "kind int, h long, other long, follows double, toxic long, ordinary long, lead_toxic long, lead_ordinary long"
 
 
-def counts(df: DataFrame) -> DataFrame:
+def counts(df: DataFrame, parts: int = 64) -> DataFrame:
     """Counts over rows (text, label), where label is 1, 0 or null.
 
     kind 0: words of labelled texts, with the texts that hold them, the number of
@@ -256,11 +267,11 @@ def counts(df: DataFrame) -> DataFrame:
 
     A task sends the distinct pairs it has seen as one row for each part of the
     words; who gets a part joins its rows as they come, so it holds no more than
-    about twice the distinct pairs of some thousandth of the words.
+    about twice the distinct pairs of one of `parts` of the words.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Gathered()
+        now = Gathered(parts)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 for raw, label in zip(binary(part.column("text")), part.column("label").to_pylist(), strict=True):
@@ -268,7 +279,7 @@ def counts(df: DataFrame) -> DataFrame:
                         now.add(words, label)
                 if now.full():
                     yield now.rows()
-                    now = Gathered()
+                    now = Gathered(parts)
         if (rows := now.rows()) is not None:
             yield rows
         del now, rows
@@ -370,18 +381,18 @@ class Scorer:
         """For each text the evidence at each share, and its length."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
+        split = [tokens(raw) for raw in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self.learn(list(new))
         found, sizes = [], []
-        for raw in texts:
-            words = tokens(raw)
+        for words in split:
             if not words:
                 found.append([0.0] * len(self.shares))
                 sizes.append(0)
                 continue
-            new = set(words).difference(self.known)
-            if new:
-                self.learn(list(new))
             ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            own = np.unique(np.r_[0, ids[:-1]] << 32 | ids)
+            own = distinct(np.r_[0, ids[:-1]] << 32 | ids)
             lead, other = own >> 32, own & (2**32 - 1)
             r, free = self.ratio[other], self.lead[lead]
             some = np.flatnonzero(~np.isnan(free))
@@ -480,7 +491,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     hashed = docs.withColumn("h", F.xxhash64("text"))
     found = None
     if 0 < rate < 1:
-        found = tables(cut(counts(hashed.join(small_or_shuffled(counted), ["doc_id", "h"], "left"))))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        found = tables(cut(counts(hashed.join(small_or_shuffled(counted), ["doc_id", "h"], "left"), parts_of(size))))
     if found is None:
         none = spark.createDataFrame([], "h long, other long, r double")
         return Model(none, none, none, 1.0, SHARES[0], (math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0, 0.0), False)

@@ -4,8 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import langid, queries, simhash, toxicity
-from test_simhash import plain_groups
+from quire.llm import langid, queries, toxicity
+from test_jaccard import plain_roots
 from test_tokens import check_packing
 
 
@@ -34,7 +34,7 @@ def test_run_equals_the_plain_version(spark, sf_dir, docs):
     found = {r.doc_id: r for r in langid.predict(left, langid.fit(left), keep=["doc_id"]).collect()}
     rows = [r for r in rows if found[r.doc_id].lang_pred != "und" and found[r.doc_id].score >= corpus_pipeline.LEAST_SHARE]
     rows.sort(key=lambda r: r.doc_id)
-    groups = plain_groups([simhash.fingerprint((r.text or "").encode()) for r in rows])
+    groups = plain_roots([r.text for r in rows])
     kept = {r.doc_id: r.text for k, r in enumerate(rows) if groups[k] == k}
     got = corpus_pipeline.run(spark, sf_dir).collect()
     check_packing(got, kept, Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json")), 2048)

@@ -120,3 +120,19 @@ def test_odd_documents(odd_docs, odd_texts, no_docs):
 def test_null_ids_alone(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (3, "f g")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(None, None), (3, 3)}
+
+
+def test_a_component_of_30000_documents(spark):
+    star = spark.range(1, 30_000).selectExpr("id AS a", "40000L AS b")  # the centre is the largest node
+    tail = spark.range(40_000, 40_200).selectExpr("id AS a", "id + 1 AS b")
+    apart = spark.range(50_000, 50_100).selectExpr("id AS a", "id + 1000 AS b")
+    found = components(star.unionByName(tail).unionByName(apart))
+    sizes = {r.root: r.n for r in found.groupBy("root").agg(F.countDistinct("node").alias("n")).collect()}
+    assert sizes[1] == 30_200 and len(sizes) == 101 and found.count() == 30_400
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.range(100).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
+    side = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 10)
+    assert {(r.id, r.k, r.name) for r in common.spread_join(rows, side, "k", 100).collect()} == {(i, 0 if i % 3 == 0 else i, 0 if i % 3 == 0 else 10 * i) for i in range(100)}
