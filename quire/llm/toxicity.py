@@ -13,7 +13,8 @@ discounts free.  Discounts depend on the count, as in the modified form (`WORDS`
 `PAIRS`).  K(w), which both classes share, is the continuation count: how many
 different words w follows anywhere in all documents (the start of a text counts as
 one), counted as distinct pairs of a word's 64-bit and its predecessor's 32-bit
-hash and corrected for collisions; it grows with the input.
+hash and corrected for collisions; it grows with the input.  Pairs are counted by the
+first word's 64-bit and the second's 32-bit hash.
 
 Toxic texts consist of ordinary language for the most part, so the toxic model of
 a text takes every expression from the toxic class with a probability of a and
@@ -111,7 +112,7 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
 
 
 _BLOBS = ("words", "sizes", "others", "a", "b", "c", "d")
-_KINDS = [(np.uint64, np.uint32, others, *[np.uint32] * 4) for others in (np.uint32, np.uint64)]
+_KINDS = (np.uint64, *[np.uint32] * 6)
 
 
 class Gathered:
@@ -194,12 +195,13 @@ class Gathered:
                     continue
                 arrays = [c[x:y] for c in per_word] + [c[ends[x] : ends[y]] for c in per_pair]
                 arrays += [np.zeros(0, np.uint32)] * (4 - len(arrays))
-                out.append((k, kind, *[v.tobytes() for v in (sorted_hashes[x:y], sizes[x:y], others[ends[x] : ends[y]], *arrays)]))
+                own = np.flatnonzero(sizes[x:y]) if kind else slice(None)
+                out.append((k, kind, *[v.tobytes() for v in (sorted_hashes[x:y][own], sizes[x:y][own], others[ends[x] : ends[y]], *arrays)]))
 
         pairs = np.sort(rank[self.seen >> half] << half | hashes[self.seen & low] >> half)
         deal(0, pairs >> half, pairs.astype(np.uint32), counts, [])
         by = np.argsort(rank[lead], kind="stable")
-        deal(1, rank[lead][by], hashes[self.held[0] & low][by], [], [c[by] for c in self.held[1:]])
+        deal(1, rank[lead][by], (hashes[self.held[0] & low] >> half).astype(np.uint32)[by], [], [c[by] for c in self.held[1:]])
         types = [pa.int32(), pa.int32(), *[pa.binary()] * len(_BLOBS)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "kind", *_BLOBS])
 
@@ -211,7 +213,7 @@ class Joined:
         self.kind, self.held, self.size, self.most = kind, [], 0, GATHERED
 
     def add(self, blobs: list[bytes]) -> None:
-        self.held.append([np.frombuffer(x, t) for x, t in zip(blobs, _KINDS[self.kind], strict=True)])
+        self.held.append([np.frombuffer(x, t) for x, t in zip(blobs, _KINDS, strict=True)])
         self.size += len(self.held[-1][2])
         if self.size > self.most:  # at most about twice what is distinct is held
             self.join()
@@ -246,7 +248,7 @@ class Joined:
         if self.kind:
             at = np.flatnonzero((a >= FREQUENT) | (b >= FREQUENT))
             none = np.zeros(len(at), np.uint32)
-            return [np.ones(len(at), np.int32), np.repeat(names, sizes)[at], others[at], none.astype(float), a[at], b[at], none, none]
+            return [np.ones(len(at), np.int32), np.repeat(names, sizes)[at], others[at].astype(np.uint64), none.astype(float), a[at], b[at], none, none]
         follows = -(2.0**32) * np.log1p(-sizes.astype(float) / 2.0**32)
         at = np.flatnonzero((a > 0) | (b > 0) | (c > 0) | (d > 0))
         columns = [np.zeros(len(at), np.int32), names[at], np.zeros(len(at), np.uint64), follows[at], a[at], b[at], c[at], d[at]]
@@ -335,14 +337,16 @@ def tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float] |
     for c in names:
         leads = leads.withColumn(f"free_{c}", F.when(F.col(f"lead_{c}") > 0, 1 - F.col(c) / F.col(f"lead_{c}")).otherwise(1.0))
     leads = cut(leads.select("h", *[f"free_{c}" for c in names], *[f"lead_{c}" for c in names]))
-    pairs = pairs.join(leads, "h").join(words.select(F.col("h").alias("other"), *[f"p_{c}" for c in names]), "other")
+    known = words.where((F.col("toxic") >= FREQUENT) | (F.col("ordinary") >= FREQUENT))
+    known = known.select(F.shiftrightunsigned("h", 32).alias("other"), F.col("h").alias("word"), *[f"p_{c}" for c in names])
+    pairs = pairs.join(leads, "h").join(known, "other")
     for c in names:
         own = F.when(F.col(f"lead_{c}") > 0, F.col(c) / F.col(f"lead_{c}")).otherwise(0.0)
         pairs = pairs.withColumn(f"q_{c}", own + F.col(f"free_{c}") * F.col(f"p_{c}"))
     return (
         cut(ratios),
         cut(leads.select("h", (F.col("free_toxic") / F.col("free_ordinary")).alias("r"))),
-        cut(pairs.select("h", "other", (F.col("q_toxic") / F.col("q_ordinary")).alias("r"))),
+        cut(pairs.select("h", F.col("word").alias("other"), (F.col("q_toxic") / F.col("q_ordinary")).alias("r"))),
         base,
     )
 
