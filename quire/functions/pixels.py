@@ -122,49 +122,134 @@ def binarize(scores: np.ndarray, threshold: float = BINARY) -> np.ndarray:
     return np.pad(scores > np.float32(threshold), 1)
 
 
+def _borders(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all border points in the flat mask, border by border, and how many
+    points each border has.
+
+    A border is a cycle of edges between a full pixel and an empty one beside it: from
+    an edge the outline goes on counter-clockwise, to the full pixel across the corner,
+    else to the one ahead, else around the same pixel.  Pixels are 8-connected so, and
+    each step to another pixel is a point.  A border's number follows from its first
+    edge between two pixels of a row.  Cycles are told apart, and put in order, by
+    doubling pointers: some twenty steps over arrays of all edges.
+    """
+    width, flat = mask.shape[1], mask.ravel()
+    ways = np.array([1, -width, -1, width])  # counter-clockwise from the right
+    full = np.flatnonzero(flat)
+    places, turns = np.nonzero(~flat[full[:, None] + ways])
+    places = full[places]
+    if not len(places):
+        return places, places
+    edges = 4 * places + turns
+    ahead = (turns + 1) % 4
+    corner, beside = places + ways[turns] + ways[ahead], places + ways[ahead]
+    crosses, goes_on = flat[corner], flat[beside]
+    to = np.where(crosses, corner, np.where(goes_on, beside, places))
+    succ = np.searchsorted(edges, 4 * to + np.where(crosses, (turns + 3) % 4, np.where(goes_on, turns, ahead)))
+    # the first edge of each cycle in raster order
+    first = np.where(turns == 0, places, np.where(turns == 2, places - 1, mask.size))
+    jump = succ
+    while True:
+        lower = np.minimum(first, first[jump])
+        if (lower == first).all():
+            break
+        first, jump = lower, jump[jump]
+    leads = ((turns == 0) & (places == first)) | ((turns == 2) & (places - 1 == first))
+    # edges from each to the first one of its cycle
+    rest, jump = np.where(leads, 0, 1), np.where(leads, np.arange(len(edges)), succ)
+    while not leads[jump].all():
+        rest, jump = rest + rest[jump], jump[jump]
+    rank = np.where(leads, -mask.size * 4, -rest)
+    moves = crosses | goes_on
+    wide = np.zeros(mask.size, bool)
+    wide[first[moves]] = True
+    points = moves | (leads & ~wide[first])  # a lone pixel is a point
+    order = np.lexsort((rank[points], first[points]))
+    starts = first[points][order]
+    return places[points][order], np.diff(np.flatnonzero(np.r_[True, starts[1:] != starts[:-1], True]))
+
+
 def contours(mask: np.ndarray) -> list[np.ndarray]:
-    """Outer and hole borders by border following (Suzuki and Abe, 1985), in raster
-    order of their starts; points are (x, y) without the mask's border of zeros.
+    """Outer and hole borders in raster order of their starts, each followed
+    counter-clockwise from there; points are (x, y) without the mask's border of zeros."""
+    places, counts = _borders(mask)
+    points = np.column_stack([places % mask.shape[1] - 1, places // mask.shape[1] - 1]).astype(float)
+    return np.split(points, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes: the group and the place in it of every member."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    Marks: 1 for pixels of no border yet, else the border's number, negative where
-    the pixel on the right was looked at and is empty.
+
+def _chains(points: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower hulls of groups of points that are sorted by group, x and y.
+
+    A point that doesn't turn left between its neighbours is no corner, so all of these
+    go at once, until none is left.
     """
-    width = mask.shape[1]
-    f = mask.astype(np.int32).ravel().tolist()
-    around = (1, width + 1, width, width - 1, -1, -width - 1, -width, 1 - width)  # clockwise from the right
-    found, border = [], 1
-    # a border starts only where a row changes between empty and full
-    for p in np.flatnonzero(np.diff(mask.ravel())).tolist():
-        if f[p] == 0 and f[p + 1] == 1:
-            home, back = p + 1, 4
-        elif f[p] >= 1 and f[p + 1] == 0:
-            home, back = p, 0
-        else:
-            continue
-        border += 1
-        first = next((k & 7 for k in range(back, back + 8) if f[home + around[k & 7]]), None)
-        if first is None:
-            f[home] = -border
-            found.append([home])
-            continue
-        end, here, toward, points = home + around[first], home, first, []
-        while True:
-            points.append(here)
-            k, right_is_empty = toward - 1, False
-            while not f[here + around[k & 7]]:
-                right_is_empty |= not k & 7
-                k -= 1
-            if right_is_empty:
-                f[here] = -border
-            elif f[here] == 1:
-                f[here] = border
-            ahead = here + around[k & 7]
-            if ahead == home and here == end:
-                break
-            here, toward = ahead, (k + 4) & 7
-        found.append(points)
-    places = [np.array(p) for p in found]
-    return [np.column_stack([p % width - 1, p // width - 1]).astype(float) for p in places]
+    while len(points) > 2:
+        inner = (group[2:] == group[1:-1]) & (group[:-2] == group[1:-1])
+        (ax, ay), (bx, by) = (points[1:-1] - points[:-2]).T, (points[2:] - points[:-2]).T
+        gone = inner & (ax * by <= ay * bx)
+        if not gone.any():
+            break
+        keep = np.r_[True, ~gone, True]
+        points, group = points[keep], group[keep]
+    return points, group
+
+
+def convex_hulls(points: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the hulls of `n` groups, group by group, and how many each has; as
+    `convex_hull` gives them."""
+    order = np.lexsort((points[:, 0], points[:, 1], group))  # of a row only its ends matter
+    points, group = points[order], group[order]
+    same = (group[1:] == group[:-1]) & (points[1:, 1] == points[:-1, 1])
+    ends = ~(np.r_[False, same] & np.r_[same, False])
+    points, group = points[ends], group[ends]
+    order = np.lexsort((points[:, 1], points[:, 0], group))
+    points, group = points[order], group[order]
+    once = np.r_[True, (group[1:] != group[:-1]) | (points[1:] != points[:-1]).any(axis=1)]
+    points, group = points[once], group[once]
+    lower, a = _chains(points, group)
+    upper, b = _chains(-points[::-1], n - 1 - group[::-1])
+    upper, b = -upper, n - 1 - b
+    sizes = np.bincount(group, minlength=n)
+    # each chain without its last point, which begins the other
+    keep_a, keep_b = np.r_[a[1:] == a[:-1], False], np.r_[b[1:] == b[:-1], False]
+    lone = np.flatnonzero(sizes == 1)
+    single = np.searchsorted(group, lone)
+    corners = np.concatenate([lower[keep_a], upper[keep_b], points[single]])
+    owner = np.concatenate([a[keep_a], b[keep_b], lone])
+    order = np.argsort(owner, kind="stable")
+    return corners[order], np.bincount(owner, minlength=n)
+
+
+def min_area_quads(corners: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Corners (n, 4, 2) of the smallest rectangles around hulls; one side lies on the hull."""
+    n, starts = len(counts), np.cumsum(counts) - counts
+    quads = np.zeros((n, 4, 2))
+    thin = np.flatnonzero((counts > 0) & (counts < 3))
+    quads[thin] = corners[np.column_stack([starts[thin], *[starts[thin] + counts[thin] - 1] * 2, starts[thin]])]
+    group, at = _spread(counts)
+    sides = corners[starts[group] + (at + 1) % counts[group]] - corners
+    lengths = np.hypot(*sides.T)
+    usable = np.flatnonzero((counts[group] > 2) & (lengths >= 1e-6))
+    if not len(usable):
+        return quads
+    along, owner = sides[usable] / lengths[usable, None], group[usable]
+    across = np.column_stack([-along[:, 1], along[:, 0]])
+    side, k = _spread(counts[owner])  # every corner against every side of its hull
+    own, begins = corners[starts[owner][side] + k], np.cumsum(counts[owner]) - counts[owner]
+    u, v = ((own * x[side]).sum(axis=1) for x in (along, across))
+    spans = [f.reduceat(x, begins) for x in (u, v) for f in (np.minimum, np.maximum)]
+    areas = (spans[1] - spans[0]) * (spans[3] - spans[2])
+    order = np.lexsort((np.arange(len(usable)), areas, owner))
+    best = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+    for corner, (a, b) in enumerate(((0, 2), (1, 2), (1, 3), (0, 3))):
+        quads[owner[best], corner] = spans[a][best, None] * along[best] + spans[b][best, None] * across[best]
+    return quads
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -186,21 +271,9 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 
 
 def min_area_quad(points: np.ndarray) -> np.ndarray:
-    """Corners (4, 2) of the smallest rectangle around points; one side lies on the hull."""
+    """Corners (4, 2) of the smallest rectangle around points."""
     hull = convex_hull(points)
-    if not len(hull):
-        return np.zeros((4, 2))
-    if len(hull) < 3:
-        return hull[[0, -1, -1, 0]]
-    sides = np.roll(hull, -1, axis=0) - hull
-    lengths = np.hypot(*sides.T)
-    along = (sides / np.maximum(lengths, 1e-30)[:, None])[lengths >= 1e-6]
-    across = np.column_stack([-along[:, 1], along[:, 0]])
-    u, v = hull @ along.T, hull @ across.T
-    spans = [(a.min(axis=0), a.max(axis=0)) for a in (u, v)]
-    k = int(np.argmin((spans[0][1] - spans[0][0]) * (spans[1][1] - spans[1][0])))
-    corners = [(spans[0][a][k], spans[1][b][k]) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
-    return np.array(corners) @ np.array([along[k], across[k]])
+    return min_area_quads(hull, np.array([len(hull)]))[0]
 
 
 def short_side(quad: np.ndarray) -> float:
@@ -212,51 +285,93 @@ def signed_area(quad: np.ndarray) -> float:
     return float(x @ np.roll(y, -1) - np.roll(x, -1) @ y) / 2
 
 
-def unclip(quad: np.ndarray, ratio: float = UNCLIP) -> np.ndarray:
-    """A quad whose sides are moved outwards by area x ratio / perimeter; a
+def unclip_all(quads: np.ndarray, ratio: float = UNCLIP) -> np.ndarray:
+    """Quads (n, 4, 2) whose sides are moved outwards by area x ratio / perimeter; a
     degenerate one stays as it is."""
-    own = quad if signed_area(quad) >= 0 else quad[[0, 3, 2, 1]]
-    sides = np.roll(own, -1, axis=0) - own
-    lengths = np.hypot(*sides.T)
-    if lengths.min() < 1e-6:
-        return quad
-    along = sides / lengths[:, None]
-    normals = np.column_stack([along[:, 1], -along[:, 0]])
-    moved = (own * normals).sum(axis=1) + signed_area(own) * ratio / lengths.sum()  # each side as normal . p = moved
-    out = []
+    x, y = quads[..., 0], quads[..., 1]
+    areas = (x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1) / 2
+    own = np.where((areas >= 0)[:, None, None], quads, quads[:, [0, 3, 2, 1]])
+    sides = np.roll(own, -1, axis=1) - own
+    lengths = np.hypot(sides[..., 0], sides[..., 1])
+    along = sides / np.maximum(lengths, 1e-30)[..., None]
+    normals = np.stack([along[..., 1], -along[..., 0]], axis=-1)
+    moved = (own * normals).sum(axis=-1) + (np.abs(areas) * ratio / np.maximum(lengths.sum(axis=1), 1e-30))[:, None]  # each side as normal . p = moved
+    before, former = np.roll(normals, 1, axis=1), np.roll(moved, 1, axis=1)  # corners meet the side before and their own
+    det = before[..., 0] * normals[..., 1] - before[..., 1] * normals[..., 0]
+    good = (lengths.min(axis=1) >= 1e-6) & (np.abs(det) >= 1e-8).all(axis=1)
+    det = np.where(good[:, None], det, 1.0)
+    grown = np.stack([former * normals[..., 1] - before[..., 1] * moved, before[..., 0] * moved - former * normals[..., 0]], axis=-1) / det[..., None]
+    return np.where(good[:, None, None], grown, quads)
+
+
+def unclip(quad: np.ndarray, ratio: float = UNCLIP) -> np.ndarray:
+    return unclip_all(np.asarray(quad, float)[None], ratio)[0]
+
+
+def _row_span(corners: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last whole x on the left of all sides, on the rows y (last < first
+    where there is none); corners (n, 4, 2) are whole, a row of them for every y."""
+    low, high = np.full(len(y), -(2**40)), np.full(len(y), 2**40)
     for k in range(4):
-        pair = normals[[k - 1, k]]
-        if abs(np.linalg.det(pair)) < 1e-8:
-            return quad
-        out.append(np.linalg.solve(pair, moved[[k - 1, k]]))
-    return np.array(out)
+        (a, b), (dx, dy) = corners[:, k].T, (corners[:, (k + 1) % 4] - corners[:, k]).T
+        reach, by = dx * (y - b), np.where(dy == 0, 1, dy)
+        high = np.where(dy > 0, np.minimum(high, a + reach // by), np.where((dy == 0) & (reach < 0), -(2**41), high))
+        low = np.where(dy < 0, np.maximum(low, a - (-reach) // by), low)
+    return low, high
 
 
-def polygon_mask(width: int, height: int, corners: np.ndarray) -> np.ndarray:
-    """Pixels of a convex polygon with whole corners, its outline included."""
-    sides = np.roll(corners, -1, axis=0) - corners
-    x, y = np.meshgrid(np.arange(width), np.arange(height))
-    turns = [dx * (y - b) - dy * (x - a) for (a, b), (dx, dy) in zip(corners, sides, strict=True)]
-    return np.all([t >= 0 for t in turns], axis=0) | np.all([t <= 0 for t in turns], axis=0)
+def quad_scores(scores: np.ndarray, quads: np.ndarray) -> np.ndarray:
+    """The mean score of the pixels in each convex quad, its outline included; 0 without
+    any.  Sums of a row's first pixels give those of any scan line, so that a quad costs
+    its rows."""
+    h, w = scores.shape
+    if not len(quads):
+        return np.zeros(0)
+    most = np.array([w - 1, h - 1])
+    low = np.clip(np.floor(quads.min(axis=1)), 0, most).astype(np.int64)
+    size = np.clip(np.ceil(quads.max(axis=1)), 0, most).astype(np.int64) - low + 1
+    corners = np.floor(quads - low[:, None] + 0.5).astype(np.int64)
+    quad, y = _spread(size[:, 1])
+    spans = [_row_span(c[quad], y) for c in (corners, corners[:, ::-1])]
+    # a quad's sides turn left in one of the orders; on both only if it is a line
+    empty = [b < a for a, b in spans]
+    first = np.where(empty[0], spans[1][0], np.where(empty[1], spans[0][0], np.minimum(spans[0][0], spans[1][0])))
+    last = np.where(empty[0], spans[1][1], np.where(empty[1], spans[0][1], np.maximum(spans[0][1], spans[1][1])))
+    first, last = np.maximum(first, 0), np.minimum(last, size[quad, 0] - 1)
+    some = first <= last
+    quad, y, first, last = quad[some], y[some], first[some], last[some]
+    sums = np.zeros((h, w + 1))
+    np.cumsum(scores, axis=1, dtype=np.float64, out=sums[:, 1:])
+    row = low[quad, 1] + y
+    lines = sums[row, low[quad, 0] + last + 1] - sums[row, low[quad, 0] + first]
+    pixels = np.bincount(quad, weights=last - first + 1, minlength=len(quads))
+    return np.bincount(quad, weights=lines, minlength=len(quads)) / np.maximum(pixels, 1)
 
 
 def quad_score(scores: np.ndarray, quad: np.ndarray) -> float:
-    """The mean score of the pixels in a quad; 0 without any."""
-    h, w = scores.shape
-    low = np.clip(np.floor(quad.min(axis=0)), 0, [w - 1, h - 1]).astype(int)
-    high = np.clip(np.ceil(quad.max(axis=0)), 0, [w - 1, h - 1]).astype(int)
-    size = high - low + 1
-    own = scores[low[1] : high[1] + 1, low[0] : high[0] + 1]
-    inside = polygon_mask(size[0], size[1], np.floor(quad - low + 0.5))
-    return float(own[inside].mean()) if inside.any() else 0.0
+    return float(quad_scores(scores, np.asarray(quad, float)[None])[0])
+
+
+def candidates(scores: np.ndarray, most: int = 3000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contour_ord, points, quads, scores) of a detector's map, unfiltered but for the
+    cap in order of discovery and shapes of under four points."""
+    mask = binarize(scores)
+    places, counts = _borders(mask)
+    counts = counts[:most]
+    own = np.flatnonzero(counts >= 4)
+    group, _ = _spread(counts)
+    number = np.full(len(counts), -1)
+    number[own] = np.arange(len(own))
+    kept = number[group] >= 0
+    places, group = places[: len(group)][kept], number[group][kept]
+    if not len(own):
+        return own, counts[own], np.zeros((0, 4, 2)), np.zeros(0)
+    points = np.column_stack([places % mask.shape[1] - 1, places // mask.shape[1] - 1]).astype(float)
+    quads = min_area_quads(*convex_hulls(points, group, len(own)))
+    return own, counts[own], quads, quad_scores(scores, quads)
 
 
 def candidate_quads(scores: np.ndarray, most: int = 3000) -> list[tuple[int, int, np.ndarray, float]]:
-    """(contour_ord, points, quad, score) of a detector's map, unfiltered but for
-    the cap in order of discovery and shapes of under four points."""
-    out = []
-    for k, points in enumerate(contours(binarize(scores))[:most]):
-        if len(points) >= 4:
-            quad = min_area_quad(points)
-            out.append((k, len(points), quad, quad_score(scores, quad)))
-    return out
+    """`candidates`, a tuple each."""
+    found = candidates(scores, most)
+    return [(int(k), int(n), q, float(s)) for k, n, q, s in zip(*found, strict=True)]

@@ -26,6 +26,11 @@ FROM orders""",
 SELECT CAST(floor(event_id / 20) AS BIGINT) AS page_id, event_id AS line_ord,
        CAST((event_id * 53) % 450 AS DOUBLE) AS x1, CAST((event_id * 31) % 97 AS DOUBLE) AS y1,
        CAST((event_id * 53) % 450 + 40 AS DOUBLE) AS x2, CAST((event_id * 31) % 97 + 8 AS DOUBLE) AS y2
+FROM events""",
+    "heaps": """
+SELECT CAST(floor(event_id / 20) AS BIGINT) AS page_id, event_id AS line_ord,
+       CAST((event_id * event_id * 13 + event_id * 7) % 181 AS DOUBLE) AS x1, CAST((event_id * event_id * 29 + event_id * 5) % 97 AS DOUBLE) AS y1,
+       CAST((event_id * event_id * 13 + event_id * 7) % 181 + 40 AS DOUBLE) AS x2, CAST((event_id * event_id * 29 + event_id * 5) % 97 + 8 AS DOUBLE) AS y2
 FROM events""",
     "steps": """
 SELECT CAST(floor(event_id / 16) AS BIGINT) AS seq_id, event_id % 16 AS step,

@@ -550,11 +550,11 @@ def vocab_overlay(spark, sf_dir):
     return vocabulary.overlay_vocabulary(vocab, added)
 
 
-# pixels: shapes by SQL over pairs of points; no SQL says what contours are
+# pixels: shapes by SQL over pairs of points, contours by SQL over the drawn boxes
 
 
-def _points(spark, sf_dir) -> DataFrame:
-    rows = fixture(spark, sf_dir, "lines")
+def _points(spark, sf_dir, name: str = "lines") -> DataFrame:
+    rows = fixture(spark, sf_dir, name)
     pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "x1", "y1"))).alias("points"))
     return pages.repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much work
 
@@ -621,15 +621,95 @@ def quad_unclip(spark, sf_dir):
     return found.select("page_id", F.round(F.abs(geometry.signed_area(F.col("corners"))), 3).alias("area"))
 
 
-@query()
-def detect_lines(spark, sf_dir):
-    """Drawn score maps to lines in reading order."""
-    import pyarrow as pa
+#: Boxes of a page's lines, drawn one over the other on a map of 512 x 128: which touch
+#: (also at a corner), the gaps that they enclose, and every contour's place in order.
+CONTOUR_SQL = """,
+b AS (SELECT page_id, CAST(x1 AS BIGINT) AS x, CAST(y1 AS BIGINT) AS y, row_number() OVER (PARTITION BY page_id ORDER BY line_ord) - 1 AS k FROM lines),
+near AS (SELECT p.page_id, p.k, q.k AS j FROM b p JOIN b q ON p.page_id = q.page_id AND abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 8),
+reach AS RECURSIVE (
+  SELECT page_id, k, j FROM near UNION SELECT r.page_id, r.k, n.j FROM reach r JOIN near n ON n.page_id = r.page_id AND n.k = r.j),
+owner AS (SELECT page_id, k, min(j) AS shape FROM reach GROUP BY page_id, k),
+outer_points AS (
+  SELECT page_id, shape, unnest([x, x + 39, x, x + 39]) AS x, unnest([y, y, y + 7, y + 7]) AS y, min(y * 1000 + x - 1) OVER (PARTITION BY page_id, shape) AS start
+  FROM b JOIN owner USING (page_id, k)),
+covered AS (SELECT page_id, x, y + unnest(range(8)) AS y FROM b),
+steps AS (SELECT *, CASE WHEN x <= max(x) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 40 THEN 0 ELSE 1 END AS opens FROM covered),
+runs AS (
+  SELECT page_id, y, min(x) AS a, max(x) + 39 AS c
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY page_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM steps) GROUP BY page_id, y, run),
+gaps AS (
+  SELECT page_id, y, before + 1 AS a, a - 1 AS c FROM (SELECT *, lag(c) OVER (PARTITION BY page_id, y ORDER BY a) AS before FROM runs) WHERE before IS NOT NULL),
+reaches AS (SELECT page_id, y, min(a) AS a, max(c) AS c FROM runs GROUP BY page_id, y),
+open_gaps AS RECURSIVE (
+  SELECT g.page_id, g.y, g.a, g.c FROM gaps g JOIN (SELECT unnest([-1, 1]) AS d) s ON true LEFT JOIN reaches r ON r.page_id = g.page_id AND r.y = g.y + s.d
+  WHERE r.y IS NULL OR g.a < r.a OR g.c > r.c
+  UNION
+  SELECT g.page_id, g.y, g.a, g.c FROM open_gaps o JOIN gaps g ON g.page_id = o.page_id AND abs(g.y - o.y) = 1 AND g.a <= o.c AND o.a <= g.c),
+holes AS (SELECT * FROM gaps EXCEPT SELECT * FROM open_gaps),
+joined AS RECURSIVE (
+  SELECT page_id, y, a, c, y * 1000 + a AS other FROM holes
+  UNION
+  SELECT h.page_id, h.y, h.a, h.c, j.other FROM joined j JOIN holes h ON h.page_id = j.page_id AND abs(h.y - j.y) = 1 AND h.a <= j.c AND j.a <= h.c),
+hole AS (SELECT page_id, y, a, c, min(other) AS first FROM joined GROUP BY page_id, y, a, c),
+hole_points AS (
+  SELECT page_id, 1000000 + first AS shape, unnest([a - 1, c + 1]) AS x, y, first - 1 AS start FROM hole
+  UNION ALL
+  SELECT h.page_id, 1000000 + first, unnest([greatest(h.a, r.a), least(h.c, r.c)]), r.y, first - 1
+  FROM hole h JOIN runs r ON r.page_id = h.page_id AND abs(r.y - h.y) = 1 AND r.a <= h.c AND h.a <= r.c),
+shape_points AS (SELECT * FROM outer_points UNION ALL SELECT * FROM hole_points),
+ends AS (SELECT page_id, shape, y, start, unnest([min(x), max(x)]) AS x FROM shape_points GROUP BY page_id, shape, y, start),
+p AS (SELECT DISTINCT page_id, shape, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ends),
+contour AS (SELECT page_id, shape, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS line_ord FROM (SELECT DISTINCT page_id, shape, start FROM ends)),
+edges AS (
+  SELECT a.page_id, a.shape, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy
+  FROM p a JOIN p b ON a.page_id = b.page_id AND a.shape = b.shape AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM p c WHERE c.page_id = a.page_id AND c.shape = a.shape AND (
+      (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+      OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+        AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))),
+rectangles AS (
+  SELECT page_id, shape, ax, ay, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy,
+         min(dx * x + dy * y) / sqrt(dx * dx + dy * dy) AS u1, max(dx * x + dy * y) / sqrt(dx * dx + dy * dy) AS u2,
+         min(dx * y - dy * x) / sqrt(dx * dx + dy * dy) AS v1, max(dx * y - dy * x) / sqrt(dx * dx + dy * dy) AS v2
+  FROM edges JOIN p USING (page_id, shape) GROUP BY page_id, shape, ax, ay, dx, dy),
+quads AS (
+  SELECT page_id, shape, u2 - u1 AS w, v2 - v1 AS h, (u2 - u1) * (v2 - v1) * 1.4 / (2 * (u2 - u1 + v2 - v1)) AS d, ux, uy, u1, u2, v1, v2,
+         [u1 * ux - v1 * uy, u2 * ux - v1 * uy, u2 * ux - v2 * uy, u1 * ux - v2 * uy] AS qx, [u1 * uy + v1 * ux, u2 * uy + v1 * ux, u2 * uy + v2 * ux, u1 * uy + v2 * ux] AS qy
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, shape ORDER BY round((u2 - u1) * (v2 - v1), 6), ax, ay) AS rn FROM rectangles) WHERE rn = 1),
+placed AS (
+  SELECT *, list_transform(qx, lambda v: CAST(floor(v - left_ + 0.5) AS BIGINT)) AS cx, list_transform(qy, lambda v: CAST(floor(v - top_ + 0.5) AS BIGINT)) AS cy
+  FROM (SELECT *, least(greatest(floor(list_min(qx)), 0), 511) AS left_, least(greatest(floor(list_min(qy)), 0), 127) AS top_,
+               least(greatest(ceil(list_max(qx)), 0), 511) AS right_, least(greatest(ceil(list_max(qy)), 0), 127) AS bottom_ FROM quads)),
+cells AS (
+  SELECT page_id, shape, i, unnest(range(0, CAST(bottom_ - top_ AS BIGINT) + 1)) AS j, left_, top_, cx, cy
+  FROM (SELECT *, unnest(range(0, CAST(right_ - left_ AS BIGINT) + 1)) AS i FROM placed)),
+sides AS (
+  SELECT page_id, shape, CAST(left_ + i AS BIGINT) AS px, CAST(top_ + j AS BIGINT) AS py,
+         list_transform([1, 2, 3, 4], lambda s: (cx[s % 4 + 1] - cx[s]) * (j - cy[s]) - (cy[s % 4 + 1] - cy[s]) * (i - cx[s])) AS t FROM cells),
+inside AS (
+  SELECT s.page_id, s.shape, px, py, coalesce(arg_max(CAST(CAST(0.5 + CAST(k % 5 AS DOUBLE) / 10 AS FLOAT) AS DOUBLE), k), 0) AS value
+  FROM sides s LEFT JOIN b ON b.page_id = s.page_id AND px BETWEEN b.x AND b.x + 39 AND py BETWEEN b.y AND b.y + 7
+  WHERE list_min(t) >= 0 OR list_max(t) <= 0 GROUP BY s.page_id, s.shape, px, py),
+scored AS (SELECT page_id, shape, avg(value) AS score FROM inside GROUP BY page_id, shape),
+found AS (
+  SELECT page_id, line_ord, score, least(greatest(2 * list_min(gx), 0), 1024) AS x1, least(greatest(2 * list_min(gy), 0), 256) AS y1,
+         least(greatest(2 * list_max(gx), 0), 1024) AS x2, least(greatest(2 * list_max(gy), 0), 256) AS y2
+  FROM (SELECT *, [(u1 - d) * ux - (v1 - d) * uy, (u2 + d) * ux - (v1 - d) * uy, (u2 + d) * ux - (v2 + d) * uy, (u1 - d) * ux - (v2 + d) * uy] AS gx,
+               [(u1 - d) * uy + (v1 - d) * ux, (u2 + d) * uy + (v1 - d) * ux, (u2 + d) * uy + (v2 + d) * ux, (u1 - d) * uy + (v2 + d) * ux] AS gy FROM quads)
+  JOIN scored USING (page_id, shape) JOIN contour USING (page_id, shape)
+  WHERE least(w, h) >= 3 AND score >= 0.4 AND least(w, h) + 2 * d >= 5)"""
+
+
+DETECTED_SQL = (
+    CONTOUR_SQL
+    + ORDERED_SQL.replace("FROM lines", "FROM (SELECT * FROM found WHERE x2 - x1 >= 1 AND y2 - y1 >= 1)")
+    + " SELECT page_id, line_idx, round(o.x1, 4) AS x1, round(o.y1, 4) AS y1, round(o.x2, 4) AS x2, round(o.y2, 4) AS y2, round(score, 6) AS score FROM ordered o JOIN found USING (page_id, line_ord)"
+)
 
-    from quire.sources import models
-    from quire.sources.schema import arrow_schema
 
-    schema = arrow_schema(models.QUAD_RAW)
+def _detected(spark, sf_dir, name: str) -> DataFrame:
+    from quire.sources import models
 
     def run(batches):
         for batch in batches:
@@ -638,13 +718,20 @@ def detect_lines(spark, sf_dir):
                 for k, p in enumerate(points):
                     y, x = int(p["y1"]), int(p["x1"])
                     scores[y : y + 8, x : x + 40] = 0.5 + (k % 5) / 10
-                found = pixels.candidate_quads(scores)
-                rows = [(page, k, n, [{"x": x, "y": y} for x, y in q.tolist()], [{"x": x, "y": y} for x, y in pixels.unclip(q).tolist()], s, 512, 128, 1024, 256) for k, n, q, s in found]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield models.quad_batch(page, scores, 1024, 256)
 
-    kept = lines.filter_quads(_points(spark, sf_dir).mapInArrow(run, models.QUAD_RAW))
+    kept = lines.filter_quads(_points(spark, sf_dir, name).mapInArrow(run, models.QUAD_RAW))
     ordered = lines.reading_order(lines.quads_to_boxes(kept.withColumn("quad", F.col("grown"))))
     return ordered.select("page_id", "line_idx", *[F.round(c, 4).alias(c) for c in BOX], F.round("score", 6).alias("score"))
 
 
+@query(DETECTED_SQL, "lines")
+def detect_lines(spark, sf_dir):
+    """Drawn score maps to lines in reading order."""
+    return _detected(spark, sf_dir, "lines")
+
+
+@query(DETECTED_SQL.replace("FROM lines", "FROM heaps"), "heaps")
+def detect_heaps(spark, sf_dir):
+    """The same of boxes that lie on each other: shapes with holes, turned quads."""
+    return _detected(spark, sf_dir, "heaps")

@@ -23,6 +23,12 @@ _SESSIONS: dict[tuple[str, int], object] = {}
 
 LAYOUT_RAW = "page_id long, raw_ord int, label_value float, score float, x1 float, y1 float, x2 float, y2 float, n_valid int, page_w int, page_h int"
 QUAD_RAW = "page_id long, contour_ord int, n_points int, quad array<struct<x:double,y:double>>, grown array<struct<x:double,y:double>>, score double, map_w int, map_h int, page_w int, page_h int"
+_CORNERS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+#: `QUAD_RAW` for Arrow, as executors can't parse it.
+QUADS = pa.schema(
+    [("page_id", pa.int64()), ("contour_ord", pa.int32()), ("n_points", pa.int32()), ("quad", _CORNERS), ("grown", _CORNERS), ("score", pa.float64())]
+    + [(c, pa.int32()) for c in ("map_w", "map_h", "page_w", "page_h")]
+)
 TOKENS = "page_id long, crop_idx int, token_ids array<bigint>, token_probs array<float>"
 
 
@@ -80,23 +86,38 @@ def run_layout(pages: DataFrame, model: Model) -> DataFrame:
     return _rows(pages.select("page_id", "image"), one, LAYOUT_RAW)
 
 
+def quad_batch(page_id: int, scores: np.ndarray, page_w: int, page_h: int, most: int = 3000) -> pa.RecordBatch:
+    """`QUAD_RAW` rows of a detector's map: candidate quads, as found and grown."""
+    number, points, quads, found = pixels.candidates(scores, most)
+    n, (map_h, map_w) = len(number), scores.shape
+
+    def corners(q: np.ndarray) -> pa.Array:
+        own = pa.StructArray.from_arrays([pa.array(q[..., k].ravel()) for k in (0, 1)], names=["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4), pa.int32()), own)
+
+    columns = [np.full(n, page_id), number, points, corners(quads), corners(pixels.unclip_all(quads)), found, *(np.full(n, v) for v in (map_w, map_h, page_w, page_h))]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, QUADS, strict=True)], schema=QUADS)
+
+
 def run_detection(pages: DataFrame, model: Model, longest: int = 1280) -> DataFrame:
     """Candidate quads, as found and grown, of (page_id, image)."""
 
-    def corners(q: np.ndarray) -> list[dict]:
-        return [{"x": float(x), "y": float(y)} for x, y in q]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                page = image_array(row["image"])
+                h, w = page.shape[:2]
+                if h and w:
+                    yield quad_batch(row["page_id"], detected(model, page, longest), w, h)
+
+    return pages.select("page_id", "image").mapInArrow(run, QUAD_RAW)
 
-    def one(row: dict) -> list[tuple]:
-        page = image_array(row["image"])
-        h, w = page.shape[:2]
-        if not h or not w:
-            return []
-        scores = model({"x": pixels.det_input(page, longest)})["fetch_name_0"]
-        mh, mw = scores.shape[-2:]
-        found = pixels.candidate_quads(scores.reshape(-1, mh, mw)[0])
-        return [(row["page_id"], k, n, corners(q), corners(pixels.unclip(q)), s, mw, mh, w, h) for k, n, q, s in found]
 
-    return _rows(pages.select("page_id", "image"), one, QUAD_RAW)
+def detected(model: Model, page: np.ndarray, longest: int = 1280) -> np.ndarray:
+    """The detector's map of a page."""
+    scores = model({"x": pixels.det_input(page, longest)})["fetch_name_0"]
+    return scores.reshape(-1, *scores.shape[-2:])[0]
 
 
 def recognised(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -70,6 +70,89 @@ def test_contours_cover_border_pixels(seed):
     assert all(mask[y, x] for x, y in traced)
 
 
+def followed(mask):
+    """Border following pixel by pixel (Suzuki and Abe, 1985): outer and hole borders."""
+    around = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]  # clockwise from the right
+    f, found, border = mask.astype(int), [], 1
+    for y, x in np.argwhere(mask).tolist():
+        if f[y, x] == 1 and not f[y, x - 1]:
+            back = 4
+        elif f[y, x] >= 1 and not f[y, x + 1]:
+            back = 0
+        else:
+            continue
+        while True:  # a pixel may begin an outer and then a hole border
+            border += 1
+            first = next((k % 8 for k in range(back, back + 8) if f[y + around[k % 8][1], x + around[k % 8][0]]), None)
+            points = [(x, y)]
+            if first is None:
+                f[y, x] = -border
+            else:
+                end, here, toward = (x + around[first][0], y + around[first][1]), (x, y), first
+                while True:
+                    k, right_is_empty = toward - 1, False
+                    while not f[here[1] + around[k % 8][1], here[0] + around[k % 8][0]]:
+                        right_is_empty |= k % 8 == 0
+                        k -= 1
+                    if right_is_empty:
+                        f[here[1], here[0]] = -border
+                    elif f[here[1], here[0]] == 1:
+                        f[here[1], here[0]] = border
+                    ahead = (here[0] + around[k % 8][0], here[1] + around[k % 8][1])
+                    if ahead == (x, y) and here == end:
+                        break
+                    here, toward = ahead, (k + 4) % 8
+                    points.append(here)
+            found.append(points)
+            if back == 4 and f[y, x] >= 1 and not f[y, x + 1]:
+                back = 0
+                continue
+            break
+    return [[(a - 1, b - 1) for a, b in p] for p in found]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.integers(1, 12), st.integers(1, 12), st.sampled_from([0.1, 0.3, 0.5, 0.7, 0.9]), st.integers(0, 2**32 - 1))
+def test_contours_equal_border_following(h, w, share, seed):
+    mask = np.pad(np.random.default_rng(seed).random((h, w)) < share, 1)
+    assert [[tuple(p) for p in c.astype(int).tolist()] for c in pixels.contours(mask)] == followed(mask)
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=25), min_size=1, max_size=6))
+def test_shapes_together_equal_shapes_alone(groups):
+    points = np.array([p for g in groups for p in g], float)
+    hulls, counts = pixels.convex_hulls(points, np.repeat(np.arange(len(groups)), [len(g) for g in groups]), len(groups))
+    for own, hull in zip(groups, np.split(hulls, np.cumsum(counts)[:-1]), strict=True):
+        assert hull.tolist() == pixels.convex_hull(np.array(own, float)).tolist()
+    quads = pixels.min_area_quads(hulls, counts)
+    for own, quad, grown in zip(groups, quads, pixels.unclip_all(quads), strict=True):
+        assert np.allclose(quad, pixels.min_area_quad(np.array(own, float)))
+        assert np.allclose(grown, pixels.unclip(quad))
+        if abs(pixels.signed_area(quad)) > 1e-6:
+            sides = [np.linalg.norm(q[1] - q[0]) * np.linalg.norm(q[2] - q[1]) for q in (quad, grown)]
+            w, h = np.linalg.norm(quad[1] - quad[0]), np.linalg.norm(quad[2] - quad[1])
+            d = w * h * pixels.UNCLIP / (2 * (w + h))
+            assert np.allclose(sides, [w * h, (w + 2 * d) * (h + 2 * d)])
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.tuples(st.floats(-5, 35), st.floats(-5, 35)), st.tuples(st.floats(0, 20), st.floats(0, 20)), st.floats(0, 7), st.booleans())
+def test_quad_score_is_the_mean_of_its_pixels(centre, half, angle, turned_back):
+    turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+    quad = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * half @ turn.T + centre
+    quad = quad[::-1] if turned_back else quad
+    scores = np.random.default_rng(3).random((25, 30)).astype(np.float32)
+    low = np.clip(np.floor(quad.min(axis=0)), 0, [29, 24]).astype(int)
+    high = np.clip(np.ceil(quad.max(axis=0)), 0, [29, 24]).astype(int)
+    corners = np.floor(quad - low + 0.5)
+    x, y = np.meshgrid(np.arange(high[0] - low[0] + 1), np.arange(high[1] - low[1] + 1))
+    turns = [(c - a) * (y - b) - (d - b) * (x - a) for (a, b), (c, d) in zip(corners, np.roll(corners, -1, axis=0), strict=True)]
+    inside = np.all([t >= 0 for t in turns], axis=0) | np.all([t <= 0 for t in turns], axis=0)
+    own = scores[low[1] : high[1] + 1, low[0] : high[0] + 1][inside]
+    assert abs(pixels.quad_score(scores, quad) - (own.astype(float).mean() if own.size else 0)) < 1e-9
+
+
 def test_detects_a_drawn_line():
     scores = np.zeros((64, 128), np.float32)
     scores[20:30, 10:90] = 0.8
