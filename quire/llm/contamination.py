@@ -232,5 +232,5 @@ def scan(
             former = now
     remove(spark, path)
     if locate:
-        rows = _located(rows, "body", ["row"], "found").select("row", F.struct(*FOUND.names).alias("found"))
+        rows = _located(rows, "body", ["row", "found"], "found").select("row", F.struct(*FOUND.names).alias("found"))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in keep], *[F.col("found").getField(c).alias(c) for c in FOUND.names])

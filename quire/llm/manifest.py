@@ -26,7 +26,8 @@ gives no rows.  Kept columns named like an output column are replaced.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,20 +131,24 @@ def _below(nodes: DataFrame, above: DataFrame) -> DataFrame:
     return met.select(*nodes.columns, F.concat(F.array(own), "path_up").alias("path"), "subroot")
 
 
-def _descended(levels: list[DataFrame], sizes: list[int], tops: dict[int, DataFrame]) -> DataFrame:
-    """The lowest nodes with path and subroot; `tops` has these for the trees (g) whose
-    only node is on a level."""
+def _descended(levels: list[DataFrame], sizes: list[int], tops: dict[int, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The lowest nodes with path and subroot; `tops` adds these to the nodes of a level
+    that are the only ones of their trees."""
     paths = None
     for k in reversed(range(len(levels))):
         parts = []
         if paths is not None:
             parts.append(_below(_alone(levels[k].where("m > 1"), sizes[k]), _alone(paths, sizes[k])))
         if k in tops:
-            parts.append(_alone(levels[k].where("m = 1"), sizes[k]).join(tops[k], "g").select(*levels[k].columns, "path", "subroot"))
+            parts.append(tops[k](_alone(levels[k].where("m = 1"), sizes[k])).select(*levels[k].columns, "path", "subroot"))
         paths = reduce(DataFrame.unionByName, parts)
     return paths
 
 
+def _joined(tops: DataFrame, nodes: DataFrame) -> DataFrame:
+    return nodes.join(tops, "g")
+
+
 def _height(m: Column, most: int) -> Column:
     """The level on which a tree of m leaves has one node."""
     return F.expr("+".join(["0", *[f"int(m > {FANOUT**k})" for k in range(most)]])) if most else F.lit(0)
@@ -194,12 +199,12 @@ def manifest(
         counts.append(-(-counts[-1] // FANOUT))
     upper = _levels(over, counts)
     root = upper[-1].first()["digest"]
-    top = spark.range(1).select(F.lit(0).cast("long").alias("g"), F.array().cast("array<struct<before:string,after:string>>").alias("path"), F.lit(root).alias("subroot"))
-    found = _descended(upper, counts, {len(upper) - 1: top})
+    no_path = F.array().cast("array<struct<before:string,after:string>>")
+    found = _descended(upper, counts, {len(upper) - 1: lambda nodes: nodes.withColumns({"path": no_path, "subroot": F.lit(root)})})
     where = f"{shared_dir(spark).rstrip('/')}/subroots-{uuid.uuid4().hex}"
     found.select(F.col("i").alias("g"), "path", F.col("digest").alias("subroot"), "level").write.partitionBy("level").parquet(where)
     heights = [r[0] for r in over.select("level").distinct().collect()]
-    tops = {k: spark.read.parquet(f"{where}/level={k}") for k in heights}
+    tops = {k: partial(_joined, spark.read.parquet(f"{where}/level={k}")) for k in heights}
     leaves = _descended(levels, sizes, tops)
     return _result(leaves.withColumnRenamed("digest", "leaf"), root, F.col("path"), keep)
 

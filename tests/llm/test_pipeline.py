@@ -69,4 +69,4 @@ def test_registered(spark):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert "pipeline" in found and len({n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()}) == 10
+    assert "pipeline" in found and len({n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()}) == 13
