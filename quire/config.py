@@ -9,7 +9,7 @@ from quire.labels import FORMULA, LABELS, MULTI_LINE, TEXT
 
 
 class PipelineError(Exception):
-    """Any failure of a page pipeline's construction."""
+    """Any failure of a page pipeline: its construction, or the first error of its models."""
 
 
 @dataclass
@@ -74,8 +74,8 @@ class PageConfig:
     formula_batch: int = 1
 
     def with_detection_longest(self, n: int) -> PageConfig:
-        """Pages are scaled down until their longer side has n pixels at most."""
-        return replace(self, detection_longest=max(32, n))
+        """Pages are scaled until their longer side has about n pixels (736 to 4000) at most."""
+        return replace(self, detection_longest=min(4000, max(736, n)))
 
     def with_formula_normalisation(self, mean: float, std: float) -> PageConfig:
         return replace(self, formula_mean=mean, formula_std=std)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.store import beside_pages
+
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 #: BGR colours of paragraph kinds, and of all others.
 COLOURS = {"paragraph_title": (60, 20, 220), "text": (200, 30, 30), "formula": (0, 150, 0)}
@@ -111,7 +113,7 @@ def annotate(image: np.ndarray, paragraphs: list[tuple[str, list[float]]], thick
 def annotated_pages(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(page_id, png): every page with its paragraphs drawn."""
     boxes = paragraphs.groupBy("page_id").agg(F.collect_list(F.struct("para_idx", "paragraph_type", "bbox")).alias("ps"))
-    joined = pages.join(boxes, "page_id", "left").select("page_id", "image", "ps")
+    joined = beside_pages(pages, boxes, "left").select("page_id", "image", "ps")
 
     def run(batches):
         for batch in batches:

@@ -94,6 +94,91 @@ def test_timing(pages):
     assert engine.recognise(pages.limit(0)).count() == 0
 
 
+def test_times_come_from_the_run(spark, pages):
+    import time
+
+    def slow(model, seconds):
+        def run(inputs):
+            time.sleep(seconds)
+            return model(inputs)
+
+        return run
+
+    engine = Engine(PageConfig(ClassConfig.all()), models(layout=slow(layout_model, 0.3), detection=slow(detection_model, 0.2), formula=slow(formula_model, 0.1)))
+    engine.recognise(pages)
+    rows = {r.page_id: r for r in engine.timings.collect()}
+    assert rows.keys() == {7, 8} and all(0.3 <= r.layout < 2 and 0.2 <= r.detect < 2 and 0 < r.recognise < 2 and 0.1 <= r.formula < 2 for r in rows.values())
+    assert abs(engine.last_timing["layout"] - sum(r.layout for r in rows.values())) < 1e-9
+    quick = Engine(PageConfig(ClassConfig.none()), Models(layout_model))
+    quick.recognise(pages)
+    assert quick.last_timing["layout"] > 0 and quick.last_timing["detect"] == quick.last_timing["recognise"] == 0
+
+
+def failing(name, pages=(7, 8)):
+    def run(inputs):
+        raise RuntimeError(f"no {name}")
+
+    return run
+
+
+def test_first_error_is_told(pages):
+    config = PageConfig(ClassConfig.all())
+    with pytest.raises(PipelineError, match="^page 7: layout: RuntimeError: no layout$"):
+        Engine(config, models(layout=failing("layout"), detection=failing("detection"))).recognise(pages)
+    with pytest.raises(PipelineError, match="^page 7: detection: RuntimeError: no detection$"):
+        Engine(config, models(detection=failing("detection"), recognition=failing("text"))).recognise(pages)
+    with pytest.raises(PipelineError, match="^page 7: recognition: RuntimeError: no text$"):
+        Engine(config, models(recognition=failing("text"), formula=failing("formula"))).recognise(pages)
+    with pytest.raises(PipelineError, match="^page 7: formula: "):
+        Engine(config, models(formula=failing("formula"))).recognise(pages)
+    with pytest.raises(PipelineError, match="on_error"):
+        Engine(config, models(), on_error="skip")
+
+
+def test_errors_are_kept(pages):
+    def dark_fails(inputs):
+        if inputs["x"].mean() < 0:
+            raise ValueError("dark")
+        return detection_model(inputs)
+
+    engine = Engine(PageConfig(ClassConfig.all()), models(detection=dark_fails), on_error="keep")
+    assert {r.page_id for r in engine.recognise(pages).collect()} == {7}
+    assert [tuple(r) for r in engine.errors.collect()] == [(8, "detection: ValueError: dark")]
+    engine = Engine(PageConfig(ClassConfig.all()), models(formula=failing("formula")), on_error="keep")
+    assert engine.recognise(pages).count() == 0 and {r.page_id for r in engine.errors.collect()} == {7, 8}
+
+
+def exchanged(df):
+    """Columns that any exchange of a plan is given."""
+    import re
+
+    text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [re.sub(r"#\d+L?", "", m[1]) for m in re.finditer(r"Exchange\s*\n(?:Input \[\d+\]|Output \[\d+\]): \[(.*?)\]\n", text)]
+
+
+def test_pixels_are_decoded_once_and_stay_where_they_are(spark, pages, tmp_path):
+    from quire.sources import models as runners
+    from quire.sources.pages import png
+    from quire.sources.store import dealt_by_page, store_pages
+
+    for k, shade in ((1, 255), (2, 0)):
+        (tmp_path / f"{k}.png").write_bytes(png(np.full((140, 200, 3), shade, np.uint8)))
+    read = read_pages(spark, str(tmp_path))
+    stored = store_pages(read, 3)
+    for file in tmp_path.iterdir():
+        file.unlink()  # nothing decodes these again
+    assert dealt_by_page(stored) and not dealt_by_page(pages)
+    engine = Engine(PageConfig(ClassConfig.all()), models())
+    assert engine.recognise(stored).count() == 8
+    seen = engine.look(stored)
+    windows = runners.by_page(None, seen.selectExpr("page_id", "0 AS region_idx", "0 AS x", "0 AS y", "5 AS w", "5 AS h"))
+    plans = [runners.run_pages(stored, layout_model, detection_model), runners.run_windows(stored, windows, recognition_model, formula_model), annotated_pages(stored, engine.recognise(stored)), engine.documents(stored)]
+    assert any(exchanged(p) for p in plans)
+    for plan in plans:
+        assert not any("image" in columns for columns in exchanged(plan))
+    assert any("image" in columns for columns in exchanged(runners.run_windows(pages, windows, recognition_model)))
+
+
 def test_settings_reach_the_models(spark, pages):
     def detection(inputs):
         assert inputs["x"].shape[2:] == (480, 960)
