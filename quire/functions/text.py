@@ -34,3 +34,14 @@ def byte_level_text(text: Column) -> Column:
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     pairs = F.transform(letters, lambda c: F.lpad(F.hex(byte_level_value(F.ascii(c)).cast("long")), 2, "0"))
     return F.make_valid_utf8(F.unhex(F.array_join(pairs, "")).cast("string"))
+
+
+def byte_level_letters(text: Column) -> Column:
+    """The byte-level letters of a text's UTF-8 bytes: printable bytes are themselves, the
+    n-th of the others is the letter 256 + n."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+    table = literal_array([letters[b] for b in range(256)])
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    return F.array_join(F.transform(pairs, lambda p: F.get(table, F.conv(p, 16, 10).cast("int"))), "")

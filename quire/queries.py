@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.config import ClassConfig, PageConfig
 from quire.functions import geometry, pixels
-from quire.functions.text import byte_level_text, is_blank, utrim
-from quire.labels import LABELS, SINGLE_LINE, TEXT, label_name, label_table
+from quire.functions.text import byte_level_letters, byte_level_text, is_blank, utrim
+from quire.labels import LABELS, MULTI_LINE, SINGLE_LINE, TEXT, label_name, label_table
 from quire.operators import assign, decode, layout, lines, markdown
 from quire.plans import recognise
 from quire.plans.fixtures import fixture, with_fixtures
@@ -149,15 +149,18 @@ def label_groups(spark, sf_dir):
 
 
 @query(
-    "SELECT * FROM (VALUES ('basic', true, true, false), ('none', false, false, false), ('all', true, true, true), ('formula', false, false, true), "
-    "('paragraph_title', true, false, false)) AS t(config, needs_recognition, needs_detection, needs_formulas)"
+    f"{FILTERED_SQL} SELECT page_id, bool_or(label IN {names_sql(TEXT)}) AS needs_recognition, bool_or(label IN {names_sql(MULTI_LINE)}) AS needs_detection, "
+    "bool_or(label = 'formula') AS needs_formulas FROM filtered WHERE score >= 0.8 GROUP BY page_id",
+    "boxes",
 )
 def class_needs(spark, sf_dir):
-    """Which branches a set of classes needs."""
-    cases = [("basic", ClassConfig.basic()), ("none", ClassConfig.none()), ("all", ClassConfig.all())]
-    cases += [(x, ClassConfig.none().with_enabled(x, True)) for x in ("formula", "paragraph_title")]
-    rows = [(n, c.needs_recognition(), c.needs_detection(), c.needs_formulas()) for n, c in cases]
-    return spark.createDataFrame(rows, "config string, needs_recognition boolean, needs_detection boolean, needs_formulas boolean")
+    """The branches that the classes found on each page need."""
+    cases = [(x, ClassConfig.none().with_enabled(x, True)) for x in LABELS]
+    needs = spark.createDataFrame(
+        [(n, c.needs_recognition(), c.needs_detection(), c.needs_formulas()) for n, c in cases], "label string, recognition boolean, detection boolean, formulas boolean"
+    )
+    found = filtered(spark, sf_dir).where("score >= 0.8").select("page_id", "label").join(F.broadcast(needs), "label")
+    return found.groupBy("page_id").agg(*[F.bool_or(c).alias(f"needs_{c}") for c in ("recognition", "detection", "formulas")])
 
 
 @query(
@@ -256,6 +259,35 @@ def quad_filters(spark, sf_dir):
     return lines.quads_to_boxes(kept).select("page_id", "line_ord", *BOX, "score")
 
 
+#: Rectangles of whole sides, turned as 3 to 4: corners are whole too.
+TURNED_SQL = """, r AS (SELECT page_id, line_ord, x1 + 30 AS x, y1 AS y, 5 * (1 + line_ord % 9) AS w, 5 * (1 + line_ord % 4) AS h FROM lines),
+turned AS (
+  SELECT page_id, line_ord, w, h, [x, x + w / 5 * 4, x + w / 5 * 4 - h / 5 * 3, x - h / 5 * 3] AS qx, [y, y + w / 5 * 3, y + w / 5 * 3 + h / 5 * 4, y + h / 5 * 4] AS qy FROM r)"""
+
+
+def turned_quads(spark, sf_dir) -> DataFrame:
+    x, y, k = F.col("x1") + 30, F.col("y1"), F.col("line_ord")
+    a, b = (1 + k % 9), (1 + k % 4)  # fifths of the sides
+    corners = [(x, y), (x + 4 * a, y + 3 * a), (x + 4 * a - 3 * b, y + 3 * a + 4 * b), (x - 3 * b, y + 4 * b)]
+    quad = F.array(*[F.struct(p.cast("double").alias("x"), q.cast("double").alias("y")) for p, q in corners])
+    return fixture(spark, sf_dir, "lines").select("page_id", "line_ord", quad.alias("quad"))
+
+
+@query(
+    TURNED_SQL + " SELECT page_id, line_ord, CAST(least(w, h) AS DOUBLE) AS side, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, CAST(w * h AS DOUBLE) AS turn, "
+    "least(greatest(list_min(qx) * 2.5, 0), 1000) AS x1, least(greatest(list_min(qy) * 4.0, 0), 300) AS y1, "
+    "least(greatest(list_max(qx) * 2.5, 0), 1000) AS x2, least(greatest(list_max(qy) * 4.0, 0), 300) AS y2 FROM turned",
+    "lines",
+)
+def quad_turned(spark, sf_dir):
+    """Measures and page boxes of quads that aren't axis-parallel."""
+    q = F.col("quad")
+    turn = geometry.cross(F.get(q, F.lit(0)), F.get(q, F.lit(1)), F.get(q, F.lit(2)))
+    box = geometry.quad_to_page(q, F.lit(400), F.lit(75), F.lit(1000), F.lit(300))
+    measures = {"side": geometry.short_side(q), "area": geometry.signed_area(q), "perimeter": geometry.perimeter(q), "turn": turn}
+    return turned_quads(spark, sf_dir).select("page_id", "line_ord", *[m.alias(n) for n, m in measures.items()], *[b.alias(c) for b, c in zip(box, BOX, strict=True)])
+
+
 # assignment and crops
 
 
@@ -411,13 +443,20 @@ def formula_text(spark, sf_dir):
     return decode.formula(rows, TOKENS).select("seq_id", "latex", markdown.formula_markdown(F.col("latex")).alias("content"))
 
 
+ASCII = r"^[\x00-\x7F]*"
+
+
 @query(
-    "SELECT * FROM (VALUES ('plain', 'ab'), ('letters', 'a b' || chr(10)), ('high', chr(233)), ('broken', chr(65533) || 'a'), ('empty', '')) AS t(name, text)"
+    f"SELECT conv_id, turn, text, regexp_extract(text, '{ASCII}') || CASE WHEN strlen(text) > strlen(regexp_extract(text, '{ASCII}')) THEN chr(65533) ELSE '' END AS cut FROM conversations"
 )
 def bpe_decode(spark, sf_dir):
-    """Byte-level letters to text, broken bytes replaced."""
-    rows = [("plain", "ab"), ("letters", "aĠbĊ"), ("high", "Ã©"), ("broken", "Ãa"), ("empty", "")]
-    return spark.createDataFrame(rows, "name string, letters string").select("name", byte_level_text(F.col("letters")).alias("text"))
+    """Byte-level letters of whole texts to texts, and those up to within the first
+    letter of several bytes, where what is broken is replaced."""
+    plain = F.length(F.regexp_extract("text", ASCII, 0))
+    within = plain + F.greatest(F.octet_length(F.substring("text", plain + 1, F.lit(1))) - 1, F.lit(0))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", byte_level_letters(F.col("text")).alias("letters"), within.alias("n"))
+    cut = F.substring("letters", F.lit(1), F.col("n"))
+    return rows.select("conv_id", "turn", byte_level_text(F.col("letters")).alias("text"), byte_level_text(cut).alias("cut"))
 
 
 # text and Markdown
@@ -580,15 +619,7 @@ edges AS (
       (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
       OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
         AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))
-), rectangles AS (
-  SELECT e.page_id, ax, ay, qx, qy,
-    max(((qx - ax) * x + (qy - ay) * y)) - min(((qx - ax) * x + (qy - ay) * y)) AS u,
-    max(((qx - ax) * y - (qy - ay) * x)) - min(((qx - ax) * y - (qy - ay) * x)) AS v,
-    (qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) AS n
-  FROM edges e JOIN p ON e.page_id = p.page_id GROUP BY ALL
-), least_area AS (
-  SELECT page_id, min(u * v / n) AS area, arg_min(u / sqrt(n), u * v / n) AS w, arg_min(v / sqrt(n), u * v / n) AS h FROM rectangles GROUP BY page_id
-), pages AS (SELECT DISTINCT page_id FROM p)
+)
 """
 
 
@@ -602,23 +633,37 @@ def convex_hull(spark, sf_dir):
     return corners.select("page_id", "c.x", "c.y")
 
 
-@query(HULL_SQL + " SELECT page_id, round(coalesce(area, 0), 3) AS area FROM pages LEFT JOIN least_area USING (page_id)", "lines")
+#: Corners of the smallest rectangle, grown by d on every side; of one point, four times that.
+CORNERS_SQL = """, turned AS (
+  SELECT e.page_id, e.ax, e.ay, (qx - ax) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS ux, (qy - ay) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS uy,
+         min((qx - ax) * x + (qy - ay) * y) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS u1, max((qx - ax) * x + (qy - ay) * y) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS u2,
+         min((qx - ax) * y - (qy - ay) * x) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS v1, max((qx - ax) * y - (qy - ay) * x) / sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS v2
+  FROM edges e JOIN p ON e.page_id = p.page_id GROUP BY e.page_id, ax, ay, qx, qy
+), best AS (
+  SELECT *, CASE WHEN least(u2 - u1, v2 - v1) < 1e-6 THEN 0 ELSE (u2 - u1) * (v2 - v1) * {ratio} / (2 * (u2 - u1 + v2 - v1)) END AS d
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round((u2 - u1) * (v2 - v1), 6), ax, ay) AS rn FROM turned) WHERE rn = 1
+), corners AS (
+  SELECT page_id, unnest([(u1 - d) * ux - (v1 - d) * uy, (u2 + d) * ux - (v1 - d) * uy, (u2 + d) * ux - (v2 + d) * uy, (u1 - d) * ux - (v2 + d) * uy]) AS x,
+         unnest([(u1 - d) * uy + (v1 - d) * ux, (u2 + d) * uy + (v1 - d) * ux, (u2 + d) * uy + (v2 + d) * ux, (u1 - d) * uy + (v2 + d) * ux]) AS y FROM best
+  UNION ALL SELECT page_id, min(x), unnest([min(y), min(y), min(y), min(y)]) FROM p GROUP BY page_id HAVING count(*) = 1)
+SELECT page_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM corners"""
+
+
+def _corners(found: DataFrame) -> DataFrame:
+    corners = found.select("page_id", F.explode("corners").alias("c"))
+    return corners.select("page_id", *[(F.round(f"c.{a}", 3) + F.lit(0.0)).alias(a) for a in ("x", "y")])
+
+
+@query(HULL_SQL + CORNERS_SQL.format(ratio=0), "lines")
 def min_area_quad(spark, sf_dir):
-    """The area of the smallest rectangle around a page's points."""
-    found = _shape(spark, sf_dir, pixels.min_area_quad)
-    return found.select("page_id", F.round(F.abs(geometry.signed_area(F.col("corners"))), 3).alias("area"))
+    """The corners of the smallest rectangle around a page's points."""
+    return _corners(_shape(spark, sf_dir, pixels.min_area_quad))
 
 
-@query(
-    HULL_SQL
-    + f" SELECT page_id, round(CASE WHEN coalesce(area, 0) < 1e-9 THEN 0 ELSE (w + area * {pixels.UNCLIP} / (w + h)) * (h + area * {pixels.UNCLIP} / (w + h)) END, 3) AS area "
-    "FROM pages LEFT JOIN least_area USING (page_id)",
-    "lines",
-)
+@query(HULL_SQL + CORNERS_SQL.format(ratio=pixels.UNCLIP), "lines")
 def quad_unclip(spark, sf_dir):
-    """The area of that rectangle, turned as it is, when it is grown."""
-    found = _shape(spark, sf_dir, lambda p: pixels.unclip(pixels.min_area_quad(p)))
-    return found.select("page_id", F.round(F.abs(geometry.signed_area(F.col("corners"))), 3).alias("area"))
+    """The corners of that rectangle, turned as it is, when it is grown."""
+    return _corners(_shape(spark, sf_dir, lambda p: pixels.unclip(pixels.min_area_quad(p))))
 
 
 #: Boxes of a page's lines, drawn one over the other on a map of 512 x 128: which touch
