@@ -89,11 +89,13 @@ def streamed(rows: DataFrame, conv_id: str, turn: str) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("__text", text)
     step = lambda k, kind, said: F.struct(F.lit(k).alias("step") if isinstance(k, int) else k.alias("step"), kind.alias("kind"), said.alias("text"))
     replaced = F.when(role == ASSISTANT, "regenerate").otherwise("edit")
-    chunk = lambda k: F.substring(F.col("__text"), k * CHUNK + 1, F.lit(CHUNK))
-    first = F.array(step(0, F.lit("message"), F.lit("")), step(1, F.lit("delta"), F.lit("a draft </s>")), step(2, replaced, chunk(F.lit(0))))
-    more = F.ceil(F.length("__text") / CHUNK).cast("int") - 1
-    rest = F.transform(F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>")), lambda k: step(k + 2, F.lit("delta"), chunk(k)))
-    log = rows.select(conv_id, turn, "place", role.alias("role"), F.explode(F.concat(first, rest)).alias("e"))
+    # one pass over a text, as each substring would begin at its first code point
+    pieces = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    rows = rows.withColumn("__pieces", F.when(F.length("__text") > 0, pieces).otherwise(F.array(F.lit(""))))
+    first = F.array(step(0, F.lit("message"), F.lit("")), step(1, F.lit("delta"), F.lit("a draft </s>")))
+    rest = F.transform("__pieces", lambda said, k: step(k + 2, F.when(k > 0, F.lit("delta")).otherwise(replaced), said))
+    rows = rows.withColumn("__log", F.concat(first, rest))
+    log = rows.select(conv_id, turn, "place", role.alias("role"), F.explode("__log").alias("e"))
     msg = [F.col(turn).alias("turn"), F.col("place")]
     return log.select(F.col(conv_id).alias("conv_id"), F.struct(*msg, F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), F.struct(*msg).alias("msg"), "role", F.col("e.text").alias("text"))
 

@@ -12,7 +12,8 @@ is at least 64.
 
 Null input is empty; so is the result of nothing: a 64-byte payload of zeros.
 Texts of any length are one item; ends of items are looked up among marks of the
-same pass, so that many signatures without an end cost no more than their bytes.
+same pass, and where a chain of pages, blocks or chunks ends is found once for each of
+its places, so that many signatures without an end cost no more than their bytes.
 Equal inputs, and so repeated rows, give equal results; of other columns only the
 declared type is used, to say whether it is right.  Columns that are kept and named
 like an output column are replaced; an empty table gives no rows.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -61,6 +63,15 @@ class Marks:
         self.places = places
 
         self.asked, self.found = 0, -2  # the last question for a zero byte, and its answer
+        self.pages: dict[int, int] = {}  # ends of chains of Ogg pages, by each page's place
+        self.chunks: dict[int, tuple[int, int, int, int, int]] = {}  # RIFF chunks, see `chunk_chain`
+        self.tables: dict[str, array] = {}
+
+    def table(self, name: str, data: bytes) -> array:
+        """A number for every place, 0 at first; made when it is first asked for."""
+        if name not in self.tables:
+            self.tables[name] = array("q", [0]) * (len(data) + 2)
+        return self.tables[name]
 
     def zero(self, data: bytes, at: int) -> int:
         """The first zero byte at or behind a place, or -1."""
@@ -75,21 +86,46 @@ class Marks:
         return found[k] if k < len(found) else -1
 
 
+def chunk_chain(data: bytes, at: int, chunks: dict[int, tuple[int, int, int, int, int]]) -> None:
+    """Makes the chunks from a place on known: (next, jump, depth, data chunks, fmt chunks).
+
+    Where a chunk ends the next begins, whatever item both belong to, so chunks are a
+    forest; counts and depths are those up to its root, a place without a whole chunk
+    (which is its own next), and a jump passes over many (Myers, 1983).
+    """
+    path, here = [], at
+    while here not in chunks:
+        n = struct.unpack_from("<I", data, here + 4)[0] if here + 8 <= len(data) else len(data)
+        if here + 8 + n > len(data):
+            chunks[here] = (here, here, 0, 0, 0)
+            break
+        path.append(here)
+        here += 8 + n + n % 2
+    for p in reversed(path):
+        _, jump, depth, datas, fmts = chunks[here]
+        far = chunks[jump]
+        to = far[1] if depth - far[2] == far[2] - chunks[far[1]][2] else here
+        name = data[p : p + 4]
+        chunks[p] = (here, to, depth + 1, datas + (name == b"data"), fmts + (name == b"fmt "))
+        here = p
+
+
 def wav_length(data: bytes, at: int, marks: Marks) -> int:
     """A whole RIFF/WAVE item's length at `at`, or 0."""
     if data[at : at + 4] != b"RIFF" or len(data) < at + 44:
         return 0
     size = struct.unpack_from("<I", data, at + 4)[0] + 8
-    if at + size > len(data) or data[at + 8 : at + 12] != b"WAVE":
+    end, first, chunks = at + size, at + 12, marks.chunks
+    if end > len(data) or data[at + 8 : at + 12] != b"WAVE" or first >= end:
         return 0
-    here, found = at + 12, set()
-    while here + 8 <= at + size:
-        name, n = data[here : here + 4], struct.unpack_from("<I", data, here + 4)[0]
-        if here + 8 + n > at + size:
-            return 0
-        found.add(name)
-        here += 8 + n + n % 2
-    return size if {b"fmt ", b"data"} <= found and here >= at + size else 0
+    chunk_chain(data, first, chunks)
+    last = first  # the last chunk that begins before the end
+    while chunks[last][2] and chunks[last][0] < end:
+        last = chunks[last][1] if chunks[last][1] < end else chunks[last][0]
+    if not chunks[last][2] or last + 8 + struct.unpack_from("<I", data, last + 4)[0] > end:
+        return 0
+    behind = chunks[chunks[last][0]]
+    return size if chunks[first][3] > behind[3] and chunks[first][4] > behind[4] else 0
 
 
 def png_length(data: bytes, at: int, marks: Marks) -> int:
@@ -107,28 +143,44 @@ def png_length(data: bytes, at: int, marks: Marks) -> int:
 
 
 def gif_length(data: bytes, at: int, marks: Marks) -> int:
-    def blocks(here: int) -> int:
-        while here < len(data) and data[here]:
-            here += 1 + data[here]
-        return here + 1 if here < len(data) else 0
-
+    """Blocks and sub-blocks follow from their places alone, so where a chain of them ends
+    (-1: nowhere) is found once for each place."""
     if len(data) < at + 14:
         return 0
+    ends, inner = marks.table("gif", data), marks.table("gif inner", data)
+
+    def behind(here: int) -> int:
+        """The place behind sub-blocks, or -1."""
+        path = []
+        while here < len(data) and data[here] and not inner[here]:
+            path.append(here)
+            here += 1 + data[here]
+        end = -1 if here >= len(data) else inner[here] or here + 1
+        for p in path:
+            inner[p] = end
+        return end
+
     flags, here = data[at + 10], at + 13
     here += 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    while here < len(data):
+    path, end = [], -1
+    while 0 <= here < len(data):
+        if ends[here]:
+            end = ends[here]
+            break
+        path.append(here)
         if data[here] == 0x3B:
-            return here + 1 - at
+            end = here + 1
+            break
         if data[here] == 0x21:
-            here = blocks(here + 2)
+            here = behind(here + 2)
         elif data[here] == 0x2C and here + 10 < len(data):
             local = data[here + 9]
-            here = blocks(here + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
+            here = behind(here + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
         else:
-            return 0
-        if not here:
-            return 0
-    return 0
+            break
+    for p in path:
+        ends[p] = end
+    return max(0, end - at)
 
 
 def jpeg_length(data: bytes, at: int, marks: Marks) -> int:
@@ -208,15 +260,24 @@ def flac_length(data: bytes, at: int, marks: Marks) -> int:
 
 
 def ogg_length(data: bytes, at: int, marks: Marks) -> int:
-    here = at
+    """Pages up to the last one of a stream; where a chain ends (0: nowhere) is found once
+    for each of its pages."""
+    path, here, end = [], at, 0
     while data[here : here + 5] == b"OggS\x00" and here + 27 <= len(data):
+        if here in marks.pages:
+            end = marks.pages[here]
+            break
+        path.append(here)
         n = data[here + 26]
         here, last = here + 27 + n + sum(data[here + 27 : here + 27 + n]), data[here + 5] & 4
         if here > len(data):
-            return 0
+            break
         if last:
-            return here - at
-    return 0
+            end = here
+            break
+    for p in path:
+        marks.pages[p] = end
+    return max(0, end - at)
 
 
 VALIDATORS = {

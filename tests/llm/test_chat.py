@@ -140,3 +140,17 @@ def test_one_conversation_that_holds_most_rows(spark):
     df = spark.range(30_000).selectExpr("if(id % 10 = 0, id, 0) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id) AS text")
     got = chat.read_back(chat.render(chat.reconstruct(chat.streamed(df, "conv_id", "turn")))).where("conv_id = 0").first()
     assert got.n_turns == 27_001 and got.turns[-1].text == "text 29999" and got.loss_text.startswith("text 1text 3text 5")
+
+
+def test_a_long_turn_takes_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4_000_000, 8_000_000):
+        text = "é<s>x\n" * (n // 6) + "𝄞"
+        df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+        began = time.perf_counter()
+        got = chat.read_back(chat.render(chat.reconstruct(chat.streamed(df, "conv_id", "turn")))).selectExpr("n_turns", "sha2(loss_text, 256) AS h").first()
+        took.append(time.perf_counter() - began)
+        assert got.n_turns == 1 and got.h == hashlib.sha256(text.encode()).hexdigest()
+    assert took[0] < 20 and took[1] < 3 * took[0] + 2

@@ -97,6 +97,99 @@ def test_many_signatures_without_an_end_take_no_longer(mark):
     assert time.perf_counter() - began < 20
 
 
+OGG_PAGE = b"OggS\x00\x00" + bytes(20) + b"\x00"
+GIF_HEAD = b"GIF89a\x01\x00\x01\x00\x00\x00\x00"
+CHUNK = b"JUNK\x00\x00\x00\x00"
+
+
+@pytest.mark.parametrize(
+    "mark",
+    [
+        OGG_PAGE,
+        OGG_PAGE[:-1] + b"\x01\x01x",
+        GIF_HEAD + b"!\x01\x01\x01",
+        GIF_HEAD + b"!\x01" + b"\x01\x01" * 40,
+        GIF_HEAD + b"!\x01\x01x\x00" * 3,
+        b"RIFF\x00\x00\x10\x00WAVEfmt \x00\x00\x00\x00" + CHUNK * 4,
+        b"RIFF\x00\x00\x20\x00WAVEfmt \x10\x00\x00\x00" + bytes(8),
+    ],
+)
+def test_chains_without_an_end_take_no_longer(mark):
+    data = mark * (4_000_000 // len(mark))
+    data.decode()  # a text may hold it
+    began = time.perf_counter()
+    media.sniff(media.store(data))
+    assert time.perf_counter() - began < 20
+
+
+def plain_wav(data, at):
+    size = struct.unpack_from("<I", data, at + 4)[0] + 8 if data[at : at + 4] == b"RIFF" and len(data) >= at + 44 else 0
+    if not size or at + size > len(data) or data[at + 8 : at + 12] != b"WAVE":
+        return 0
+    here, found = at + 12, set()
+    while here + 8 <= at + size:
+        name, n = data[here : here + 4], struct.unpack_from("<I", data, here + 4)[0]
+        if here + 8 + n > at + size:
+            return 0
+        found.add(name)
+        here += 8 + n + n % 2
+    return size if {b"fmt ", b"data"} <= found and here >= at + size else 0
+
+
+def plain_ogg(data, at):
+    here = at
+    while data[here : here + 5] == b"OggS\x00" and here + 27 <= len(data):
+        n, last = data[here + 26], data[here + 5] & 4
+        here += 27 + n + sum(data[here + 27 : here + 27 + n])
+        if here > len(data):
+            return 0
+        if last:
+            return here - at
+    return 0
+
+
+def plain_gif(data, at):
+    here = at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 0x80 else 0) if len(data) >= at + 14 else len(data)
+    while here < len(data):
+        if data[here] == 0x3B:
+            return here + 1 - at
+        if data[here] == 0x21:
+            here += 2
+        elif data[here] == 0x2C and here + 10 < len(data):
+            here += 11 + (3 << ((data[here + 9] & 7) + 1) if data[here + 9] & 0x80 else 0)
+        else:
+            return 0
+        while here < len(data) and data[here]:
+            here += 1 + data[here]
+        here += 1
+        if here > len(data):
+            return 0
+    return 0
+
+
+def test_lengths_equal_plain_walks():
+    import random
+
+    pick = random.Random(11)
+    pieces = {
+        "ogg": [OGG_PAGE, b"OggS\x00\x04" + bytes(20) + b"\x01\x03abc", b"OggS\x00\x00" + bytes(20) + b"\x02\x1b\x05", b"x" * 5, b"OggS"],
+        "gif": [GIF_HEAD, GIF, b"!\x01\x02ab\x00", b"!\x01\x01", b";", b",\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00", b"\x03", b"GIF89a\x01\x00\x01\x00\x80\x00\x00"],
+        "wav": [media.store(b"hello")[:44], b"fmt \x02\x00\x00\x00ab", b"data\x03\x00\x00\x00abc\x00", CHUNK, b"data\x01\x00\x00\x00", b"y", bytes(4)]
+        + [b"RIFF" + struct.pack("<I", n) + b"WAVE" for n in (36, 40, 47, 52, 55, 60, 75, 90, 120)],
+    }
+    plain, some = {"ogg": plain_ogg, "gif": plain_gif, "wav": plain_wav}, dict.fromkeys(pieces, 0)
+    for _ in range(4000):
+        kind = pick.choice(list(pieces))
+        data = b"".join(pick.choice(pieces[kind]) for _ in range(pick.randrange(1, 14)))
+        marks, starts = media.Marks({}), [k for k in range(len(data)) if data[k : k + 4] in (b"OggS", b"GIF8", b"RIFF")]
+        pick.shuffle(starts)
+        for at in starts:
+            want = plain[kind](data, at)
+            assert media.VALIDATORS[kind](data, at, marks) == want, (data, at)
+            some[kind] += want > 0
+    assert min(some.values()) > 50, some
+
+
 def plain_feature(raw):
     """The feature of a stored text that holds no media, without numpy."""
     payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
