@@ -32,13 +32,13 @@ def _weights(size: int, to: int) -> np.ndarray:
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Separable triangle resampling, rounded to uint8."""
+    """Separable triangle resampling, rounded to uint8; halves go up, whatever the order of sums."""
     if image.shape[1] == width and image.shape[0] == height:
         return image.copy()
     flat = image.astype(np.float64).reshape(image.shape[0], image.shape[1], -1)
     tall = np.einsum("ij,jkc->ikc", _weights(image.shape[0], height), flat, optimize=True)
     out = np.einsum("ij,kjc->kic", _weights(image.shape[1], width), tall, optimize=True)
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8).reshape(height, width, *image.shape[2:])
+    return np.clip(np.floor(out + (0.5 + 1e-9)), 0, 255).astype(np.uint8).reshape(height, width, *image.shape[2:])
 
 
 def planes(image: np.ndarray) -> np.ndarray:
@@ -65,15 +65,22 @@ def det_size(w: int, h: int, longest: int = 1280) -> tuple[int, int]:
 
 
 def det_input(image: np.ndarray, longest: int = 1280) -> np.ndarray:
+    return det_planes(resize(image, *det_size(image.shape[1], image.shape[0], longest)))[None]
+
+
+def det_planes(image: np.ndarray) -> np.ndarray:
     """The statistics apply in the order of the image's channels."""
-    small = planes(resize(image, *det_size(image.shape[1], image.shape[0], longest)))
-    return ((small - DET_MEAN[:, None, None]) / DET_STD[:, None, None])[None]
+    return (planes(image) - DET_MEAN[:, None, None]) / DET_STD[:, None, None]
+
+
+def rec_planes(image: np.ndarray) -> np.ndarray:
+    return (planes(image) - np.float32(0.5)) / np.float32(0.5)
 
 
 def rec_input(crop: np.ndarray) -> np.ndarray:
     h, w = crop.shape[:2]
     width = min(REC_WIDTH, max(1, round_half_up(REC_HEIGHT * w / h)))
-    return (planes(resize(crop, width, REC_HEIGHT)) - np.float32(0.5)) / np.float32(0.5)
+    return rec_planes(resize(crop, width, REC_HEIGHT))
 
 
 def rec_batches(crops: list[np.ndarray], batch: int = 8):
@@ -103,13 +110,13 @@ def crop_margin(page: np.ndarray) -> np.ndarray:
     return page[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1] if len(rows) else page
 
 
-def formula_input(image: np.ndarray, mean: float = FORMULA_MEAN, std: float = FORMULA_STD) -> np.ndarray:
+def formula_input(image: np.ndarray, mean: float = FORMULA_MEAN, std: float = FORMULA_STD, side: int = FORMULA_SIDE) -> np.ndarray:
     own = crop_margin(gray(image))
     h, w = own.shape
-    scale = min(FORMULA_SIDE / w, FORMULA_SIDE / h)
-    width, height = (min(FORMULA_SIDE, max(1, round_half_up(v * scale))) for v in (w, h))
-    canvas = np.full((FORMULA_SIDE, FORMULA_SIDE), 255, np.uint8)
-    top, left = (FORMULA_SIDE - height) // 2, (FORMULA_SIDE - width) // 2
+    scale = min(side / w, side / h)
+    width, height = (min(side, max(1, round_half_up(v * scale))) for v in (w, h))
+    canvas = np.full((side, side), 255, np.uint8)
+    top, left = (side - height) // 2, (side - width) // 2
     canvas[top : top + height, left : left + width] = resize(own, width, height)
     return ((canvas.astype(np.float32) / 255 - np.float32(mean)) / np.float32(std))[None, None]
 

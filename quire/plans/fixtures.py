@@ -53,6 +53,10 @@ SELECT CAST(floor(event_id / 20) AS BIGINT) AS page_id, event_id AS line_ord,
 FROM events""",
     "page_sizes": """
 SELECT p_partkey AS page_id, CAST(1 + (p_partkey * 37) % 3000 AS INT) AS w, CAST(1 + (p_partkey * 101) % 4000 AS INT) AS h
+FROM part""",
+    "images": """
+SELECT p_partkey AS page_id, CAST(3 + p_partkey % 6 AS INT) AS w, CAST(3 + p_partkey % 5 AS INT) AS h, CAST(p_partkey * 13 % 256 AS INT) AS base,
+       CAST(p_partkey % 3 AS INT) AS ink
 FROM part""",
     "formula_steps": """
 SELECT o_orderkey AS seq_id, CAST((o_orderkey * 31) % 60 AS BIGINT) AS a, CAST((o_orderkey * 17) % 50 AS BIGINT) AS b,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.config import ClassConfig, PageConfig
 from quire.functions import geometry, pixels
 from quire.functions.text import byte_level_letters, byte_level_text, is_blank, utrim
-from quire.labels import LABELS, MULTI_LINE, SINGLE_LINE, TEXT, label_name, label_table
+from quire.labels import FORMULA, LABELS, MULTI_LINE, SINGLE_LINE, TEXT, label_name, label_table
 from quire.operators import assign, decode, layout, lines, markdown
 from quire.plans import recognise
 from quire.plans.fixtures import fixture, with_fixtures
@@ -666,6 +666,168 @@ def quad_unclip(spark, sf_dir):
     return _corners(_shape(spark, sf_dir, lambda p: pixels.unclip(pixels.min_area_quad(p))))
 
 
+#: Small images: channel c of the pixel (x, y).  With ink 0 an image is flat but for a
+#: dark block, with 1 all flat, with 2 full of colour.
+PIXELS_SQL = """,
+px AS (
+  SELECT page_id, w, h, x, y, c,
+         CASE ink WHEN 0 THEN CASE WHEN x BETWEEN 1 AND w - 2 AND y BETWEEN 1 AND h - 2 THEN (base + c * 5) % 90 ELSE 250 END
+                  WHEN 1 THEN base ELSE (base + y * 29 + x * 17 + c * 71 + x * y * 7) % 256 END AS v
+  FROM (SELECT *, unnest(range(3)) AS c FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM images))))"""
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    """(page_id, w, h, data): the bytes of each image, row by row."""
+    rows = fixture(spark, sf_dir, "images")
+    w, h, base = F.col("w"), F.col("h"), F.col("base")
+
+    def value(i):
+        c, x = i % 3, (i / 3).cast("int") % w
+        y = ((i / 3).cast("int") / w).cast("int")
+        block = F.when((x >= 1) & (x <= w - 2) & (y >= 1) & (y <= h - 2), (base + c * 5) % 90).otherwise(250)
+        return F.when(F.col("ink") == 0, block).when(F.col("ink") == 1, base).otherwise((base + y * 29 + x * 17 + c * 71 + x * y * 7) % 256)
+
+    return rows.select("page_id", "w", "h", F.transform(F.sequence(F.lit(0), w * h * 3 - 1), value).alias("data"))
+
+
+def _imaged(spark, sf_dir, work: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str], kind: str) -> DataFrame:
+    """(page_id, place, names): arrays that `work` makes of an image, flat, a row a place."""
+    import pyarrow as pa
+
+    arrow = {"double": pa.float64(), "int": pa.int32()}[kind]
+
+    def run(batches):
+        for batch in batches:
+            for page, w, h, data in zip(*(batch.column(c).to_pylist() for c in ("page_id", "w", "h", "data")), strict=True):
+                found = work(np.array(data, np.uint8).reshape(h, w, 3))
+                flat = [np.asarray(found[n]).ravel() for n in names]
+                size = len(flat[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, page), pa.int64()), pa.array(np.arange(size), pa.int32()), *(pa.array(v, arrow) for v in flat)], names=["page_id", "place", *names])
+
+    rows = _images(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, "page_id long, place int, " + ", ".join(f"{n} {kind}" for n in names))
+
+
+def resize_sql(source: str, to_w: str, to_h: str, sizes: str | None = None) -> str:
+    """Triangle resampling of rows (page_id, w, h, x, y, c, v) as a weighted join; `sizes`
+    has the columns that to_w and to_h name."""
+    sizes = sizes or f"(SELECT DISTINCT page_id, w, h FROM {source})"
+
+    def weights(axis: str, size: str, to: str) -> str:
+        return (
+            f"SELECT page_id, i, j, wt / sum(wt) OVER (PARTITION BY page_id, i) AS wt FROM (SELECT page_id, i, j, greatest(0, 1 - abs(j + 0.5::DOUBLE - (i + 0.5::DOUBLE) * {size} / n) / greatest({size}::DOUBLE / n, 1)) AS wt "
+            f"FROM (SELECT page_id, {size}, n, i, unnest(range({size})) AS j FROM (SELECT page_id, {size}, {to} AS n, unnest(range({to})) AS i FROM {sizes}))) WHERE wt > 0"
+        )
+
+    return f""",
+{source}_wx AS ({weights('x', 'w', to_w)}),
+{source}_wy AS ({weights('y', 'h', to_h)}),
+{source}_resized AS (
+  SELECT s.page_id, a.i AS x, b.i AS y, c, CAST(least(greatest(floor(sum(v * a.wt * b.wt) + 0.5 + 1e-9), 0), 255) AS INT) AS v
+  FROM {source} s JOIN {source}_wx a ON a.page_id = s.page_id AND a.j = s.x JOIN {source}_wy b ON b.page_id = s.page_id AND b.j = s.y GROUP BY s.page_id, a.i, b.i, c)"""
+
+
+@query(PIXELS_SQL + resize_sql("px", "7", "4") + " SELECT page_id, CAST((y * 7 + x) * 3 + c AS INT) AS place, v FROM px_resized", "images")
+def image_resize(spark, sf_dir):
+    """Triangle resampling, up in one direction and down in the other, pixel by pixel."""
+    return _imaged(spark, sf_dir, lambda image: {"v": pixels.resize(image, 7, 4)}, ["v"], "int")
+
+
+@query(
+    PIXELS_SQL
+    + """,
+scaled AS (SELECT *, CAST(v AS FLOAT) / CAST(255 AS FLOAT) AS s, CAST([0.485, 0.456, 0.406][c + 1] AS FLOAT) AS mean, CAST([0.229, 0.224, 0.225][c + 1] AS FLOAT) AS std FROM px)
+SELECT page_id, CAST((c * h + y) * w + x AS INT) AS place, CAST(s AS DOUBLE) AS layout, CAST((s - mean) / std AS DOUBLE) AS detection,
+       CAST((s - CAST(0.5 AS FLOAT)) / CAST(0.5 AS FLOAT) AS DOUBLE) AS recognition FROM scaled""",
+    "images",
+)
+def image_planes(spark, sf_dir):
+    """Channels first, scaled and normalised for each model."""
+    return _imaged(spark, sf_dir, lambda image: {"layout": pixels.planes(image), "detection": pixels.det_planes(image), "recognition": pixels.rec_planes(image)}, ["layout", "detection", "recognition"], "double")
+
+
+MARGIN_SQL = (
+    PIXELS_SQL
+    + """,
+gray AS (SELECT page_id, w, h, x, y, 0 AS c, CAST(floor(sum(v * [0.0722, 0.7152, 0.2126][c + 1]::DOUBLE) + 1e-9) AS INT) AS v FROM px GROUP BY page_id, w, h, x, y),
+stretched AS (SELECT *, min(v) OVER (PARTITION BY page_id) AS low, max(v) OVER (PARTITION BY page_id) AS high FROM gray),
+dark AS (
+  SELECT page_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2
+  FROM stretched WHERE high > low AND CAST(v - low AS FLOAT) / CAST(high - low AS FLOAT) * CAST(255 AS FLOAT) < CAST(200 AS FLOAT) GROUP BY page_id),
+margin AS (
+  SELECT g.page_id, coalesce(x2 - x1 + 1, w) AS w, coalesce(y2 - y1 + 1, h) AS h, x - coalesce(x1, 0) AS x, y - coalesce(y1, 0) AS y, c, v
+  FROM gray g LEFT JOIN dark d USING (page_id) WHERE d.page_id IS NULL OR x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2)"""
+)
+
+
+@query(MARGIN_SQL + " SELECT page_id, CAST(y * w + x AS INT) AS place, v FROM margin", "images")
+def image_margin(spark, sf_dir):
+    """Luma, and the box of what is dark once the contrast is stretched."""
+    return _imaged(spark, sf_dir, lambda image: {"v": pixels.crop_margin(pixels.gray(image))}, ["v"], "int")
+
+
+@query(
+    MARGIN_SQL
+    + """,
+fitted AS (
+  SELECT *, CAST(least(12, greatest(1, floor(w * s + 0.5))) AS BIGINT) AS to_w, CAST(least(12, greatest(1, floor(h * s + 0.5))) AS BIGINT) AS to_h
+  FROM (SELECT DISTINCT page_id, w, h, least(12.0::DOUBLE / w, 12.0::DOUBLE / h) AS s FROM margin))"""
+    + resize_sql("margin", "to_w", "to_h", "fitted")
+    + """
+SELECT f.page_id, CAST(py * 12 + p AS INT) AS place, round((coalesce(v, 255) / 255.0::DOUBLE - 0.7931) / 0.1738, 4) AS v
+FROM (SELECT page_id, to_w, to_h, p, unnest(range(12)) AS py FROM (SELECT page_id, to_w, to_h, unnest(range(12)) AS p FROM fitted)) f
+LEFT JOIN margin_resized r ON r.page_id = f.page_id AND r.x = p - (12 - to_w) // 2 AND r.y = py - (12 - to_h) // 2""",
+    "images",
+)
+def image_formula(spark, sf_dir):
+    """Margin, fit, white canvas and normalisation of a formula's image (on 12 x 12)."""
+    found = _imaged(spark, sf_dir, lambda image: {"v": pixels.formula_input(image, side=12)}, ["v"], "double")
+    return found.select("page_id", "place", F.round("v", 4).alias("v"))
+
+
+@query(
+    """, sized AS (SELECT page_id % 11 AS grp, page_id, CAST(least(greatest(floor(48.0::DOUBLE * w / h + 0.5), 1), 3200) AS INT) AS width FROM images),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY width, page_id) - 1) // 8 AS batch FROM sized),
+padded AS (SELECT *, max(width) OVER (PARTITION BY grp, batch) AS pad_width FROM numbered)
+SELECT grp, page_id, width, pad_width, 3 * 48 * (pad_width - width) AS zeros FROM padded""",
+    "images",
+)
+def image_batches(spark, sf_dir):
+    """Recognition batches of images, padded with zeros to the widest."""
+    import pyarrow as pa
+
+    rows = _images(spark, sf_dir).withColumn("grp", F.col("page_id") % 11)
+
+    def run(batches):
+        for batch in batches:
+            for own in batch.column("ps").to_pylist():
+                ps = sorted(own, key=lambda p: p["page_id"])
+                crops = [np.array(p["data"], np.uint8).reshape(p["h"], p["w"], 3) for p in ps]
+                for places, x in pixels.rec_batches(crops, 8):
+                    widths = [pixels.rec_input(crops[k]).shape[2] for k in places]
+                    zeros = [int((padded[:, :, w:] == 0).sum()) for padded, w in zip(x, widths, strict=True)]
+                    ids = [ps[k]["page_id"] for k in places]
+                    columns = [[i % 11 for i in ids], ids, widths, [x.shape[3]] * len(ids), zeros]
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["grp", "page_id", "width", "pad_width", "zeros"])
+
+    grouped = rows.groupBy("grp").agg(F.collect_list(F.struct("page_id", "w", "h", "data")).alias("ps"))
+    return grouped.repartition(11, "grp").mapInArrow(run, "grp long, page_id long, width int, pad_width int, zeros long")
+
+
+@query(
+    f"{NMS_SQL}, regions AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, nms_rank) - 1 AS region_idx FROM survivors), "
+    "own AS (SELECT page_id, region_idx, greatest(x1 - 8, 0) AS x, greatest(y1 - 8, 0) AS y, least(x2 + 8, 600) AS r, least(y2 + 8, 800) AS b FROM regions WHERE label = 'formula') "
+    "SELECT page_id, region_idx, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(r - x AS BIGINT) AS w, CAST(b - y AS BIGINT) AS h FROM own",
+    "boxes",
+)
+def formula_windows(spark, sf_dir):
+    """F8, P10: the windows of a page's formulas, with their padding."""
+    regions = recognise.regions_of(filtered(spark, sf_dir), PageConfig(ClassConfig.all()))
+    own = regions.where(F.col("label") == FORMULA).withColumns({"page_w": F.lit(600), "page_h": F.lit(800)})
+    return assign.with_windows(own, recognise.FORMULA_PADDING).select("page_id", "region_idx", "x", "y", "w", "h")
+
+
 #: Boxes of a page's lines, drawn one over the other on a map of 512 x 128: which touch
 #: (also at a corner), the gaps that they enclose, and every contour's place in order.
 CONTOUR_SQL = """,
