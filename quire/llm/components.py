@@ -2,7 +2,8 @@
 
 Links stay distributed; every round cuts its lineage in the shared folder and
 removes the files of the round before.  A node with very many links (the centre
-of a star) meets them by `spread_join`, where they are.
+of a star) meets them by `spread_join`, where they are.  Links of at most `ALONE` rows,
+which are counted first, are worked on in one task: its steps then shuffle nothing.
 """
 
 from __future__ import annotations
@@ -14,23 +15,35 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import cut, discard, spread_join
 
+#: Links that one task may have.
+ALONE = 200_000
 #: Rounds after which every further one is logged; the least node of a component
 #: comes nearer in each, so the rounds end.
 EXPECTED_ROUNDS = 30
 
 
+def _alone(df: DataFrame, total: int) -> DataFrame:
+    return df.coalesce(1) if total <= ALONE else df
+
+
+def _met(links: DataFrame, least: DataFrame, total: int, times: int = 1) -> DataFrame:
+    """Links (each `times` in it) with what is known of their ends u; `least` has a row for each."""
+    return links.join(least.drop("n"), "u") if total <= ALONE else spread_join(links, least, "u", times * total)
+
+
 def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the node's least neighbour."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _alone(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), total)
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return spread_join(both, least, "u", 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _met(both, least, total, 2).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; here u > v."""
+    links = _alone(links, total)
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = spread_join(links, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _met(links, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _alone(moved.unionByName(least.select("u", F.col("m").alias("v"))), total).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +53,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
     ends = ends.where("x is not null and y is not null and u <> v").select("u", "v")
-    now = cut(ends.distinct(), ends.count())
+    n = ends.count()
+    now = cut(_alone(ends, n).distinct(), n)
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -136,3 +136,15 @@ def test_hot_keys_are_joined_like_others(spark, monkeypatch):
     rows = spark.range(100).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
     side = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 10)
     assert {(r.id, r.k, r.name) for r in common.spread_join(rows, side, "k", 100).collect()} == {(i, 0 if i % 3 == 0 else i, 0 if i % 3 == 0 else 10 * i) for i in range(100)}
+
+
+@pytest.mark.parametrize("alone", [0, 10**6])
+def test_components_in_one_task_or_in_many(spark, monkeypatch, alone):
+    from quire.llm import components as module
+
+    monkeypatch.setattr(module, "ALONE", alone)
+    links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (201, None), (300, 301), (301, 300)]
+    found = module.components(spark.createDataFrame(links, "a long, b long"))
+    want = dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 140), 100) | {300: 300, 301: 300}
+    assert {r.node: r.root for r in found.collect()} == want and found.count() == len(want)
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
