@@ -1,22 +1,31 @@
 """Nearest neighbours by learned partitions.
 
-On a sample of at most `SAMPLE_ROWS` vectors (by a hash of the id): the graph of
+On a sample of about `SAMPLE_ROWS` vectors (by a hash of id and vector): the graph of
 each vector's nearest neighbours is split into balanced parts (recursive median
 cuts, then moves that keep neighbours together while no part outgrows its
 share), and a softmax classifier learns in which parts a vector's neighbours
 lie.  The classifier then deals every vector of the table to its likeliest part
 and every query to several; how many is the least number that finds `RECALL` of
-the sample's true neighbours.  Within a part, queries and vectors meet in blocks
-of bounded size (a grid of blocks, in which both sides are copied), so a part that a third of all vectors fall into is dealt over
-many tasks; each block gives its best per query, and a last step ranks them.
+the sample's true neighbours.
+
+The parts of a sample grow with the square root of the rows, up to one for 48 of its
+vectors.  A part of more than twice `PART_ROWS` rows is split once more, by a
+classifier of its own, which its rows' own sample teaches on an executor; queries go to
+several of the parts that follow in each of theirs.  So the vectors that a query meets
+stay about as many while a table grows (to some 400 million rows), if vectors have
+structure.
+
+Vectors lie in blocks of at most `BLOCK`, each in one place; queries are copied to the
+blocks of their parts, and stream by the block that a task holds.  A part that a third of
+all vectors fall into is many blocks.  Each block gives its best per query, and a last
+step ranks them.
 
 Nearness is the inner product in double precision of the original vectors; ties
 go to the smaller id.  Null ids and vectors that are null, zero, or hold null or
 non-finite components take no part; vectors of different lengths, which have no inner
 product, are searched apart.  Of repeated
 query ids one row (the least vector) asks; repeated candidates are candidates
-each, but never a query's own id.  The parts grow with the square root of the
-rows, as far as the sample carries (48 of its vectors a part).  An empty table gives
+each, but never a query's own id.  An empty table gives
 no rows.  Other columns are ignored.
 """
 
@@ -29,13 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import release, remove, stored_at
+
 SAMPLE_ROWS = 8192
 PARTS = 32
 NEIGHBOURS = 12
 RECALL = 0.96
-#: Vectors and queries of a block at most.
-BLOCK = 8192
+#: Vectors of a block, and queries that meet it at once, at most.
+BLOCK = 16_384
 QUERIES = 2048
+#: Rows that a part should have; twice as many are split.
+PART_ROWS = 16_384
+#: More than the parts that one part is split into.
+FAN = 1024
 
 
 @dataclass
@@ -191,6 +206,38 @@ def block_best(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+@dataclass
+class Routers:
+    """A router, and routers of some of its parts; a part's number is FAN times that of the
+    first router and that of the second."""
+
+    top: Router
+    inner: dict[int, Router]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        first = self.top.logits(x).argmax(axis=1)
+        out = first * FAN
+        for p in set(first.tolist()) & self.inner.keys():
+            own = np.flatnonzero(first == p)
+            out[own] += self.inner[p].logits(x[own]).argmax(axis=1)
+        return out
+
+    def routes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of vectors, parts to ask): the likeliest parts of each."""
+        first = likeliest(self.top, x)
+        rows, parts = [], []
+        for p in np.unique(first).tolist():
+            own = np.flatnonzero((first == p).any(axis=1))
+            to = likeliest(self.inner[p], x[own]) if p in self.inner else np.zeros((len(own), 1), np.int64)
+            rows.append(np.repeat(own, to.shape[1]))
+            parts.append(p * FAN + to.ravel())
+        return np.concatenate(rows), np.concatenate(parts)
+
+
+def likeliest(router: Router, x: np.ndarray) -> np.ndarray:
+    return np.argsort(-router.logits(x), axis=1, kind="stable")[:, : router.probes]
+
+
 def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", parts: int = PARTS, recall: float = RECALL) -> DataFrame:
     """The k nearest of each query (ids divisible by `every`): query_id, rank, vec_id, score."""
     spark = df.sparkSession
@@ -202,57 +249,109 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     return empty
 
 
+def sampled(rows: DataFrame, share: Column | float) -> DataFrame:
+    """About this share of the different rows (id, v), by their hash."""
+    return rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["id", "v"])
+
+
+def _inner(base: DataFrame, counts: dict[int, int], dim: int, k: int, recall: float) -> dict[int, Router]:
+    """Routers of the parts that have too many rows; each is fitted in a task of its own."""
+    large = {p: n for p, n in counts.items() if n > 2 * PART_ROWS}
+    if not large:
+        return {}
+    shares = F.broadcast(base.sparkSession.createDataFrame([(p, min(1.0, SAMPLE_ROWS / n), min(FAN, -(-n // PART_ROWS))) for p, n in large.items()], "part int, share double, wanted int"))
+    sample = sampled(base.join(shares, "part"), F.col("share")).select("part", "v", "wanted")
+
+    def learn(key, own):
+        router = fit(matrix(own.column("v"), dim), k, own.column("wanted")[0].as_py(), recall)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([router.weights.tobytes()], pa.binary()), "probes": pa.array([router.probes], pa.int32()), "measured": [router.measured]})
+
+    found = sample.groupBy("part").applyInArrow(learn, "part int, weights binary, probes int, measured double").collect()  # a row a part
+    return {r.part: Router(np.frombuffer(bytes(r.weights)).reshape(dim + 1, -1), r.probes, r.measured) for r in found}
+
+
 def _search(rows: DataFrame, dim: int, total: int, k: int, every: int, parts: int, recall: float) -> DataFrame:
     """`search` among `total` vectors (id, v) of one length."""
     spark = rows.sparkSession
     parts = max(parts, int(total**0.5 / 8))
-    below = int((1 << 20) * min(1.0, SAMPLE_ROWS / total)) + 1
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < below).select("v").limit(2 * SAMPLE_ROWS).toArrow()
-    router = fit(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), k, parts, recall)
-    shared = spark.sparkContext.broadcast(router)
-
-    def home(batches):
-        router = shared.value
-        for batch in batches:
-            part = router.logits(matrix(batch.column("v"), dim)).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+    twice = total > 2 * PART_ROWS * min(parts, SAMPLE_ROWS // 48)  # of two steps each finds its share
+    recall = recall**0.5 if twice else recall
+    sample = sampled(rows, min(1.0, SAMPLE_ROWS / total)).select("v").toArrow()
+    routers = Routers(fit(matrix(sample.column("v"), dim) if sample.num_rows else np.zeros((0, dim)), k, parts, recall), {})
+
+    def dealt(df: DataFrame, routers: Routers) -> DataFrame:
+        shared = spark.sparkContext.broadcast(routers)
+
+        def home(batches):
+            for batch in batches:
+                part = shared.value.home(matrix(batch.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+
+        return df.select("id", "v").mapInArrow(home, "id long, v array<double>, part int")
+
+    def counted(df: DataFrame) -> dict[int, int]:
+        return {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}  # a row a part
+
+    base, path = stored_at(dealt(rows, routers), "parts")
+    counts = counted(base)
+    tops = base.withColumn("part", F.expr(f"part div {FAN}").cast("int"))
+    routers.inner = _inner(tops, {p // FAN: n for p, n in counts.items()}, dim, k, recall)
+    if routers.inner:
+        before = path
+        base, path = stored_at(dealt(base, routers), "parts")
+        remove(spark, before)
+        counts = counted(base)
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(routers)
 
     def routes(batches):
-        router = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(-router.logits(matrix(batch.column("v"), dim)), axis=1, kind="stable")[:, : router.probes]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "v", "to"]
-            )
-
-    base = rows.mapInArrow(home, "id long, v array<double>, part int")
+            if batch.num_rows:
+                row, part = shared.value.routes(matrix(batch.column("v"), dim))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+
+    blocks = F.broadcast(spark.createDataFrame([(p, -(-n // BLOCK)) for p, n in counts.items()], "part int, blocks long"))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    queries = asked.mapInArrow(routes, "id long, v array<double>, to array<int>").select("id", "v", F.explode("to").alias("part"))
-    counts = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}  # at most `parts` rows
-    asks = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
-    grid = [(p, -(-c // BLOCK), -(-asks[p] // QUERIES)) for p, c in counts.items() if p in asks]
-    if not grid:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = F.broadcast(spark.createDataFrame(grid, "part int, base_blocks long, query_blocks long"))
-    base = base.join(blocks, "part").select(
-        "part", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("base_blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("q")
-    )
-    queries = queries.join(blocks, "part").select(
-        "part", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("base_blocks") - 1)).alias("b"), F.pmod(F.xxhash64("id"), F.col("query_blocks")).alias("q")
-    )
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            place, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            query_ids = np.zeros(0, np.int64)
-        else:
-            query_ids = right.column("id").to_numpy()
-            place, ids, scores = block_best(left.column("id").to_numpy(), matrix(left.column("v"), dim), query_ids, matrix(right.column("v"), dim), k)
-        return pa.table({"query_id": query_ids[place] if len(place) else query_ids[:0], "vec_id": ids, "score": scores})
+    queries = asked.mapInArrow(routes, "id long, v array<double>, part int").join(blocks, "part")
+    queries = queries.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    base = base.join(blocks, "part").select("part", F.pmod(F.xxhash64("id", "v", F.rand(1)), F.col("blocks")).alias("block"), F.lit(0).alias("asks"), "id", "v")
+
+    def meet(batches):
+        key, ids, held, waiting = None, [], [], []
+
+        def answers():
+            if ids and waiting:
+                own, block = np.concatenate(ids), np.concatenate(held)
+                ids[:], held[:] = [own], [block]
+                asking = np.concatenate([w[0] for w in waiting])
+                place, found, scores = block_best(own, block, asking, np.concatenate([w[1] for w in waiting]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(asking[place]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+            waiting.clear()
 
-    by = ["part", "b", "q"]
-    best = base.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        for batch in batches:
+            part, block, asks = (batch.column(c).to_numpy() for c in ("part", "block", "asks"))
+            own_ids, v = batch.column("id").to_numpy(), matrix(batch.column("v"), dim)
+            new = (part[1:] != part[:-1]) | (block[1:] != block[:-1])
+            edges = np.flatnonzero(np.r_[True, new | (asks[1:] != asks[:-1]), True]) if len(part) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if (part[a], block[a]) != key:
+                    yield from answers()
+                    key, ids, held = (part[a], block[a]), [], []
+                if asks[a]:
+                    for at in range(a, b, QUERIES):
+                        waiting.append((own_ids[at : min(b, at + QUERIES)], v[at : min(b, at + QUERIES)]))
+                        if sum(len(w[0]) for w in waiting) >= QUERIES:
+                            yield from answers()
+                else:
+                    ids.append(own_ids[a:b])
+                    held.append(v[a:b])
+        yield from answers()
+        del ids, held, waiting
+        release()
+
+    dealt_out = base.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+    best = dealt_out.mapInArrow(meet, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

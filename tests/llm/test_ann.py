@@ -87,3 +87,34 @@ def test_odd_vectors(spark):
 def test_dimension_of_most(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in ann.search(df).collect()] == [(0, 1, 0.5)]
+
+
+def test_two_levels(spark, monkeypatch, clustered):
+    """Parts of too many rows are split once more, and queries go to several parts of both levels."""
+    monkeypatch.setattr(ann, "PART_ROWS", 60)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 1000)
+    ids = np.arange(len(clustered))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, clustered, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    routed = []
+    inner = ann._inner
+    monkeypatch.setattr(ann, "_inner", lambda *a: routed.append(inner(*a)) or routed[0])
+    check(ann.search(df, k=10, parts=16).collect(), brute(ids, clustered, 10), 10, 0.9)
+    assert len(routed[0]) > 8 and all(2 <= r.parts <= 6 for r in routed[0].values())
+
+
+def test_routes_of_two_levels():
+    rng = np.random.default_rng(2)
+    top = ann.Router(rng.normal(size=(5, 3)), 2, 1.0)
+    inner = {1: ann.Router(rng.normal(size=(5, 4)), 3, 1.0)}
+    routers, x = ann.Routers(top, inner), rng.normal(size=(50, 4))
+    home, (rows, parts) = routers.home(x), routers.routes(x)
+    for k in range(50):
+        own = parts[rows == k].tolist()
+        first = np.argsort(-top.logits(x[k : k + 1]))[0][:2].tolist()
+        want = {p * ann.FAN + q for p in first for q in (np.argsort(-inner[p].logits(x[k : k + 1]))[0][:3].tolist() if p in inner else [0])}
+        assert set(own) == want and len(own) == len(want) and home[k] in want
+
+
+def test_one_row_that_repeats_is_one_of_the_sample(spark):
+    df = spark.range(3000).selectExpr("if(id < 2000, 7L, id) AS id", "array(cast(if(id < 2000, 1, id) AS double), 1.0D) AS v")
+    assert ann.sampled(df, 1.0).count() == 1001 and ann.sampled(df, 0.1).count() < 200
