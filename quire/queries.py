@@ -5,6 +5,7 @@ In the SQL, `,` begins further common table expressions behind the fixtures.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -173,6 +174,19 @@ def region_counts(spark, sf_dir):
     return kept.groupBy("label").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
+@query(
+    f"{NMS_SQL} SELECT page_id, raw_ord, CASE label WHEN 'paragraph_title' THEN [220, 20, 60] WHEN 'text' THEN [30, 30, 200] WHEN 'formula' THEN [0, 150, 0] ELSE [70, 130, 180] END[1] AS red, "
+    "CASE label WHEN 'paragraph_title' THEN 20 WHEN 'text' THEN 30 WHEN 'formula' THEN 150 ELSE 130 END AS green, CASE label WHEN 'paragraph_title' THEN 60 WHEN 'text' THEN 200 WHEN 'formula' THEN 0 ELSE 180 END AS blue FROM survivors",
+    "boxes",
+)
+def region_colours(spark, sf_dir):
+    """The colour that each region is drawn with."""
+    from quire.sources.pages import colour_of
+
+    table = spark.createDataFrame([(x, *colour_of(x)[::-1]) for x in LABELS], "label string, red int, green int, blue int")
+    return layout.suppress(filtered(spark, sf_dir)).join(F.broadcast(table), "label").select("page_id", "raw_ord", "red", "green", "blue")
+
+
 # lines
 
 
@@ -589,6 +603,23 @@ def vocab_overlay(spark, sf_dir):
     return vocabulary.overlay_vocabulary(vocab, added)
 
 
+@query(
+    """, v AS (SELECT DISTINCT CAST(a AS INT) AS id FROM formula_steps)
+SELECT id, CASE id % 7 WHEN 0 THEN ' ' WHEN 1 THEN chr(12288) WHEN 2 THEN '' WHEN 3 THEN chr(9) || id ELSE 'token' || id || ' ' END AS symbol FROM v""",
+    "formula_steps",
+)
+def vocab_files(spark, sf_dir):
+    """Symbols, white space among them, written as a file and read back in its order."""
+    from quire.sources.store import shared_folder
+
+    k = F.col("a").cast("int")
+    other = F.concat(F.lit("token"), k.cast("string"), F.lit(" "))
+    token = F.when(k % 7 == 0, " ").when(k % 7 == 1, "\u3000").when(k % 7 == 2, "").when(k % 7 == 3, F.concat(F.lit("\t"), k.cast("string"))).otherwise(other)
+    path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
+    vocabulary.write_vocabulary(fixture(spark, sf_dir, "formula_steps").select(k.alias("token_id"), token.alias("token")).distinct(), path)
+    return vocabulary.read_symbol_table(spark, path)
+
+
 # pixels: shapes by SQL over pairs of points, contours by SQL over the drawn boxes
 
 

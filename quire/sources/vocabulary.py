@@ -13,6 +13,16 @@ def read_symbols(path: str) -> list[str]:
     return [x.removesuffix("\r") for x in (lines[:-1] if lines[-1] == "" else lines)]
 
 
+def read_symbol_table(spark: SparkSession, path: str, first_id: int = 0) -> DataFrame:
+    """(id, symbol): `read_symbols` for a file of any store that Spark reads, or a folder
+    that holds one, as `write_vocabulary` leaves it."""
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).where("length > 0")
+    lines = F.split(F.decode("content", "UTF-8"), "\n", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    rows = file.select(F.posexplode(lines).alias("place", "line"))
+    return rows.select((F.col("place") + first_id).alias("id"), F.regexp_replace("line", r"\r\z", "").alias("symbol"))
+
+
 def symbol_table(spark: SparkSession, symbols: list[str], first_id: int = 1) -> DataFrame:
     """(class_id, symbol); recognition ids begin at 1, as 0 is the blank."""
     return spark.createDataFrame([(i, s) for i, s in enumerate(symbols, first_id)], "class_id int, symbol string")
@@ -43,6 +53,11 @@ def overlay_vocabulary(vocab: DataFrame, added: DataFrame) -> DataFrame:
     return merged
 
 
+def write_vocabulary(table: DataFrame, path: str) -> None:
+    """Writes a vocabulary (token_id, token) as one file of a folder, a token a line."""
+    vocabulary_lines(table).coalesce(1).write.option("lineSep", "\n").text(path)
+
+
 def vocabulary_lines(table: DataFrame) -> DataFrame:
     """The lines of a vocabulary file, in order of id."""
     return table.orderBy("token_id").select("token")

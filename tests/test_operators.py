@@ -126,3 +126,13 @@ def test_vocabulary(spark, tmp_path):
     assert [r.token for r in vocabulary.vocabulary_lines(vocabulary.overlay_vocabulary(vocab, added)).collect()] == ["x", "z", "w"]
     with pytest.raises(ValueError, match="contiguous"):
         vocabulary.overlay_vocabulary(vocab, added.where("token_id = 2").withColumn("token_id", F.lit(7)))
+
+
+def test_symbol_files_of_any_store(spark, tmp_path):
+    from quire.sources.vocabulary import read_symbol_table, read_symbols
+
+    for k, data in enumerate(["a\n\u3000\n \nb\r\n\n", "one", "", "\n", "x\r\r\ny\n\r\n"]):
+        path = tmp_path / f"{k}.txt"
+        path.write_bytes(data.encode())
+        want = read_symbols(str(path))
+        assert [(r.id, r.symbol) for r in read_symbol_table(spark, str(path), 1).orderBy("id").collect()] == list(enumerate(want, 1))
