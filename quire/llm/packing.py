@@ -3,10 +3,9 @@
 Every document becomes pieces of at most `capacity` tokens; only longer
 documents are cut.  Then, in rounds, all pieces without a place and all open
 sequences' gaps are swept in order of size: going down, each piece takes the
-smallest gap not yet taken that holds it (its successor).  Where pieces want the
-same gap, the larger one, then the one of lower rank, gets it; the losers' next
-choice is the next gap up.  Placed pieces shrink their gaps, and the next round
-begins.  When no piece finds a gap, the largest ones open new sequences, as many
+smallest gap not yet taken that holds it (its successor).  As larger pieces, then those
+of lower rank, come first, no two want the same gap.  Placed pieces shrink their gaps,
+and the next round begins.  When no piece finds a gap, the largest ones open new sequences, as many
 as the tokens left need at least.
 
 The range-sorted pieces and gaps are held run-length encoded: sizes are 1 to
