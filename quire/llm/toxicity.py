@@ -12,9 +12,9 @@ with n_c(v) the sum of n_c(v, w), N_c that of n_c(w), and l the mass that the
 discounts free.  Discounts depend on the count, as in the modified form (`WORDS`,
 `PAIRS`).  K(w), which both classes share, is the continuation count: how many
 different words w follows anywhere in all documents (the start of a text counts as
-one), counted as distinct pairs of a word's 64-bit and its predecessor's 32-bit
-hash and corrected for collisions; it grows with the input.  Pairs are counted by the
-first word's 64-bit and the second's 32-bit hash.
+one), corrected for collisions; it grows with the input.  Pairs are told apart by the
+second word's 64-bit and the first's 32-bit hash, and each is sent once by a task, with
+its counts: leading words that share those 32 bits share the mass of their backoff.
 
 Toxic texts consist of ordinary language for the most part, so the toxic model of
 a text takes every expression from the toxic class with a probability of a and
@@ -111,24 +111,33 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
     return [keys[starts], *[np.add.reduceat(c[order], starts, dtype=c.dtype) if len(keys) else c for c in counts]]
 
 
-_BLOBS = ("words", "sizes", "others", "a", "b", "c", "d")
-_KINDS = (np.uint64, *[np.uint32] * 6)
+#: Words of a part, their pairs (the words before), a word's counts (texts that hold it, its
+#: pairs as the word before) and a pair's; by label, toxic first.
+_BLOBS = ("words", "sizes", "others", "a", "b", "c", "d", "toxic", "ordinary")
+
+
+def narrowed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def widened(raw: bytes, n: int) -> np.ndarray:
+    """The `n` counts of `narrowed`."""
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.uint32) if n else np.zeros(0, np.uint32)
 
 
 class Gathered:
     """What a task has counted.
 
-    Words have numbers in order of arrival.  `seen` are distinct pairs (word, word
-    before) of all texts, `held` pairs (word before, word) of labelled texts with the
-    number of texts of either class.
+    Words have numbers in order of arrival.  `held` are the distinct pairs (word, word
+    before) of all texts, with the number of labelled texts of either class.
     """
 
     def __init__(self, parts: int):
         self.parts = parts
         self.known: dict[bytes, int] = {b"": 0}  # the start of a text
-        self.seen, self.waiting, self.size = np.zeros(0, np.uint64), [], 0
         self.held = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
-        self.more: tuple[list, list] = ([], [])  # by label
+        self.more: tuple[list, list, list] = ([], [], [])  # by label, the last without
         self.texts: tuple[list, list] = ([], [])  # words of texts, by label
         self.more_size = 0
 
@@ -137,38 +146,30 @@ class Gathered:
         for w in set(words).difference(known):
             known[w] = len(known)
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        before = np.r_[np.uint64(0), ids[:-1]]
-        self.waiting.append(ids << np.uint64(32) | before)
-        self.size += len(ids)
+        own = distinct(ids << np.uint64(32) | np.r_[np.uint64(0), ids[:-1]])
+        self.more[2 if label is None else label].append(own)
+        self.more_size += len(own)
         if label is not None:
-            own = distinct(before << np.uint64(32) | ids)
-            self.more[label].append(own)
             self.texts[label].append(distinct(ids.astype(np.uint32)))
-            self.more_size += len(own)
-        if self.size > GATHERED // 3:
-            self.settle_seen()
         if self.more_size > GATHERED // 3:
-            self.settle_held()
+            self.settle()
 
-    def settle_seen(self) -> None:
-        self.seen, self.waiting, self.size = distinct(np.concatenate([self.seen, *self.waiting])), [], 0
-
-    def settle_held(self) -> None:
+    def settle(self) -> None:
         keys, a, b = self.held
-        toxic, ordinary = (np.concatenate([np.zeros(0, np.uint64), *self.more[k]]) for k in (1, 0))
-        new = np.concatenate([np.ones(len(toxic), np.uint32), np.zeros(len(ordinary), np.uint32)])
-        self.held = summed(np.concatenate([keys, toxic, ordinary]), np.concatenate([a, new]), np.concatenate([b, 1 - new]))
-        self.more, self.more_size = ([], []), 0
+        toxic, ordinary, rest = (np.concatenate([np.zeros(0, np.uint64), *self.more[k]]) for k in (1, 0, 2))
+        new = np.repeat(np.arange(3), [len(toxic), len(ordinary), len(rest)])
+        counts = [np.concatenate([old, (new == k).astype(np.uint32)]) for k, old in enumerate((a, b))]
+        self.held = summed(np.concatenate([keys, toxic, ordinary, rest]), *counts)
+        self.more, self.more_size = ([], [], []), 0
 
     def full(self) -> bool:
-        return len(self.seen) + len(self.held[0]) > GATHERED
+        return len(self.held[0]) > GATHERED
 
     def rows(self) -> pa.RecordBatch | None:
-        """A row for each part of the words before (kind 1) and of the words (kind 0)."""
+        """A row for each part of the words."""
         from xxhash import xxh64_intdigest
 
-        self.settle_seen()
-        self.settle_held()
+        self.settle()
         n = len(self.known)
         if n == 1:
             return None
@@ -179,81 +180,62 @@ class Gathered:
         rank[order] = np.arange(n, dtype=np.uint64)
         edges = np.searchsorted(part[order], np.arange(self.parts + 1))
         low, half = np.uint64(2**32 - 1), np.uint64(32)
-        lead = (self.held[0] >> half).astype(np.int64)
+        lead = (self.held[0] & low).astype(np.int64)
         counts = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *self.texts[k]]), minlength=n) for k in (1, 0)]
         counts += [np.bincount(lead, weights=c, minlength=n) for c in self.held[1:]]
         counts = [c[order].astype(np.uint32) for c in counts]
-        sorted_hashes = hashes[order]
+        pairs = rank[self.held[0] >> half] << half | hashes[lead] >> half
+        by = np.argsort(pairs, kind="stable")
+        pairs, per_pair = pairs[by], [c[by] for c in self.held[1:]]
+        others, sorted_hashes = pairs.astype(np.uint32), hashes[order]
+        sizes = np.bincount((pairs >> half).astype(np.int64), minlength=n)
+        ends = np.append(0, np.cumsum(sizes))
         out: list[tuple] = []
-
-        def deal(kind: int, first: np.ndarray, others: np.ndarray, per_word: list[np.ndarray], per_pair: list[np.ndarray]) -> None:
-            sizes = np.bincount(first.astype(np.int64), minlength=n).astype(np.uint32)
-            ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
-            for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                x, y = edges[k], edges[k + 1]
-                if kind and ends[x] == ends[y]:
-                    continue
-                arrays = [c[x:y] for c in per_word] + [c[ends[x] : ends[y]] for c in per_pair]
-                arrays += [np.zeros(0, np.uint32)] * (4 - len(arrays))
-                own = np.flatnonzero(sizes[x:y]) if kind else slice(None)
-                out.append((k, kind, *[v.tobytes() for v in (sorted_hashes[x:y][own], sizes[x:y][own], others[ends[x] : ends[y]], *arrays)]))
-
-        pairs = np.sort(rank[self.seen >> half] << half | hashes[self.seen & low] >> half)
-        deal(0, pairs >> half, pairs.astype(np.uint32), counts, [])
-        by = np.argsort(rank[lead], kind="stable")
-        deal(1, rank[lead][by], (hashes[self.held[0] & low] >> half).astype(np.uint32)[by], [], [c[by] for c in self.held[1:]])
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * len(_BLOBS)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "kind", *_BLOBS])
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            x, y = edges[k], edges[k + 1]
+            own = slice(ends[x], ends[y])
+            out.append((k, sorted_hashes[x:y].tobytes(), narrowed(sizes[x:y]), others[own].tobytes(), *[narrowed(c[x:y]) for c in counts], *[narrowed(c[own]) for c in per_pair]))
+        types = [pa.int32(), *[pa.binary()] * len(_BLOBS)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", *_BLOBS])
 
 
 class Joined:
-    """The joined rows of one part and kind."""
+    """The joined rows of one part."""
 
-    def __init__(self, kind: int):
-        self.kind, self.held, self.size, self.most = kind, [], 0, GATHERED
+    def __init__(self):
+        self.held, self.size, self.most = [], 0, GATHERED
 
     def add(self, blobs: list[bytes]) -> None:
-        self.held.append([np.frombuffer(x, t) for x, t in zip(blobs, _KINDS, strict=True)])
-        self.size += len(self.held[-1][2])
+        words, sizes, others, *counts = blobs
+        words, others = np.frombuffer(words, np.uint64), np.frombuffer(others, np.uint32)
+        lengths = [len(words)] * 4 + [len(others)] * 2
+        self.held.append([words, widened(sizes, len(words)), others, *[widened(c, n) for c, n in zip(counts, lengths, strict=True)]])
+        self.size += len(others)
         if self.size > self.most:  # at most about twice what is distinct is held
             self.join()
             self.size = len(self.held[0][2])
             self.most = max(GATHERED, 2 * self.size)
 
     def join(self) -> None:
-        if len(self.held) == 1:
-            return
         columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
         names, place = np.unique(columns[0], return_inverse=True)
-        first, others = np.repeat(place.astype(np.uint64), columns[1]), columns[2]
-        if self.kind:
-            key = mixed(first, others)
-            by = np.argsort(key)
-            key = key[by]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            first = first[by[starts]]
-            order = np.argsort(first, kind="stable")
-            sums = [np.add.reduceat(c[by], starts, dtype=c.dtype)[order] for c in columns[3:5]] + columns[5:]
-            first, others = first[order], others[by[starts]][order]
-        else:
-            pairs = distinct(first << np.uint64(32) | others)
-            first, others = pairs >> np.uint64(32), pairs.astype(np.uint32)
-            sums = [np.bincount(place, weights=c, minlength=len(names)).astype(np.uint32) for c in columns[3:]]
-        self.held = [[names, np.bincount(first.astype(np.int64), minlength=len(names)).astype(np.uint32), others, *sums]]
+        pairs, *per_pair = summed(np.repeat(place.astype(np.uint64), columns[1]) << np.uint64(32) | columns[2], *columns[7:])
+        sizes = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(names)).astype(np.uint32)
+        sums = [np.bincount(place, weights=c, minlength=len(names)).astype(np.uint32) for c in columns[3:7]]
+        self.held = [[names, sizes, pairs.astype(np.uint32), *sums, *per_pair]]
 
     def rows(self) -> list[np.ndarray]:
         """kind, h, other, follows, toxic, ordinary, lead_toxic, lead_ordinary."""
         self.join()
-        names, sizes, others, a, b, c, d = self.held[0]
-        if self.kind:
-            at = np.flatnonzero((a >= FREQUENT) | (b >= FREQUENT))
-            none = np.zeros(len(at), np.uint32)
-            return [np.ones(len(at), np.int32), np.repeat(names, sizes)[at], others[at].astype(np.uint64), none.astype(float), a[at], b[at], none, none]
+        names, sizes, others, a, b, c, d, toxic, ordinary = self.held[0]
+        often = np.flatnonzero((toxic >= FREQUENT) | (ordinary >= FREQUENT))
         follows = -(2.0**32) * np.log1p(-sizes.astype(float) / 2.0**32)
         at = np.flatnonzero((a > 0) | (b > 0) | (c > 0) | (d > 0))
-        columns = [np.zeros(len(at), np.int32), names[at], np.zeros(len(at), np.uint64), follows[at], a[at], b[at], c[at], d[at]]
+        none = np.zeros(len(often), np.uint32)
+        pairs = [none + 1, np.repeat(names, sizes)[often], others[often].astype(np.uint64), none.astype(float), toxic[often], ordinary[often], none, none]
+        words = [np.zeros(len(at), np.uint32), names[at], np.zeros(len(at), np.uint64), follows[at], a[at], b[at], c[at], d[at]]
         total = [[2], [0], [0], [follows.sum()], [0], [0], [0], [0]]  # of all words of the part
-        return [np.append(x, np.array(y, x.dtype)) for x, y in zip(columns, total, strict=True)]
+        return [np.concatenate([x, y, np.array(z, y.dtype)]) for x, y, z in zip(pairs, words, total, strict=True)]
 
 
 COUNTED = "kind int, h long, other long, follows double, toxic long, ordinary long, lead_toxic long, lead_ordinary long"
@@ -267,9 +249,11 @@ def counts(df: DataFrame, parts: int = 64) -> DataFrame:
     kind 1: pairs that `FREQUENT` or more texts of a class hold; kind 2: sums of all
     words' continuation counts.
 
-    A task sends the distinct pairs it has seen as one row for each part of the
-    words; who gets a part joins its rows as they come, so it holds no more than
-    about twice the distinct pairs of one of `parts` of the words.
+    Of a pair, h is the second word, other the upper half of the first one's hash.
+
+    A task sends the distinct pairs it has seen, and their counts, as one row for each
+    part of the words; who gets a part joins its rows as they come, so it holds no more
+    than about twice the distinct pairs of one of `parts` of the words.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +280,19 @@ def counts(df: DataFrame, parts: int = 64) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(signed, types, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
 
         for batch in batches:
-            for part, kind, *blobs in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", *_BLOBS)], strict=True):
-                if (part, kind) != at:
+            for part, *blobs in zip(*[batch.column(c).to_pylist() for c in ("part", *_BLOBS)], strict=True):
+                if part != at:
                     if now is not None:
                         yield out(now.rows())
-                    at, now = (part, kind), Joined(kind)
+                    at, now = part, Joined()
                 now.add(blobs)
         if now is not None:
             yield out(now.rows())
         del now
         release()
 
-    each = text_batches(df.select("text", "label")).mapInArrow(gather, "part int, kind int, " + ", ".join(f"{c} binary" for c in _BLOBS))
-    return each.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(join, COUNTED)
+    each = text_batches(df.select("text", "label")).mapInArrow(gather, "part int, " + ", ".join(f"{c} binary" for c in _BLOBS))
+    return each.repartition("part").sortWithinPartitions("part").mapInArrow(join, COUNTED)
 
 
 def _above(count: Column, discounts: tuple[float, ...]) -> Column:
@@ -332,14 +316,16 @@ def tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float] |
         words = words.withColumn(f"p_{c}", _above(F.col(c), WORDS) / total[c] + free[c] * F.col("follows") / total["follows"])
     base = free["toxic"] / free["ordinary"]
     ratios = words.where("toxic > 1 or ordinary > 1").select("h", (F.col("p_toxic") / F.col("p_ordinary")).alias("r"))
-    pairs = found.where("kind = 1").select("h", "other", *[F.greatest(F.col(c) - PAIRS[2], F.lit(0.0)).alias(c) for c in names])
-    leads = pairs.groupBy("h").agg(*[F.sum(c).alias(c) for c in names]).join(words.select("h", *[f"lead_{c}" for c in names]), "h")
+    pairs = found.where("kind = 1").select("h", F.col("other").alias("lead"), *[F.greatest(F.col(c) - PAIRS[2], F.lit(0.0)).alias(c) for c in names])
+    upper = F.shiftrightunsigned("h", 32).alias("lead")
+    masses = words.groupBy(upper).agg(*[F.sum(f"lead_{c}").alias(f"lead_{c}") for c in names])
+    leads = pairs.groupBy("lead").agg(*[F.sum(c).alias(c) for c in names]).join(masses, "lead")
     for c in names:
         leads = leads.withColumn(f"free_{c}", F.when(F.col(f"lead_{c}") > 0, 1 - F.col(c) / F.col(f"lead_{c}")).otherwise(1.0))
-    leads = cut(leads.select("h", *[f"free_{c}" for c in names], *[f"lead_{c}" for c in names]))
-    known = words.where((F.col("toxic") >= FREQUENT) | (F.col("ordinary") >= FREQUENT))
-    known = known.select(F.shiftrightunsigned("h", 32).alias("other"), F.col("h").alias("word"), *[f"p_{c}" for c in names])
-    pairs = pairs.join(leads, "h").join(known, "other")
+    leads = leads.join(words.select("h", upper), "lead")
+    leads = cut(leads.select("h", "lead", *[f"free_{c}" for c in names], *[f"lead_{c}" for c in names]))
+    known = words.where((F.col("toxic") >= FREQUENT) | (F.col("ordinary") >= FREQUENT)).select(F.col("h").alias("word"), *[f"p_{c}" for c in names])
+    pairs = pairs.withColumnRenamed("h", "word").join(leads, "lead").join(known, "word")
     for c in names:
         own = F.when(F.col(f"lead_{c}") > 0, F.col(c) / F.col(f"lead_{c}")).otherwise(0.0)
         pairs = pairs.withColumn(f"q_{c}", own + F.col(f"free_{c}") * F.col(f"p_{c}"))

@@ -174,3 +174,22 @@ def test_stage_keeps_documents_without_evidence(corpus, tmp_path):
     for name, labels in (("none", []), ("toxic", [(d, 1) for d, t in truth.items() if t]), ("clean", [(d, 0) for d, t in truth.items() if not t])):
         docs.sparkSession.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert corpus_pipeline.drop_toxic(docs.sparkSession, docs, f"{tmp_path}/{name}").count() == docs.count()
+
+
+def test_a_task_sends_a_pair_once():
+    """A row has five to six bytes for a pair of words, not the pair twice with wide counts."""
+    rng = np.random.default_rng(1)
+    now = toxicity.Gathered(64)
+    pairs = set()
+    for k in range(400):
+        words = [f"w{x}".encode() for x in rng.integers(0, 400, 200)]
+        now.add(words, (0, 0, 1, None)[k % 4])
+        pairs |= set(zip([b"", *words], words, strict=False))
+    sent = sum(len(x) for column in now.rows().to_pydict().values() for x in column if isinstance(x, bytes))
+    assert len(pairs) > 50_000 and sent < 6.5 * len(pairs)
+
+
+def test_counts_of_any_width():
+    for n in (0, 1, 255, 256, 70_000):
+        assert toxicity.widened(toxicity.narrowed(np.array([n, 0, 1])), 3).tolist() == [n, 0, 1]
+    assert toxicity.widened(toxicity.narrowed(np.zeros(0, np.uint32)), 0).tolist() == []
