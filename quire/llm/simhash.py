@@ -46,6 +46,20 @@ DISTANCE = 4
 BUCKET = 1 << 15
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        own = hashes[at : at + (1 << 14)]
+        total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return total
+
+
+def majority(total: np.ndarray, count: int) -> int:
+    """The fingerprint of `count` hashes, `total` of which have each bit."""
+    return int(np.packbits(2 * total > count, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The unsigned fingerprint of a text's UTF-8 bytes."""
     from xxhash import xxh64_intdigest
@@ -65,12 +79,10 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
         ends = ends[words - 1 :].tolist()
         hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
         count += len(hashes)
-        for at in range(0, len(hashes), 1 << 14):
-            own = hashes[at : at + (1 << 14)]
-            total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += ones(hashes)
     if not count:
         return xxh64_intdigest(b" ".join(before), SEED) if before else 0
-    return int(np.packbits(2 * total > count, bitorder="little").view(np.uint64)[0])
+    return majority(total, count)
 
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
