@@ -64,12 +64,27 @@ def with_windows(boxes: DataFrame, padding: int = 0) -> DataFrame:
     return boxes.select("*", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
-def width_batches(sizes: DataFrame, key: str, group: str, batch: int) -> DataFrame:
-    """Crops in recognition batches: (group, key, width, batch_no, pad_width).
+#: Keys of a block: crops of a group and width are numbered block by block.
+BLOCK = 100_000
+
+
+def batch_numbers(sizes: DataFrame, key: str, group: str, batch: int) -> DataFrame:
+    """Adds batch_no: within a group, crops are sorted by width, then key, and cut into batches.
 
-    Within a group (a page) crops are sorted by width, then key, and cut into
-    batches; each is padded to its widest.
+    A task numbers the crops of one width and block of keys; those before it are a sum of
+    counts, so no group has to fit in a task.
     """
-    by = Window.partitionBy(group).orderBy("width", key)
-    rows = sizes.withColumn("batch_no", F.floor((F.row_number().over(by) - 1) / batch).cast("int"))
+    own = ["__group", "__width", "__block"]
+    rows = sizes.withColumns({"__group": F.col(group), "__width": F.col("width"), "__block": F.floor(F.col(key) / BLOCK)})
+    former = Window.partitionBy("__group").orderBy("__width", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*own).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(former), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(key)) - 1
+    numbered = rows.withColumn("__place", place).join(before, own)
+    return numbered.withColumn("batch_no", F.floor((F.col("__before") + F.col("__place")) / batch).cast("int")).drop(*own, "__place", "__before")
+
+
+def width_batches(sizes: DataFrame, key: str, group: str, batch: int) -> DataFrame:
+    """Crops in recognition batches: (group, key, width, batch_no, pad_width); each batch
+    is padded to its widest."""
+    rows = batch_numbers(sizes, key, group, batch)
     return rows.withColumn("pad_width", F.max("width").over(Window.partitionBy(group, "batch_no")))

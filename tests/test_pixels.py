@@ -205,3 +205,16 @@ def test_annotate(kind, rgb):
     room = out[26:36, 14 : 14 + name.shape[1]]
     assert (room[name] == 0).all() and (room[~name] == rgb).all()  # black letters on the colour
     assert png(out).startswith(b"\x89PNG")
+
+
+def test_images_of_a_size_at_once_equal_single_ones():
+    rng = np.random.default_rng(4)
+    for h, w in ((3, 8), (7, 3), (5, 5)):
+        images = rng.integers(0, 256, (40, h, w, 3), dtype=np.uint8)
+        images[:5] = 90  # flat
+        images[5:20] = 250
+        images[5:20, 1 : h - 1, 1 : w - 1] = 30  # with margins
+        assert (pixels.resize_all(images, 7, 4) == np.array([pixels.resize(x, 7, 4) for x in images])).all()
+        for page, (y1, y2, x1, x2) in zip(pixels.gray(images), pixels.margins(pixels.gray(images)).tolist(), strict=True):
+            assert (pixels.crop_margin(page) == page[y1:y2, x1:x2]).all() and pixels.crop_margin(page).shape == (y2 - y1, x2 - x1)
+        assert (pixels.formula_inputs(images, side=12) == np.array([pixels.formula_input(x, side=12)[0, 0] for x in images])).all()

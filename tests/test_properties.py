@@ -94,3 +94,25 @@ def test_width_batches(spark):
             batch = own[at : at + 8]
             found = {(r.width, r.key, r.pad_width) for r in got if r.page == g and r.batch_no == at // 8}
             assert found == {(w, k, batch[-1][0]) for w, k in batch}
+
+
+def test_batches_of_images_need_no_whole_group(spark, monkeypatch, tmp_path):
+    """Blocks of keys are numbered apart, and a row of images holds one batch."""
+    import numpy as np
+
+    from quire import queries
+    from quire.operators import assign
+
+    monkeypatch.setattr(assign, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), int(k % 3), int(w)) for k, w in enumerate(rng.integers(1, 5, 200))]
+    got = {r.k: r.batch_no for r in assign.batch_numbers(spark.createDataFrame(rows, "k long, g long, width int"), "k", "g", 8).collect()}
+    for g in range(3):
+        for at, (k, _, _) in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))):
+            assert got[k] == at // 8
+    spark.range(300).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    most = []
+    collect_list = queries.F.collect_list
+    monkeypatch.setattr(queries.F, "collect_list", lambda c: most.append(1) or collect_list(c))
+    plan = queries.image_batches(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert most and "Aggregate [grp" in plan and "batch_no" in plan.split("Aggregate [grp")[1].split("]")[0]
