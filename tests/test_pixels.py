@@ -218,3 +218,20 @@ def test_images_of_a_size_at_once_equal_single_ones():
         for page, (y1, y2, x1, x2) in zip(pixels.gray(images), pixels.margins(pixels.gray(images)).tolist(), strict=True):
             assert (pixels.crop_margin(page) == page[y1:y2, x1:x2]).all() and pixels.crop_margin(page).shape == (y2 - y1, x2 - x1)
         assert (pixels.formula_inputs(images, side=12) == np.array([pixels.formula_input(x, side=12)[0, 0] for x in images])).all()
+
+
+def test_rectangles_divide_last():
+    """Corners are those of the SQL to the last bit, as halves of them are rounded."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        hull = pixels.convex_hull(rng.integers(0, 180, (9, 2)))
+        sides = np.roll(hull, -1, axis=0) - hull
+        found = []
+        for (ax, ay), (dx, dy) in zip(hull.tolist(), sides.tolist(), strict=True):
+            n = np.sqrt(dx * dx + dy * dy)
+            u, v = [dx * x + dy * y for x, y in hull.tolist()], [dx * y - dy * x for x, y in hull.tolist()]
+            u1, u2, v1, v2 = min(u) / n, max(u) / n, min(v) / n, max(v) / n
+            ux, uy = dx / n, dy / n
+            corners = [(a * ux - b * uy, a * uy + b * ux) for a, b in ((u1, v1), (u2, v1), (u2, v2), (u1, v2))]
+            found.append((round((u2 - u1) * (v2 - v1), 6), ax, ay, corners))
+        assert pixels.min_area_quad(hull).tolist() == [list(c) for c in min(found)[3]]
