@@ -965,17 +965,23 @@ DETECTED_SQL = (
 )
 
 
+#: Score maps that are worked on at once.
+MAPS = 32
+
+
 def _detected(spark, sf_dir, name: str) -> DataFrame:
     from quire.sources import models
 
     def run(batches):
         for batch in batches:
-            for page, points in zip(batch.column("page_id").to_pylist(), batch.column("points").to_pylist(), strict=True):
-                scores = np.zeros((128, 512), np.float32)
-                for k, p in enumerate(points):
-                    y, x = int(p["y1"]), int(p["x1"])
-                    scores[y : y + 8, x : x + 40] = 0.5 + (k % 5) / 10
-                yield models.quad_batch(page, scores, 1024, 256)
+            for at in range(0, batch.num_rows, MAPS):
+                part = batch.slice(at, MAPS)
+                scores = np.zeros((part.num_rows, 128, 512), np.float32)
+                for page, points in enumerate(part.column("points").to_pylist()):
+                    for k, p in enumerate(points):
+                        y, x = int(p["y1"]), int(p["x1"])
+                        scores[page, y : y + 8, x : x + 40] = 0.5 + (k % 5) / 10
+                yield models.quad_batches(part.column("page_id").to_numpy(), scores, 1024, 256)
 
     kept = lines.filter_quads(_points(spark, sf_dir, name).mapInArrow(run, models.QUAD_RAW))
     ordered = lines.reading_order(lines.quads_to_boxes(kept.withColumn("quad", F.col("grown"))))

@@ -189,14 +189,19 @@ def detected(model: Model, page: np.ndarray, longest: int = 1280) -> np.ndarray:
 
 def quad_batch(page_id: int, scores: np.ndarray, page_w: int, page_h: int, most: int = 3000) -> pa.RecordBatch:
     """`QUAD_RAW` rows of a detector's map: candidate quads, as found and grown."""
-    number, points, quads, found = pixels.candidates(scores, most)
-    n, (map_h, map_w) = len(number), scores.shape
+    return quad_batches(np.array([page_id]), scores[None], page_w, page_h, most)
+
+
+def quad_batches(page_ids: np.ndarray, scores: np.ndarray, page_w: int, page_h: int, most: int = 3000) -> pa.RecordBatch:
+    """`quad_batch` of pages of one size, whose maps (n, height, width) are worked on at once."""
+    maps, number, points, quads, found = pixels.candidates_all(scores, most)
+    n, (map_h, map_w) = len(number), scores.shape[1:]
 
     def corners(q: np.ndarray) -> pa.Array:
         own = pa.StructArray.from_arrays([pa.array(q[..., k].ravel()) for k in (0, 1)], names=["x", "y"])
         return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4), pa.int32()), own)
 
-    columns = [np.full(n, page_id), number, points, corners(quads), corners(pixels.unclip_all(quads)), found, *(np.full(n, v) for v in (map_w, map_h, page_w, page_h))]
+    columns = [page_ids[maps], number, points, corners(quads), corners(pixels.unclip_all(quads)), found, *(np.full(n, v) for v in (map_w, map_h, page_w, page_h))]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, QUADS, strict=True)], schema=QUADS)
 
 

@@ -235,3 +235,28 @@ def test_rectangles_divide_last():
             corners = [(a * ux - b * uy, a * uy + b * ux) for a, b in ((u1, v1), (u2, v1), (u2, v2), (u1, v2))]
             found.append((round((u2 - u1) * (v2 - v1), 6), ax, ay, corners))
         assert pixels.min_area_quad(hull).tolist() == [list(c) for c in min(found)[3]]
+
+
+def test_maps_at_once_are_as_one_by_one(monkeypatch):
+    from quire.sources import models
+
+    rng, calls, own = np.random.default_rng(3), [], pixels._borders
+    maps = np.zeros((12, 30, 40), np.float32)
+    for k, m in enumerate(maps[2:]):
+        for y, x in rng.integers(0, 30, (4, 2)):
+            m[y : y + 5, x : x + 12] = rng.random()
+        m[rng.random(m.shape) < 0.02 * k] = 0
+    maps[1] = 1  # one map is full, the first is empty
+    monkeypatch.setattr(pixels, "_borders", lambda mask: (calls.append(mask.shape), own(mask))[1])
+    for most in (3000, 3):
+        calls.clear()
+        got = models.quad_batches(np.arange(12) * 5, maps, 80, 60, most).to_pylist()
+        assert len(calls) == 1
+        want = []
+        for k, m in enumerate(maps):
+            for at, outline in enumerate(pixels.contours(pixels.binarize(m))[:most]):
+                if len(outline) >= 4:
+                    quad = pixels.min_area_quad(outline)
+                    want.append((5 * k, at, len(outline), pixels.quad_score(m, quad)))
+        assert [(r["page_id"], r["contour_ord"], r["n_points"]) for r in got] == [w[:3] for w in want]
+        assert np.allclose([r["score"] for r in got], [w[3] for w in want]) and len({r["page_id"] for r in got}) > 8
